@@ -82,3 +82,21 @@ def chunked_window(
     out_cols = [*df.columns, *specs.keys()]
     body = step1.where(F.col("_rn") > lookback).select(*out_cols)
     return body.unionByName(fixed.select(*out_cols))
+
+
+def chunked_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+                       name: str = "row_number") -> DataFrame:
+    """Exact ``row_number()`` over ``partitionBy(keys).orderBy(order)`` without one
+    task per key: rows are numbered within (key, chunk) slices and offset by
+    the row count of all earlier slices of the key (a small per-slice table
+    with a running sum). ``chunk`` must be monotone in ``order``."""
+    keys = list(keys)
+    base = df.withColumn("_chunk", chunk)
+    counts = base.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    w_prev = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).cast("long").alias("_offset"))
+    w_slice = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    numbered = base.withColumn("_rn", F.row_number().over(w_slice).cast("long"))
+    return (numbered.join(offsets, [*keys, "_chunk"])
+            .withColumn(name, F.col("_offset") + F.col("_rn"))
+            .drop("_chunk", "_rn", "_offset"))

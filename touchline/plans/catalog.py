@@ -32,4 +32,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries (idempotent)."""
-    from . import queries_core, queries_features, queries_models, queries_star  # noqa: F401
+    from . import queries_core, queries_features  # noqa: F401
+    for mod in ("queries_models", "queries_star"):
+        __import__(f"{__package__}.{mod}")
