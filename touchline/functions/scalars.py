@@ -155,13 +155,33 @@ def poisson_log_pmf(k: Column | str, lam: Column) -> Column:
     return _c(k).cast("double") * F.log(lam_f) - lam_f - log_factorial(k)
 
 
+def log_factorial_table(max_k: int) -> list[float]:
+    """[ln 0!, ln 1!, …, ln max_k!] from the log-gamma function (a rule, not a table)."""
+    import math
+
+    return [math.lgamma(k + 1) for k in range(max_k + 1)]
+
+
 def poisson_pmf_array(lam: Column, max_goals: int = 10) -> Column:
-    """Array [P(0), …, P(max_goals)] for one λ, computed in-row (no shuffle)."""
+    """Array [P(0), …, P(max_goals)] for one λ, computed in-row (no shuffle).
+    Each entry is a plain codegen'd expression; ln k! comes from a literal table."""
     lam_f = F.greatest(lam, F.lit(1e-12))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(max_goals)),
-        lambda k: F.exp(k.cast("double") * F.log(lam_f) - lam_f - log_factorial(k)),
-    )
+    log_lam = F.log(lam_f)
+    lf = log_factorial_table(max_goals)
+    return F.array(*[F.exp(F.lit(float(k)) * log_lam - lam_f - F.lit(lf[k])) for k in range(max_goals + 1)])
+
+
+def poisson_cdf_array(lam: Column, max_goals: int = 10) -> Column:
+    """Array [P(K≤0), …, P(K≤max_goals)] (left-to-right running sums of the pmf)."""
+    lam_f = F.greatest(lam, F.lit(1e-12))
+    log_lam = F.log(lam_f)
+    lf = log_factorial_table(max_goals)
+    terms = [F.exp(F.lit(float(k)) * log_lam - lam_f - F.lit(lf[k])) for k in range(max_goals + 1)]
+    sums, acc = [], None
+    for t in terms:
+        acc = t if acc is None else acc + t
+        sums.append(acc)
+    return F.array(*sums)
 
 
 def round_half_up(x: Column | str, n: int) -> Column:
