@@ -114,11 +114,17 @@ def market_favourite(home_odds, draw_odds, away_odds) -> Column:
 
 
 def season_name(code: Column | str) -> Column:
-    """H8: four-digit season code ``1920`` → ``2019/2020``; anything else unchanged (trimmed)."""
+    """H8: two-year season code ``1920`` → ``2019/2020`` (start = 2000 + first two
+    digits, end = start + 1). Only codes whose second half follows the first
+    (``1920``, ``9900``) are converted, so a calendar-year season such as
+    ``1995`` stays as it is; anything else is returned trimmed."""
     t = F.trim(_c(code).cast("string"))
-    start = (F.lit(2000) + F.substring(t, 1, 2).cast("int")).cast("string")
-    end = (F.lit(2001) + F.substring(t, 1, 2).cast("int")).cast("string")
-    return F.when(t.rlike("^[0-9]{4}$"), F.concat(start, F.lit("/"), end)).otherwise(t)
+    first = F.substring(t, 1, 2).try_cast("int")
+    second = F.substring(t, 3, 2).try_cast("int")
+    start = (F.lit(2000) + first).cast("string")
+    end = (F.lit(2001) + first).cast("string")
+    is_code = t.rlike("^[0-9]{4}$") & (second == F.pmod(first + 1, F.lit(100)))
+    return F.when(is_code, F.concat(start, F.lit("/"), end)).otherwise(t)
 
 
 def season_code(name: Column | str) -> Column:
