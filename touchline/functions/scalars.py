@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 OUTCOMES = ("H", "D", "A")
 POINTS_WIN, POINTS_DRAW, POINTS_LOSS = 3, 1, 0
 
-# Accepted day-first date layouts (four-digit year first).
-DAY_FIRST_DATE_FORMATS = ("dd/MM/yyyy", "dd/MM/yy", "d/M/yyyy", "d/M/yy", "yyyy-MM-dd")
-DAY_FIRST_DATETIME_FORMATS = ("dd/MM/yyyy HH:mm", "dd/MM/yy HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm")
+# Accepted day-first date layouts (four-digit years first, then two-digit).
+DAY_FIRST_DATE_FORMATS = ("dd/MM/yyyy", "d/M/yyyy", "yyyy-MM-dd", "dd/MM/yy", "d/M/yy")
+TWO_DIGIT_YEAR_PIVOT = 2069  # two-digit years above this (parsed as 20yy) belong to the 1900s
+DAY_FIRST_DATETIME_FORMATS = ("dd/MM/yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "dd/MM/yy HH:mm")
 
 
 def _c(x: Column | str) -> Column:
@@ -33,7 +34,15 @@ def parse_day_first(x: Column | str, formats: Sequence[str] = DAY_FIRST_DATE_FOR
     pattern is tried in order and the four-digit ones come first.
     """
     s = F.trim(_c(x).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in formats])
+    return F.coalesce(*[_parse(s, f) for f in formats])
+
+
+def _parse(s: Column, fmt: str) -> Column:
+    """One layout; two-digit years (read by Spark as 20yy) get the century pivot."""
+    ts = F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
+    if "yyyy" not in fmt and "yy" in fmt:
+        ts = F.when(F.year(ts) > TWO_DIGIT_YEAR_PIVOT, ts - F.expr("INTERVAL '100' YEAR")).otherwise(ts)
+    return ts
 
 
 def parse_date_time(date: Column | str, time: Column | str | None) -> Column:
@@ -42,9 +51,7 @@ def parse_date_time(date: Column | str, time: Column | str | None) -> Column:
     if time is None:
         return parse_day_first(d)
     t = F.trim(_c(time).cast("string"))
-    with_time = F.coalesce(
-        *[F.try_to_timestamp(F.concat_ws(" ", d, t), F.lit(f)).cast("timestamp_ntz") for f in DAY_FIRST_DATETIME_FORMATS]
-    )
+    with_time = F.coalesce(*[_parse(F.concat_ws(" ", d, t), f) for f in DAY_FIRST_DATETIME_FORMATS])
     return F.when(t.isNull() | (t == ""), parse_day_first(d)).otherwise(F.coalesce(with_time, parse_day_first(d)))
 
 
