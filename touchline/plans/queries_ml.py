@@ -1 +1,109 @@
-"""placeholder"""
+"""Registered queries: MLlib models.
+
+Trained models are not bit-reproducible across engines, so these have no
+oracle SQL: the driver records a rows-only check, and the tests assert the
+invariants (probabilities sum to 1, labels named by the indexer, score
+equations of the GLM, importances sum to 1).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import clean, forest, form, poisson
+from ..session import scratch_path
+from ..sources.tables import contests
+from .catalog import register
+from .queries_models import TEST_SEASON
+
+FEATURES = form.feature_columns()
+FOREST_TREES, FOREST_DEPTH = 200, 6  # documented configuration: 200 trees, depth 6
+
+
+def _frames(spark, sf_dir):
+    feats = forest.features_targets(form.build_features(contests(spark, sf_dir)), FEATURES)
+    seasons = contests(spark, sf_dir).select("match_id", "season")
+    x = feats.join(seasons, "match_id")
+    return x.where(F.col("season") < TEST_SEASON), x.where(F.col("season") == TEST_SEASON)
+
+
+def _forest(spark, sf_dir):
+    train, test = _frames(spark, sf_dir)
+    clean.leak_guard(FEATURES, form.feature_columns())
+    model = forest.train_forest(train, FEATURES, num_trees=FOREST_TREES, max_depth=FOREST_DEPTH)
+    return model, train, test
+
+
+@register("fit_poisson_glm")
+def q_fit_poisson_glm(spark, sf_dir):
+    """M1: maximum-likelihood Poisson GLM (distributed IRLS) on the training seasons;
+    returns the coefficient table."""
+    c = contests(spark, sf_dir)
+    model, _ = poisson.fit_poisson_glm(c.where(F.col("season") < TEST_SEASON))
+    glm = model.stages[-1]
+    coefs = [("intercept", float(glm.intercept))] + [(f"beta_{i}", float(v)) for i, v in enumerate(glm.coefficients)]
+    return spark.createDataFrame(coefs, "term string, estimate double")
+
+
+@register("train_forest")
+def q_train_forest(spark, sf_dir):
+    """M5: random forest on the pre-match features (train seasons); one summary row."""
+    model, train, _ = _forest(spark, sf_dir)
+    rf = model.stages[-1]
+    return spark.createDataFrame(
+        [(rf.getNumTrees, int(rf.getOrDefault("maxDepth")), len(FEATURES), ",".join(forest.label_order(model)))],
+        "num_trees int, max_depth int, features int, labels string")
+
+
+@register("score_forest")
+def q_score_forest(spark, sf_dir):
+    """M6: predicted outcome and named class probabilities for every test-season match."""
+    model, _, test = _forest(spark, sf_dir)
+    return forest.score_forest(model, test)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """All feature importances by name."""
+    model, _, _ = _forest(spark, sf_dir)
+    return spark.createDataFrame(forest.feature_importance(model, FEATURES), "feature string, importance double")
+
+
+@register("top_features")
+def q_top_features(spark, sf_dir):
+    """T5: the ten most important features."""
+    model, _, _ = _forest(spark, sf_dir)
+    return forest.top_features(spark, model, FEATURES, 10)
+
+
+@register("tune_forest")
+def q_tune_forest(spark, sf_dir):
+    """M9: grid search with cross-validation on accuracy; one row per grid point."""
+    train, _ = _frames(spark, sf_dir)
+    cv = forest.tune_forest(train, FEATURES, trees=(50, 100), depths=(5, 10), min_instances=(2,), folds=3)
+    rows = []
+    for params, metric in zip(cv.getEstimatorParamMaps(), cv.avgMetrics):
+        named = {p.name: v for p, v in params.items()}
+        rows.append((int(named["numTrees"]), int(named["maxDepth"]), int(named["minInstancesPerNode"]), float(metric)))
+    return spark.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, cv_accuracy double")
+
+
+@register("save_model")
+def q_save_model(spark, sf_dir):
+    """Persist the fitted pipeline to the shared folder and load it back."""
+    from pyspark.ml import PipelineModel
+
+    model, _, test = _forest(spark, sf_dir)
+    path = forest.save_model(model, scratch_path(spark, "forest-model"))
+    loaded = PipelineModel.load(path)
+    return forest.score_forest(loaded, test)
+
+
+@register("leak_guard")
+def q_leak_guard(spark, sf_dir):
+    """V7: the assembler's inputs against the pre-match allow-list (all must be allowed)."""
+    feats = forest.features_targets(form.build_features(contests(spark, sf_dir)), FEATURES)
+    allowed = set(form.feature_columns())
+    cols = [c for c in feats.columns if c not in ("match_id", "label_str")]
+    clean.leak_guard(cols, allowed)
+    return spark.createDataFrame([(c, c in allowed) for c in cols], "feature string, allowed boolean")
