@@ -53,6 +53,14 @@ def team_strengths(train: DataFrame) -> DataFrame:
     )
 
 
+def fit_poisson_moments(train: DataFrame) -> DataFrame:
+    """M2 (fit): the strength table, materialised like a fitted model. It has one
+    row per (league, team) and is reused by every prediction, so it is
+    checkpointed to the shared checkpoint folder (eager) instead of being
+    re-derived from the matches at each use."""
+    return team_strengths(train).checkpoint(eager=True)
+
+
 def league_home_advantage(strengths: DataFrame) -> DataFrame:
     return strengths.groupBy("league").agg(F.max("home_advantage").alias("home_advantage"))
 

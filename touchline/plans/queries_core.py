@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import perspective, tables
-from ..sources.tables import contest_odds, contests
+from ..sources.tables import contest_odds, contests, derive_contests
 from .catalog import register
 from .oracle_sql import CONTESTS, ODDS, SIDES, with_ctes
 
@@ -24,7 +24,8 @@ def odds_decimal(spark, sf_dir):
 
 @register("contests", with_ctes(CONTESTS, body="SELECT * FROM contests"))
 def q_contests(spark, sf_dir):
-    return contests(spark, sf_dir)
+    """The contest relation derived from the driver tables (joins + per-order aggregate)."""
+    return derive_contests(spark, sf_dir)
 
 
 @register("team_perspective", with_ctes(CONTESTS, SIDES, body="""

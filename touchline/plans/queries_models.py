@@ -26,14 +26,21 @@ def split(spark, sf_dir):
     return c, train, test
 
 
+_FITTED: dict[tuple[str, str], DataFrame] = {}
+
+
 def strengths(spark, sf_dir):
-    _, train, _ = split(spark, sf_dir)
-    return poisson.team_strengths(train)
+    """The fitted strength table for the training seasons, fitted once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _, train, _ = split(spark, sf_dir)
+        _FITTED[key] = poisson.fit_poisson_moments(train)
+    return _FITTED[key]
 
 
 def poisson_lambdas(spark, sf_dir) -> DataFrame:
-    c, train, test = split(spark, sf_dir)
-    return poisson.expected_goals(test, poisson.team_strengths(train))
+    _, _, test = split(spark, sf_dir)
+    return poisson.expected_goals(test, strengths(spark, sf_dir))
 
 
 def predictions(spark, sf_dir) -> DataFrame:
@@ -53,8 +60,8 @@ def top_scores(spark, sf_dir, k: int = 3) -> DataFrame:
 
 
 def fixture_lambdas(spark, sf_dir) -> DataFrame:
-    c, train, _ = split(spark, sf_dir)
-    return poisson.expected_goals(fixtures_from_contests(c), poisson.team_strengths(train))
+    c, _, _ = split(spark, sf_dir)
+    return poisson.expected_goals(fixtures_from_contests(c), strengths(spark, sf_dir))
 
 
 def scenario_frames(spark, sf_dir):
