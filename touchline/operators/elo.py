@@ -106,15 +106,16 @@ def elo_ratings(contests: DataFrame, k: float = ELO_K, initial: float = ELO_INIT
                 chunk: str | None = None) -> DataFrame:
     """Pre-match ratings per match: ``(match_id, league, elo_home_pre,
     elo_away_pre, elo_diff)``, rounded to 6 decimals."""
-    matches = contests.select("league", "match_datetime", "match_id", "home_team", "away_team", "result")
+    cols = ["league", "match_datetime", "match_id", "home_team", "away_team", "result"]
     if chunk is None:
-        return _finish(_elo_pass(matches, None, k, initial))
+        return _finish(_elo_pass(contests.select(*cols), None, k, initial))
+    matches = contests.select(*cols, chunk)
     # Chunk values (e.g. seasons) are a small, bounded list.
     values = [r[0] for r in matches.select(chunk).distinct().orderBy(chunk).collect()]
     state = None
     parts = []
     for v in values:
-        folded = _elo_pass(matches.where(F.col(chunk) == v), state, k, initial).checkpoint(eager=True)
+        folded = _elo_pass(matches.where(F.col(chunk) == v).drop(chunk), state, k, initial).checkpoint(eager=True)
         parts.append(_finish(folded))
         state = folded.where("kind = 2").select("league", "team", "rating")
     out = parts[0]
