@@ -32,14 +32,22 @@ def date_split(df: DataFrame, boundary: str) -> tuple[DataFrame, DataFrame]:
 
 
 def fraction_split(df: DataFrame, fraction: float = 0.8, seed: int = 42, chronological: bool = True):
-    """80/20 split. Chronological: per league by position (the earliest
-    ``fraction`` of each league's matches train); random: a stable hash bucket
-    of (seed, match_id) — the same row always lands on the same side."""
+    """80/20 split. Chronological: per league by position — a row trains when
+    its percent rank (position − 1)/(n − 1) in (match_datetime, match_id) order is
+    below ``fraction``; positions come from ``chunked_row_number`` (no league in
+    one task) and n from a grouped count. Random: a stable hash bucket of
+    (seed, match_id) — the same row always lands on the same side."""
     if chronological:
-        w = Window.partitionBy("league").orderBy("match_datetime", "match_id")
-        ranked = df.withColumn("_pr", F.percent_rank().over(w))
+        from .chunked import chunked_row_number
+
+        numbered = chunked_row_number(df, ["league"], ["match_datetime", "match_id"],
+                                      F.date_trunc("month", "match_datetime"), "_pos")
+        sizes = df.groupBy("league").agg(F.count(F.lit(1)).alias("_n"))
+        ranked = numbered.join(sizes, "league").withColumn(
+            "_pr", F.when(F.col("_n") > 1, (F.col("_pos") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0)))
         flag = F.col("_pr") < fraction
-        return ranked.where(flag).drop("_pr"), ranked.where(~flag).drop("_pr")
+        cols = df.columns
+        return ranked.where(flag).select(*cols), ranked.where(~flag).select(*cols)
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("match_id")), F.lit(100))
     return df.where(bucket < int(fraction * 100)), df.where(bucket >= int(fraction * 100))
 

@@ -33,17 +33,30 @@ def lattice_uniforms(sim: Column, fid: Column) -> tuple[Column, Column]:
     return uh, ua
 
 
-def scenario_results(fixtures: DataFrame, n_sims: int, seed: int = 42, uniforms: str = "hash") -> DataFrame:
+def scenario_results(fixtures: DataFrame, n_sims: int, seed: int = 42, uniforms: str = "hash",
+                     block: int = 1000) -> DataFrame:
     """C1 + J13 + M8: every (sim, fixture) with sampled goals.
 
     ``fixtures``: (league, fixture_id, home_team, away_team, lambda_home, lambda_away).
     Output: (league, sim, fixture_id, home_team, away_team, home_goals, away_goals).
+
+    Simulations are generated in two in-row steps: fixtures × blocks of
+    ``block`` simulations (small), spread over the cluster by (league, block),
+    then each block expands to its simulations where it lands — so generating
+    millions of scenarios never piles up in the few tasks holding the fixtures.
     """
-    # CDFs once per fixture, then one row per simulation (in-row explode, no join).
+    # CDFs once per fixture, then blocks, then one row per simulation (no join).
     per_fixture = fixtures.select("league", "fixture_id", "home_team", "away_team",
                                   poisson_cdf_array(F.col("lambda_home")).alias("_hcdf"),
                                   poisson_cdf_array(F.col("lambda_away")).alias("_acdf"))
-    sims = per_fixture.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_sims - 1).cast("long"))).alias("sim"))
+    n_blocks = (n_sims + block - 1) // block
+    blocks = per_fixture.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("_block"))
+    if n_blocks > 1:
+        parts = int(fixtures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.repartition(parts, "league", "_block")
+    first = F.col("_block") * block
+    last = F.least(first + block, F.lit(n_sims)) - 1
+    sims = blocks.select("*", F.explode(F.sequence(first, last)).alias("sim")).drop("_block")
     if uniforms == "lattice":
         uh, ua = lattice_uniforms(F.col("sim"), F.col("fixture_id"))
     else:

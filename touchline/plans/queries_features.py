@@ -183,3 +183,13 @@ def q_latest_state_join(spark, sf_dir):
     """Each fixture with the home side's latest home form and the away side's latest away form."""
     c = contests(spark, sf_dir)
     return form.latest_state_join(fixtures_from_contests(c), c)
+
+
+@register("elo_ratings_by_season", with_ctes(CONTESTS, ELO_CTE, body="""
+SELECT match_id, league, round(eh, 6) AS elo_home_pre, round(ea, 6) AS elo_away_pre,
+  round(eh - ea, 6) AS elo_diff
+FROM elo WHERE rn > 0"""))
+def q_elo_ratings_by_season(spark, sf_dir):
+    """E8 (chunked form): the fold run season by season, ratings carried and
+    checkpointed between seasons; must equal the single pass."""
+    return elo.elo_ratings(contests(spark, sf_dir), chunk="season")

@@ -14,7 +14,7 @@ from ..sources import files
 from ..sources.raw import DRIFT_SEASON, raw_from_contests
 from ..sources.tables import contests
 from .catalog import register
-from .oracle_sql import CONTESTS, with_ctes
+from .oracle_sql import CONTESTS, ODDS, with_ctes
 from .queries_features import ELO_CTE, ROLLED, SIDED
 from .queries_models import BASE, TEST_SEASON, predictions, split
 from .oracle_sql import SIDES
@@ -185,3 +185,45 @@ FROM (SELECT c.*, sided.* EXCLUDE (match_id), round(e.eh, 6) AS elo_home_pre, ro
 def q_features_targets(spark, sf_dir):
     """Allow-listed pre-match features (NULL → 0) and the label."""
     return forest.features_targets(form.build_features(contests(spark, sf_dir)), FEATURE_COLS)
+
+
+PADDED = {"Div": " Div", "Date": "Date ", "HomeTeam": "  HomeTeam ", "AwayTeam": "AwayTeam", "FTHG": "FTHG",
+          "FTAG": " FTAG", "FTR": "FTR"}
+
+
+@register("normalise_header", with_ctes(CONTESTS, RAW_SQL, body="""
+SELECT Div, Date, HomeTeam, AwayTeam, FTHG, FTAG, FTR, season FROM raw"""))
+def q_normalise_header(spark, sf_dir):
+    """Season files whose header names carry stray blanks are read back with
+    clean names (and latin-1 decoding)."""
+    raw = _raw(spark, sf_dir)
+    padded = raw.select(*[F.col(k).alias(v) for k, v in PADDED.items()], "season", "header_group")
+    base = scratch_path(spark, "padded-files")
+    globs = files.write_raw_seasons(padded, base, {"early": list(PADDED.values()), "late": list(PADDED.values())})
+    paths = [p for g in globs for p in files.list_files(spark, g)]
+    return files.read_seasons(spark, paths).select(*PADDED.keys(), "season")
+
+
+@register("odds_projection", with_ctes(CONTESTS, ODDS, body="""
+SELECT c.match_datetime, c.home_team, c.away_team, o.home_odds_c / 100.0 AS b365_home_win_odds,
+  o.draw_odds_c / 100.0 AS b365_draw_odds, o.away_odds_c / 100.0 AS b365_away_win_odds
+FROM contests c JOIN contest_odds o USING (match_id)"""))
+def q_odds_projection(spark, sf_dir):
+    """The separate odds table of the wide clean frame (raw B365 columns mapped by the wide map)."""
+    from ..sources.tables import contest_odds
+
+    c = contests(spark, sf_dir)
+    o = contest_odds(spark, sf_dir)
+    raw = raw_from_contests(c, wide=True).join(
+        o.select(F.col("match_id").alias("source_line"),
+                 *[(F.col(f"{s}_odds_c") / 100).cast("string").alias(f"B365{s[0].upper()}") for s in ("home", "draw", "away")]),
+        "source_line")
+    mapped = clean.map_columns(raw.drop("header_group"), clean.WIDE_COLUMN_MAP)
+    from ..functions.scalars import parse_day_first
+
+    x = mapped.withColumn("match_datetime", parse_day_first("date"))
+    x = x.select("*", *[F.col(c).try_cast("double").alias(c + "_d") for c in ("b365_home_win_odds", "b365_draw_odds", "b365_away_win_odds")])
+    x = x.drop("b365_home_win_odds", "b365_draw_odds", "b365_away_win_odds")
+    for c in ("b365_home_win_odds", "b365_draw_odds", "b365_away_win_odds"):
+        x = x.withColumnRenamed(c + "_d", c)
+    return clean.odds_projection(x)

@@ -268,3 +268,22 @@ def q_dataset_health(spark, sf_dir):
         F.lit(None).cast("string").alias("max_date"),
         F.round(F.avg(F.when(F.col("home_odds_c").isNull(), 1.0).otherwise(0.0)), 6).alias("null_rate"))
     return c.unionByName(o)
+
+
+@register("load_star", with_ctes(CONTESTS, ODDS, STAR, body="""
+SELECT 'leagues' AS "table", count(*) AS rows FROM leagues UNION ALL
+SELECT 'seasons', count(*) FROM seasons UNION ALL SELECT 'teams', count(*) FROM teams UNION ALL
+SELECT 'matches', count(*) FROM (SELECT * FROM (SELECT *, row_number() OVER (
+    PARTITION BY league, season, match_datetime, home_team, away_team ORDER BY match_id) AS rn FROM contests) WHERE rn = 1)"""))
+def q_load_star(spark, sf_dir):
+    """The star loaded twice with INSERT IGNORE semantics (a second load of the
+    same batch adds nothing); per-table row counts of the loaded dimensions and facts."""
+    c = contests(spark, sf_dir)
+    key = list(star.NATURAL_MATCH_KEY)
+    empty = spark.createDataFrame([], c.select("match_id", *key).schema)  # the table before its first load
+    first = star.insert_if_absent(empty, c.select("match_id", *key), key, ["match_id"])
+    second = star.insert_if_absent(first, c.select("match_id", *key), key, ["match_id"])
+    st = star.load_star(c)
+    dims = star.load_counts({k: st[k] for k in ("leagues", "seasons", "teams")})
+    facts = second.agg(F.count(F.lit(1)).cast("long").alias("rows")).select(F.lit("matches").alias("table"), "rows")
+    return dims.unionByName(facts)

@@ -111,6 +111,20 @@ def derive_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contest_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookmaker odds per contest, derived once per application and written to the
+    shared checkpoint folder (like ``contests``)."""
+    from ..session import scratch_path
+
+    key = (spark.sparkContext.applicationId, sf_dir + "#odds")
+    path = _MATERIALISED.get(key)
+    if path is None:
+        path = scratch_path(spark, "contest-odds")
+        derive_contest_odds(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _MATERIALISED[key] = path
+    return spark.read.schema("match_id long, home_odds_c int, draw_odds_c int, away_odds_c int").parquet(path)
+
+
+def derive_contest_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bookmaker odds per contest in hundredths (integers); NULL for low-priority orders."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_tax", "l_linenumber")
     per_order = li.groupBy("l_orderkey").agg(
