@@ -100,3 +100,45 @@ def test_order_independence(spark, c):
     a = sorted(tables.league_table_asof(c).collect())
     b = sorted(tables.league_table_asof(shuffled).collect())
     assert a == b
+
+
+def test_fraction_split_matches_percent_rank(spark, c):
+    w = Window.partitionBy("league").orderBy("match_datetime", "match_id")
+    expected = sorted(r[0] for r in c.select("match_id", F.percent_rank().over(w).alias("pr")).where("pr < 0.8").collect())
+    train, test = evaluate.fraction_split(c, 0.8)
+    assert sorted(r[0] for r in train.select("match_id").collect()) == expected
+    assert train.count() + test.count() == c.count()
+
+
+def test_scenario_blocks_do_not_change_draws(spark, c):
+    fx = spark.createDataFrame([("L", 1, "a", "b", 1.4, 1.1), ("L", 2, "b", "a", 1.2, 0.8)],
+                               "league string, fixture_id long, home_team string, away_team string, lambda_home double, lambda_away double")
+    one_block = scenario.scenario_results(fx, 300, seed=5, block=1000)
+    many_blocks = scenario.scenario_results(fx, 300, seed=5, block=7)
+    assert sorted(one_block.collect()) == sorted(many_blocks.collect())
+
+
+def test_star_constraints_hold(spark, c):
+    st = star.load_star(c)
+    assert all(r["orphans"] == 0 for r in star.foreign_key_report(st).collect())
+    assert all(r["duplicate_rows"] == 0 for r in star.check_unique(st, {"teams": ["name"], "matches": ["id"]}).collect())
+    violations = {r["rule"]: r["violations"] for r in star.check_domain(st["matches"]).collect()}
+    assert violations["distinct_sides"] == 0 and violations["result_domain"] == 0
+
+
+@pytest.mark.parametrize("target", [40, 3])
+def test_adaptive_slices_equal_plain_window(spark, c, target):
+    """Small slice targets force the split paths (fine time units, then day + id ranges)."""
+    from touchline.operators.perspective import team_perspective
+
+    long = team_perspective(c)
+    keys, order = ["league", "team"], ["match_datetime", "match_id"]
+    chunk = chunked.choose_chunk(long, keys, target_rows=target)
+    assert chunk is not None
+    spec = {"v": lambda w: F.round(F.avg("goals_scored").over(w.rowsBetween(-5, -1)), 2)}
+    split = chunked.bounded_window(long, keys, order, spec, 5, ["goals_scored"], chunk=chunk).select("match_id", "team", "v")
+    plain = chunked.bounded_window(long, keys, order, spec, 5, ["goals_scored"], chunk=None).select("match_id", "team", "v")
+    assert sorted(split.collect()) == sorted(plain.collect())
+    rn_split = chunked.bounded_row_number(c, ["league", "season"], order, "rn", chunk=chunked.choose_chunk(c, ["league", "season"], target_rows=target))
+    rn_plain = chunked.bounded_row_number(c, ["league", "season"], order, "rn", chunk=None)
+    assert sorted(rn_split.select("match_id", "rn").collect()) == sorted(rn_plain.select("match_id", "rn").collect())

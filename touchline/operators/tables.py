@@ -9,11 +9,11 @@ combined before the shuffle. Rankings are windows partitioned by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import correct_any_max, market_favourite, pair_key
-from .chunked import chunked_window
+from .chunked import bounded_window
 from .perspective import team_perspective
 
 
@@ -125,14 +125,14 @@ def team_or_join(matches: DataFrame, teams: DataFrame) -> DataFrame:
     return sides.join(teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name")), "team_id")
 
 
-def points_last_n(contests: DataFrame, n: int = 5, chunk: str = "month") -> DataFrame:
+def points_last_n(contests: DataFrame, n: int = 5, chunk: Column | None | str = "auto") -> DataFrame:
     """For every (league, team) match, the points of that match and the sum
     over it and the ``n-1`` before it (ROWS n-1 PRECEDING .. CURRENT ROW),
     ordered by (match_datetime, match_id). Hot teams are split by ``chunk``."""
     long = team_perspective(contests, stats=[]).select("league", "team", "match_datetime", "match_id", "points")
     specs = {f"points_last_{n}_matches": lambda w: F.sum("points").over(w.rowsBetween(-(n - 1), 0)).cast("long")}
-    out = chunked_window(long, ["league", "team"], ["match_datetime", "match_id"],
-                         F.date_trunc(chunk, "match_datetime"), specs, lookback=n - 1, carry=["points"])
+    out = bounded_window(long, ["league", "team"], ["match_datetime", "match_id"], specs, lookback=n - 1,
+                         carry=["points"], chunk=chunk)
     return out.select("league", "team", "match_id", "match_datetime",
                       F.col("points").cast("long").alias("points_for_match"), f"points_last_{n}_matches")
 
