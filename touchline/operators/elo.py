@@ -87,9 +87,9 @@ def _elo_pass(matches: DataFrame, state: DataFrame | None, k: float, initial: fl
                          F.lit(None).cast("string").alias("away_team"), F.lit(None).cast("string").alias("result"),
                          F.col("rating").cast("double"))
         m = m.unionByName(s)
-    spark = matches.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = m.repartition(n, "league").sortWithinPartitions("league", "kind", "match_datetime", "match_id")
+    # Hash by league without a fixed count: AQE merges empty/small partitions,
+    # so a session with many shuffle partitions does not start idle Python tasks.
+    ordered = m.repartition("league").sortWithinPartitions("league", "kind", "match_datetime", "match_id")
     return ordered.mapInPandas(_fold(k, initial), _OUT_SCHEMA)
 
 
