@@ -57,7 +57,10 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _MATERIALISED.get(key)
     if path is None:
         path = scratch_path(spark, "contests")
-        (derive_contests(spark, sf_dir).sortWithinPartitions("league", "season")
+        # rebalance: AQE sizes the write partitions (splits big (league, season)
+        # groups, merges small ones), so files stay near the advisory size at any scale.
+        (derive_contests(spark, sf_dir).hint("rebalance", "league", "season")
+         .sortWithinPartitions("league", "season")
          .write.mode("overwrite").partitionBy("league", "season").parquet(path))
         _MATERIALISED[key] = path
     return spark.read.schema(CONTEST_SCHEMA).parquet(path).select(*CONTEST_COLUMNS)
