@@ -8,7 +8,7 @@ so empty classes keep their zero counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import OUTCOMES, argmax_outcome, one_hot_outcome
@@ -100,9 +100,12 @@ def matchweek_accuracy(predictions: DataFrame, weeks: DataFrame, tie: str = "str
     s = scored(predictions, weeks.select("match_id", "league", "season", "match_datetime", "result"), tie)
     s = s.join(weeks.select("match_id", "matchweek"), "match_id")
     hit = F.when(F.col("predicted") == F.col("result"), 1).otherwise(0)
-    return s.groupBy("model_name", "league", "matchweek").agg(
+    per_week = s.groupBy("model_name", "league", "matchweek").agg(
         F.sum(hit).cast("long").alias("correct"), F.count(F.lit(1)).cast("long").alias("total"),
         F.round(100.0 * F.avg(hit), 1).alias("accuracy_pct"))
+    # the flat baseline drawn under every week: the model's overall accuracy (one row per model)
+    overall = s.groupBy("model_name").agg(F.round(100.0 * F.avg(hit), 1).alias("baseline_pct"))
+    return per_week.join(overall, "model_name")
 
 
 def model_showdown(metrics: DataFrame, models: tuple[str, str]) -> DataFrame:
@@ -111,8 +114,9 @@ def model_showdown(metrics: DataFrame, models: tuple[str, str]) -> DataFrame:
     wide = metrics.groupBy().pivot("model_name", list(models)).agg(
         F.first("accuracy").alias("accuracy"), F.first("brier").alias("brier"))
     diff = F.col(f"{a}_accuracy") - F.col(f"{b}_accuracy")
-    return wide.select("*", F.round(100.0 * diff, 2).alias("accuracy_diff_pct"),
-                       F.when(diff > 0, a).when(diff < 0, b).otherwise("tie").alias("winner"))
+    return wide.select("*", F.round(100.0 * diff, 1).alias("accuracy_diff_pct"),
+                       F.when(diff > 0, a).when(diff < 0, b).otherwise("tie").alias("winner"),
+                       F.when(diff > 0, a).otherwise(b).alias("best_model"))
 
 
 def home_baseline(matches: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import OUTCOMES
 from .perspective import team_perspective
 
 # History gates and their constant (home, draw, away) priors, as in the reference.
@@ -178,5 +177,3 @@ def fixture_feature_row(fixtures_with_state: DataFrame, feature_cols: Sequence[s
     return fixtures_with_state.select("league", "fixture_id", "home_team", "away_team",
                                       *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
 
-
-__all__ = ["OUTCOMES"]

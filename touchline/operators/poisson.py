@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, poisson_cdf_array, poisson_log_pmf, poisson_pmf_array
+from ..functions.scalars import clip, poisson_log_pmf, poisson_pmf_array
 from .perspective import distinct_teams
 
 # Grid size, λ clip range, defence offset and the unknown-team default.

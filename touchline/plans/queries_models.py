@@ -359,12 +359,13 @@ def q_accuracy_by_type(spark, sf_dir):
 
 @register("matchweek_accuracy", sql(body="""
 SELECT model_name, league, matchweek, CAST(sum(hit) AS BIGINT) AS correct, count(*) AS total,
-  round(100.0 * avg(hit), 1) AS accuracy_pct
+  round(100.0 * avg(hit), 1) AS accuracy_pct, any_value(baseline_pct) AS baseline_pct
 FROM (
   SELECT s.model_name, s.league, CASE WHEN pred_strict = result THEN 1 ELSE 0 END AS hit,
-    (row_number() OVER (PARTITION BY s.model_name, s.league, s.season ORDER BY s.match_datetime, s.match_id) - 1) // 10 + 1 AS matchweek
+    (row_number() OVER (PARTITION BY s.model_name, s.league, s.season ORDER BY s.match_datetime, s.match_id) - 1) // 10 + 1 AS matchweek,
+    round(100.0 * avg(CASE WHEN pred_strict = result THEN 1 ELSE 0 END) OVER (PARTITION BY s.model_name), 1) AS baseline_pct
   FROM scored s)
-GROUP BY ALL"""))
+GROUP BY model_name, league, matchweek"""))
 def q_matchweek_accuracy(spark, sf_dir):
     """D13 + W5: accuracy per matchweek (10 matches a week in season order)."""
     _, _, test = split(spark, sf_dir)
@@ -374,8 +375,9 @@ def q_matchweek_accuracy(spark, sf_dir):
 
 @register("model_showdown", sql(body="""
 SELECT pa AS poisson_accuracy, pb AS poisson_brier, ha AS home_bias_accuracy, hb AS home_bias_brier,
-  round(100.0 * (pa - ha), 2) AS accuracy_diff_pct,
-  CASE WHEN pa > ha THEN 'poisson' WHEN pa < ha THEN 'home_bias' ELSE 'tie' END AS winner
+  round(100.0 * (pa - ha), 1) AS accuracy_diff_pct,
+  CASE WHEN pa > ha THEN 'poisson' WHEN pa < ha THEN 'home_bias' ELSE 'tie' END AS winner,
+  CASE WHEN pa > ha THEN 'poisson' ELSE 'home_bias' END AS best_model
 FROM (
   SELECT max(CASE WHEN model_name = 'poisson' THEN acc END) AS pa, max(CASE WHEN model_name = 'poisson' THEN br END) AS pb,
     max(CASE WHEN model_name = 'home_bias' THEN acc END) AS ha, max(CASE WHEN model_name = 'home_bias' THEN br END) AS hb

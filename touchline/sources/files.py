@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import iso_date
 from ..operators.perspective import concat_frames
 
 SEASON_FROM_PATH = r"season[_=]([A-Za-z0-9]+)"
@@ -162,5 +161,3 @@ def fixture_rows(matches: DataFrame, weeks: DataFrame) -> DataFrame:
                     F.col("league").alias("Location"), F.col("home_team").alias("Home Team"),
                     F.col("away_team").alias("Away Team"), F.lit(None).cast("string").alias("Result"))
 
-
-__all__ = ["iso_date"]
