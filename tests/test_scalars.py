@@ -75,5 +75,7 @@ def test_means_and_importance(spark):
     assert one(spark, H.mean_non_null([F.lit(2.0), F.lit(None).cast("double"), F.lit(3.0)])) == 2.5
     assert one(spark, H.mean_non_null([F.lit(None).cast("double")])) is None
     assert one(spark, H.importance_score(F.lit(1800.0), F.lit(1800.0), F.lit(0.4), F.lit(0.4))) == pytest.approx(1.0)
+    assert one(spark, H.importance_score(F.lit(1800.0), F.lit(1800.0), F.lit(None).cast("double"), F.lit(0.4))) == 0.0
+    assert one(spark, H.importance_score(F.lit(2100.0), F.lit(1500.0), F.lit(0.5), F.lit(0.5))) == pytest.approx(0.6 * 1.0 + 0.4)
     assert one(spark, H.round_half_even(F.lit(2.665), 2)) == pytest.approx(2.66)
     assert one(spark, H.round_half_up(F.lit(2.665), 2)) == pytest.approx(2.67)

@@ -226,16 +226,17 @@ def fill_default(x: Column | str, default) -> Column:
 
 
 def min_max_normalise(x: Column | str, lo: float = 1200.0, hi: float = 1800.0) -> Column:
-    """H16 part: (x − lo)/(hi − lo), clipped to [0, 1]."""
-    return clip((_c(x).cast("double") - F.lit(lo)) / F.lit(hi - lo), 0.0, 1.0)
+    """H16 part: (x − lo)/(hi − lo) — not clipped (ratings outside the range go past 0 or 1)."""
+    return (_c(x).cast("double") - F.lit(lo)) / F.lit(hi - lo)
 
 
 def importance_score(elo_home: Column | str, elo_away: Column | str, p_home: Column | str, p_away: Column | str) -> Column:
-    """0.6 · mean normalised Elo + 0.4 · (1 − |p_home − p_away|); no prediction → 0 for that term."""
+    """0.6 · mean normalised Elo (missing rating → 1500) + 0.4 · (1 − |p_home − p_away|);
+    a match without a prediction scores 0."""
     elo_term = (min_max_normalise(F.coalesce(_c(elo_home), F.lit(1500.0)))
                 + min_max_normalise(F.coalesce(_c(elo_away), F.lit(1500.0)))) / 2
-    balance = F.coalesce(1 - F.abs(_c(p_home) - _c(p_away)), F.lit(0.0))
-    return 0.6 * elo_term + 0.4 * balance
+    balance = 1 - F.abs(_c(p_home) - _c(p_away))
+    return F.when(_c(p_home).isNull() | _c(p_away).isNull(), F.lit(0.0)).otherwise(0.6 * elo_term + 0.4 * balance)
 
 
 def iso_date(x: Column | str) -> Column:

@@ -608,9 +608,9 @@ def q_promoted_prior(spark, sf_dir):
 SELECT league, match_id, round(score, 6) AS importance FROM (
   SELECT *, row_number() OVER (PARTITION BY league ORDER BY score DESC, match_id) AS rn FROM (
     SELECT c.league, c.match_id,
-      0.6 * ((greatest(0.0, least(1.0, (round(e.eh, 6) - 1200.0) / 600.0))
-            + greatest(0.0, least(1.0, (round(e.ea, 6) - 1200.0) / 600.0))) / 2)
-      + 0.4 * coalesce(1 - abs(p.p_home - p.p_away), 0.0) AS score
+      CASE WHEN p.p_home IS NULL OR p.p_away IS NULL THEN 0.0 ELSE
+        0.6 * (((round(e.eh, 6) - 1200.0) / 600.0 + (round(e.ea, 6) - 1200.0) / 600.0) / 2)
+        + 0.4 * (1 - abs(p.p_home - p.p_away)) END AS score
     FROM test c JOIN (SELECT * FROM elo WHERE rn > 0) e USING (match_id)
     LEFT JOIN (SELECT * FROM preds WHERE model_name = 'poisson') p USING (match_id)))
 WHERE rn = 1"""))
