@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import away_points, home_points
 
-KEY_COLS = ("match_id", "league", "season", "match_datetime")
+KEY_COLS = ("match_id", "league", "season", "match_datetime", "result")
 
 
 def side_stats(df: DataFrame) -> list[str]:
@@ -30,8 +30,9 @@ def side_stats(df: DataFrame) -> list[str]:
 
 
 def team_perspective(contests: DataFrame, stats: list[str] | None = None, unknown_points_as_zero: bool = True) -> DataFrame:
-    """``(match_id, league, season, match_datetime, team, opponent, is_home,
-    goals_scored, goals_conceded, points, <stats…>)`` — two rows per match."""
+    """``(match_id, league, season, match_datetime, result, team, opponent, is_home,
+    goals_scored, goals_conceded, points, <stats…>)`` — two rows per match (``result``
+    stays the match's H/D/A code)."""
     stats = side_stats(contests) if stats is None else list(stats)
     keys = [c for c in KEY_COLS if c in contests.columns]
 

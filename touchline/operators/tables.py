@@ -100,13 +100,14 @@ def team_season_summary(contests: DataFrame) -> DataFrame:
     The reference joins ``teams ON home = id OR away = id``; here the long frame
     makes that an equi grouping (no nested-loop join)."""
     long = team_perspective(contests, stats=[])
-    win = F.col("goals_scored") > F.col("goals_conceded")
-    draw = F.col("goals_scored") == F.col("goals_conceded")
+    h, r = F.col("is_home"), F.col("result")
+    win = (h & (r == "H")) | (~h & (r == "A"))
+    loss = (h & (r == "A")) | (~h & (r == "H"))
     return long.groupBy("league", "season", "team").agg(
         F.count(F.lit(1)).cast("long").alias("matches_played"),
         _sum_int(F.when(win, 1).otherwise(0)).alias("wins"),
-        _sum_int(F.when(draw, 1).otherwise(0)).alias("draws"),
-        _sum_int(F.when(~win & ~draw, 1).otherwise(0)).alias("losses"),
+        _sum_int(F.when(r == "D", 1).otherwise(0)).alias("draws"),
+        _sum_int(F.when(loss, 1).otherwise(0)).alias("losses"),
         _sum_int("goals_scored").alias("goals_for"),
         _sum_int("goals_conceded").alias("goals_against"),
     )

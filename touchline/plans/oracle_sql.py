@@ -30,13 +30,13 @@ sides AS (
   SELECT match_id, league, season, match_datetime, home_team AS team, away_team AS opponent, TRUE AS is_home,
     home_goals AS goals_scored, away_goals AS goals_conceded,
     CASE result WHEN 'H' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS points,
-    home_shots AS shots, home_corners AS corners
+    home_shots AS shots, home_corners AS corners, result
   FROM contests
   UNION ALL
   SELECT match_id, league, season, match_datetime, away_team, home_team, FALSE,
     away_goals, home_goals,
     CASE result WHEN 'A' THEN 3 WHEN 'D' THEN 1 ELSE 0 END,
-    away_shots, away_corners
+    away_shots, away_corners, result
   FROM contests
 )"""
 

@@ -161,9 +161,9 @@ def q_team_filter(spark, sf_dir):
 
 @register("team_season_summary", with_ctes(CONTESTS, SIDES, body="""
 SELECT league, season, team, count(*) AS matches_played,
-  CAST(sum(CASE WHEN points = 3 THEN 1 ELSE 0 END) AS BIGINT) AS wins,
-  CAST(sum(CASE WHEN points = 1 THEN 1 ELSE 0 END) AS BIGINT) AS draws,
-  CAST(sum(CASE WHEN points = 0 THEN 1 ELSE 0 END) AS BIGINT) AS losses,
+  CAST(sum(CASE WHEN (is_home AND result = 'H') OR (NOT is_home AND result = 'A') THEN 1 ELSE 0 END) AS BIGINT) AS wins,
+  CAST(sum(CASE WHEN result = 'D' THEN 1 ELSE 0 END) AS BIGINT) AS draws,
+  CAST(sum(CASE WHEN (is_home AND result = 'A') OR (NOT is_home AND result = 'H') THEN 1 ELSE 0 END) AS BIGINT) AS losses,
   CAST(sum(goals_scored) AS BIGINT) AS goals_for, CAST(sum(goals_conceded) AS BIGINT) AS goals_against
 FROM sides GROUP BY league, season, team"""))
 def q_team_season_summary(spark, sf_dir):
