@@ -222,3 +222,9 @@ FROM contest_odds o JOIN contests c ON c.match_id = o.match_id"""))
 def q_odds_vs_actual(spark, sf_dir):
     """Odds ⋈ matches with the implied favourite."""
     return tables.odds_vs_actual(odds_decimal(spark, sf_dir), contests(spark, sf_dir))
+
+
+@register("market_accuracy_overall", with_ctes(CONTESTS, ODDS, body=MARKET_SQL.format(keys="", group="")))
+def q_market_accuracy_overall(spark, sf_dir):
+    """D6 as the reference states it: one row over every match with full odds."""
+    return tables.market_accuracy(odds_decimal(spark, sf_dir), contests(spark, sf_dir), by_league=False)

@@ -154,7 +154,8 @@ def metrics_frame(spark, sf_dir):
         F.col("model_name").alias("model"), "accuracy", "predictions",
         F.when(F.col("model_name") == "poisson", "Poisson Distribution").otherwise("Constant prior").alias("model_type"),
         "correct_predictions", "total_predictions", "prediction_distribution", "actual_distribution",
-        "accuracy_by_type", "matchweek_stats")
+        "accuracy_by_type", "matchweek_stats", F.lit(TEST_SEASON).alias("test_season"),
+        F.col("predictions").alias("test_matches"))
 
 
 @register("write_read_metrics", with_ctes(*BASE, body="""

@@ -132,6 +132,8 @@ METRICS_SCHEMA = T.StructType([
     T.StructField("accuracy_by_type", T.StructType([T.StructField(o, T.DoubleType()) for o in "HDA"])),
     T.StructField("matchweek_stats", T.MapType(T.StringType(), T.StructType(
         [T.StructField("correct", T.LongType()), T.StructField("total", T.LongType())]))),
+    T.StructField("test_season", T.StringType()),
+    T.StructField("test_matches", T.LongType()),
 ])
 
 
@@ -149,7 +151,8 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
                      F.coalesce("correct_predictions", F.lit(0)).alias("correct_predictions"),
                      F.coalesce("total_predictions", F.lit(0)).alias("total_predictions"),
                      "prediction_distribution", "actual_distribution", "accuracy_by_type",
-                     F.coalesce("matchweek_stats", F.create_map().cast(METRICS_SCHEMA["matchweek_stats"].dataType)).alias("matchweek_stats"))
+                     F.coalesce("matchweek_stats", F.create_map().cast(METRICS_SCHEMA["matchweek_stats"].dataType)).alias("matchweek_stats"),
+                     "test_season", F.coalesce("test_matches", F.lit(0)).alias("test_matches"))
 
 
 def fixture_rows(matches: DataFrame, weeks: DataFrame) -> DataFrame:
