@@ -624,3 +624,14 @@ def q_featured_match(spark, sf_dir):
     best = scored.groupBy("league").agg(F.max_by(F.struct("match_id", "score"),
                                                  F.struct("score", -F.col("match_id"))).alias("b"))
     return best.select("league", "b.match_id", F.round("b.score", 6).alias("importance"))
+
+
+@register("check_probability_domain", sql(body="""
+SELECT CAST(coalesce(sum(CASE WHEN p_home < 0 OR p_home > 1 OR p_draw < 0 OR p_draw > 1 OR p_away < 0 OR p_away > 1
+  THEN 1 ELSE 0 END), 0) AS BIGINT) AS violations FROM preds"""))
+def q_check_probability_domain(spark, sf_dir):
+    """V4: stored probabilities outside [0, 1] (predictions table, both models)."""
+    from ..operators.star import check_probability_domain
+
+    v = check_probability_domain(predictions(spark, sf_dir))
+    return v.select(F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
