@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,34 +42,38 @@ def _fold(k: float, initial: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ratings: dict[str, dict[str, float]] = {}
         for pdf in batches:
+            n = len(pdf)
             kinds = pdf["kind"].to_numpy()
-            leagues = pdf["league"].tolist()
-            ids = pdf["match_id"].tolist()
+            leagues = pdf["league"].to_numpy()
             homes = pdf["home_team"].tolist()
             aways = pdf["away_team"].tolist()
-            results = pdf["result"].tolist()
             seeds = pdf["rating"].tolist()
-            out_ids, out_leagues, out_h, out_a = [], [], [], []
-            for i in range(len(pdf)):
-                table = ratings.setdefault(leagues[i], {})
-                if kinds[i] == 0:  # carried-in rating
-                    table[homes[i]] = float(seeds[i])
-                    continue
-                h, a = homes[i], aways[i]
-                rh = table.get(h, initial)
-                ra = table.get(a, initial)
-                expected_home = 1.0 / (1.0 + 10.0 ** ((ra - rh) / 400.0))
-                r = results[i]
-                actual_home = 1.0 if r == "H" else (0.5 if r == "D" else 0.0)
-                table[h] = rh + k * (actual_home - expected_home)
-                table[a] = ra + k * ((1.0 - actual_home) - (1.0 - expected_home))
-                out_ids.append(ids[i])
-                out_leagues.append(leagues[i])
-                out_h.append(rh)
-                out_a.append(ra)
-            if out_ids:
-                yield pd.DataFrame({"kind": 1, "league": out_leagues, "match_id": out_ids, "team": None,
-                                    "elo_home_pre": out_h, "elo_away_pre": out_a, "rating": None})
+            res = pdf["result"].to_numpy()
+            score = np.where(res == "H", 1.0, np.where(res == "D", 0.5, 0.0)).tolist()
+            pre_h = np.empty(n)
+            pre_a = np.empty(n)
+            # rows arrive sorted by league: walk each contiguous league run with its table
+            cuts = np.flatnonzero(leagues[1:] != leagues[:-1]) + 1
+            for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, n].tolist()):
+                table = ratings.setdefault(leagues[lo], {})
+                get = table.get
+                for i in range(lo, hi):
+                    if kinds[i] == 0:  # carried-in rating
+                        table[homes[i]] = float(seeds[i])
+                        continue
+                    h, a = homes[i], aways[i]
+                    rh, ra = get(h, initial), get(a, initial)
+                    expected_home = 1.0 / (1.0 + 10.0 ** ((ra - rh) / 400.0))
+                    sh = score[i]
+                    table[h] = rh + k * (sh - expected_home)
+                    table[a] = ra + k * ((1.0 - sh) - (1.0 - expected_home))
+                    pre_h[i] = rh
+                    pre_a[i] = ra
+            keep = kinds == 1
+            if keep.any():
+                yield pd.DataFrame({"kind": 1, "league": leagues[keep], "match_id": pdf["match_id"].to_numpy()[keep],
+                                    "team": None, "elo_home_pre": pre_h[keep], "elo_away_pre": pre_a[keep],
+                                    "rating": None})
         rows = [(lg, t, v) for lg, table in ratings.items() for t, v in table.items()]
         if rows:
             yield pd.DataFrame({"kind": 2, "league": [r[0] for r in rows], "match_id": None,
