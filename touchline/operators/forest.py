@@ -172,10 +172,24 @@ def promoted_prior(targets: DataFrame, strengths: DataFrame) -> DataFrame:
                     F.round(F.coalesce("defence", "q_defence"), 6).alias("defence"))
 
 
-def fixture_feature_row(fixtures_with_state: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
-    """M7 (model path): one feature row per fixture from the latest states —
-    ``*_home`` from the home side, ``*_away`` from the away side, NULL → 0."""
-    cols = [c for c in feature_cols if c in fixtures_with_state.columns]
-    return fixtures_with_state.select("league", "fixture_id", "home_team", "away_team",
-                                      *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-
+def fixture_feature_rows(fixtures: DataFrame, wide: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
+    """M7 (model path): one feature row per fixture from the home team's latest
+    row as home side and the away team's latest row as away side (``max_by``, no
+    sort): ``*_home`` columns come from the former, ``*_away`` from the latter, the
+    rest are averaged over both; NULL → 0."""
+    order = F.struct("match_datetime", "match_id")
+    cols = [c for c in feature_cols if c in wide.columns]
+    home_last = wide.groupBy("league", "home_team").agg(F.max_by(F.struct(*cols), order).alias("h"))
+    away_last = wide.groupBy("league", "away_team").agg(F.max_by(F.struct(*cols), order).alias("a"))
+    x = fixtures.join(home_last, ["league", "home_team"], "left").join(away_last, ["league", "away_team"], "left")
+
+    def pick(c: str):
+        if c.endswith("_home"):
+            v = F.col(f"h.{c}")
+        elif c.endswith("_away"):
+            v = F.col(f"a.{c}")
+        else:
+            v = (F.col(f"h.{c}") + F.col(f"a.{c}")) / 2
+        return F.coalesce(v.cast("double"), F.lit(0.0)).alias(c)
+
+    return x.select("league", "fixture_id", "home_team", "away_team", *[pick(c) for c in cols])

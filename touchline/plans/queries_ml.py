@@ -114,24 +114,16 @@ def q_score_fixtures(spark, sf_dir):
     """M7 + M6 (batch scoring of every fixture): fixtures with thin history get the
     constant priors; the rest are scored by the forest from the home side's latest
     home form, the away side's latest away form and the latest Elo ratings."""
-    from ..operators import elo
     from ..sources.tables import fixtures_from_contests
 
     c = contests(spark, sf_dir)
     model, _, _ = _forest(spark, sf_dir)
     fx = fixtures_from_contests(c)
     gates = forest.fixture_gates(fx, c)
-    state = form.latest_state_join(fx, c)
-    ratings = elo.final_ratings(c)
-    state = (state.join(ratings.select("league", F.col("team").alias("home_team"), F.col("rating").alias("elo_home_pre")),
-                        ["league", "home_team"], "left")
-             .join(ratings.select("league", F.col("team").alias("away_team"), F.col("rating").alias("elo_away_pre")),
-                   ["league", "away_team"], "left")
-             .withColumn("elo_diff", F.col("elo_home_pre") - F.col("elo_away_pre")))
-    rows = forest.fixture_feature_row(state, FEATURES).withColumn("match_id", F.col("fixture_id"))
-    scored = forest.score_forest(model, rows.withColumn("match_id", F.xxhash64("league", "fixture_id")))
-    keyed = rows.select("league", "fixture_id", F.xxhash64("league", "fixture_id").alias("match_id"))
-    model_p = keyed.join(scored, "match_id").drop("match_id", "predicted")
+    rows = forest.fixture_feature_rows(fx, form.build_features(c), FEATURES)
+    keyed = rows.withColumn("match_id", F.xxhash64("league", "fixture_id"))
+    model_p = keyed.select("league", "fixture_id", "match_id").join(
+        forest.score_forest(model, keyed), "match_id").drop("match_id", "predicted")
     out = gates.join(model_p, ["league", "fixture_id"], "left")
     model_gate = F.col("gate") == "model"
     return out.select("league", "fixture_id", "home_team", "away_team", "gate",

@@ -228,3 +228,31 @@ def q_odds_projection(spark, sf_dir):
     for c in ("b365_home_win_odds", "b365_draw_odds", "b365_away_win_odds"):
         x = x.withColumnRenamed(c + "_d", c)
     return clean.odds_projection(x)
+
+
+FIX_FEATURE_SQL = ", ".join(
+    (f"coalesce(CAST(h.{x} AS DOUBLE), 0.0) AS {x}" if x.endswith("_home") else
+     f"coalesce(CAST(a.{x} AS DOUBLE), 0.0) AS {x}" if x.endswith("_away") else
+     f"coalesce(CAST((h.{x} + a.{x}) / 2 AS DOUBLE), 0.0) AS {x}") for x in FEATURE_COLS)
+
+
+@register("fixture_feature_rows", with_ctes(CONTESTS, SIDES, ROLLED, SIDED, ELO_CTE, body=f"""
+SELECT f.league, f.fixture_id, f.home_team, f.away_team, {FIX_FEATURE_SQL}
+FROM (SELECT league, home_team, away_team, row_number() OVER (PARTITION BY league ORDER BY home_team, away_team) AS fixture_id
+      FROM (SELECT DISTINCT league, home_team, away_team FROM contests)) f
+LEFT JOIN (SELECT * FROM (SELECT w.*, row_number() OVER (PARTITION BY league, home_team ORDER BY match_datetime DESC, match_id DESC) AS rn
+           FROM (SELECT c.*, sided.* EXCLUDE (match_id), round(e.eh, 6) AS elo_home_pre, round(e.ea, 6) AS elo_away_pre,
+                   round(e.eh - e.ea, 6) AS elo_diff
+                 FROM contests c LEFT JOIN sided USING (match_id) LEFT JOIN (SELECT * FROM elo WHERE rn > 0) e USING (match_id)) w)
+           WHERE rn = 1) h ON h.league = f.league AND h.home_team = f.home_team
+LEFT JOIN (SELECT * FROM (SELECT w.*, row_number() OVER (PARTITION BY league, away_team ORDER BY match_datetime DESC, match_id DESC) AS rn
+           FROM (SELECT c.*, sided.* EXCLUDE (match_id), round(e.eh, 6) AS elo_home_pre, round(e.ea, 6) AS elo_away_pre,
+                   round(e.eh - e.ea, 6) AS elo_diff
+                 FROM contests c LEFT JOIN sided USING (match_id) LEFT JOIN (SELECT * FROM elo WHERE rn > 0) e USING (match_id)) w)
+           WHERE rn = 1) a ON a.league = f.league AND a.away_team = f.away_team"""))
+def q_fixture_feature_rows(spark, sf_dir):
+    """M7 (model path): each fixture's feature row from the latest home-side and away-side rows."""
+    from ..sources.tables import fixtures_from_contests
+
+    c = contests(spark, sf_dir)
+    return forest.fixture_feature_rows(fixtures_from_contests(c), form.build_features(c), FEATURE_COLS)
