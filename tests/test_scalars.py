@@ -79,3 +79,12 @@ def test_means_and_importance(spark):
     assert one(spark, H.importance_score(F.lit(2100.0), F.lit(1500.0), F.lit(0.5), F.lit(0.5))) == pytest.approx(0.6 * 1.0 + 0.4)
     assert one(spark, H.round_half_even(F.lit(2.665), 2)) == pytest.approx(2.66)
     assert one(spark, H.round_half_up(F.lit(2.665), 2)) == pytest.approx(2.67)
+
+
+def test_defaults_pairs_percent_onehot(spark):
+    assert one(spark, H.fill_default(F.lit(None).cast("int"), 0)) == 0
+    a, b = H.pair_key(F.lit("Spurs"), F.lit("Arsenal"))
+    assert (one(spark, a), one(spark, b)) == ("Arsenal", "Spurs")
+    assert one(spark, H.percent(F.lit(0.53421), 1)) == 53.4
+    assert [one(spark, c) for c in H.one_hot_outcome(F.lit("D"))] == [0.0, 1.0, 0.0]
+    assert one(spark, H.min_max_normalise(F.lit(1950.0))) == pytest.approx(1.25)  # not clipped
