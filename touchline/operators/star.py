@@ -39,13 +39,13 @@ def assign_surrogate_keys(names: DataFrame, key: Sequence[str], existing: DataFr
     if existing is None:
         return new.withColumn(id_col, F.row_number().over(Window.orderBy(*key)).cast("long"))
     fresh = new.join(existing.select(*key), key, "left_anti")
-    base = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_base"))
-    numbered = fresh.withColumn("_rn", F.row_number().over(Window.orderBy(*key)).cast("long"))
-    # `base` is a one-row aggregate: joining it on a constant key keeps the plan an equi join.
-    added = (numbered.withColumn("_one", F.lit(1))
-             .join(base.withColumn("_one", F.lit(1)), "_one")
-             .select(*key, (F.col("_base") + F.col("_rn")).alias(id_col)))
-    return existing.select(*key, id_col).unionByName(added)
+    # One window pass over the dimension (existing ∪ new keys): new keys get
+    # max(existing id) + their row number in key order. No join, no constant key.
+    u = (existing.select(*key, F.col(id_col).cast("long").alias(id_col), F.lit(False).alias("_new"))
+         .unionByName(fresh.select(*key, F.lit(None).cast("long").alias(id_col), F.lit(True).alias("_new"))))
+    base = F.coalesce(F.max(id_col).over(Window.partitionBy()), F.lit(0).cast("long"))
+    rn = F.row_number().over(Window.partitionBy("_new").orderBy(*key)).cast("long")
+    return u.select(*key, F.when(F.col("_new"), base + rn).otherwise(F.col(id_col)).alias(id_col))
 
 
 def stable_match_id(df: DataFrame, key: Sequence[str] = NATURAL_MATCH_KEY) -> DataFrame:
