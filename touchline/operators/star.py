@@ -67,28 +67,44 @@ def anti_new_rows(target: DataFrame, new: DataFrame, key: Sequence[str]) -> Data
     return new.join(target.select(*key).distinct(), list(key), "left_anti")
 
 
-def load_star(clean: DataFrame, odds: DataFrame | None = None, ratings: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Derive every star table from the clean frame (plus odds and Elo if given)."""
-    leagues = assign_surrogate_keys(clean.select(F.col("league").alias("name")), ["name"])
+def load_star(clean: DataFrame, odds: DataFrame | None = None, ratings: DataFrame | None = None,
+              path: str | None = None) -> dict[str, DataFrame]:
+    """Derive every star table from the clean frame (plus odds and Elo if given).
+
+    With ``path`` the load is persisted: dimensions are written first, the facts
+    are built against the written dimensions and written too, and the returned
+    frames read the stored tables — later queries never re-derive a dimension
+    from a scan of all matches. Without ``path`` every table stays lazy."""
+    spark = clean.sparkSession
+
+    def persist(name: str, df: DataFrame) -> DataFrame:
+        if path is None:
+            return df
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    leagues = persist("leagues", assign_surrogate_keys(clean.select(F.col("league").alias("name")), ["name"]))
     seasons_raw = clean.select("league", "season").distinct()
-    seasons = (assign_surrogate_keys(seasons_raw, ["league", "season"])
-               .join(leagues.select(F.col("id").alias("league_id"), F.col("name").alias("league")), "league")
-               .select("id", "league_id", season_name("season").alias("name"), "league", "season"))
-    teams = assign_surrogate_keys(distinct_teams(clean, by_league=False).select(F.col("team").alias("name")), ["name"])
-    matches = lookup_ids(clean, seasons, teams)
+    seasons = persist("seasons", assign_surrogate_keys(seasons_raw, ["league", "season"])
+                      .join(leagues.select(F.col("id").alias("league_id"), F.col("name").alias("league")), "league")
+                      .select("id", "league_id", season_name("season").alias("name"), "league", "season"))
+    teams = persist("teams", assign_surrogate_keys(
+        distinct_teams(clean, by_league=False).select(F.col("team").alias("name")), ["name"]))
+    matches = persist("matches", lookup_ids(clean, seasons, teams))
     stat_cols = [c for c in clean.columns if c.startswith(("home_", "away_"))
                  and c not in ("home_team", "away_team", "home_goals", "away_goals")]
-    match_stats = matches.select(F.col("id").alias("match_id")).join(
-        clean.select("match_id", *stat_cols), "match_id")
+    match_stats = persist("match_stats", matches.select(F.col("id").alias("match_id")).join(
+        clean.select("match_id", *stat_cols), "match_id"))
     tables = {"leagues": leagues, "seasons": seasons.drop("league", "season"), "teams": teams,
               "matches": matches, "match_stats": match_stats}
     if odds is not None:
-        tables["match_market_odds"] = odds.join(matches.select(F.col("id").alias("match_id")), "match_id").select(
+        tables["match_market_odds"] = persist("match_market_odds", odds.join(
+            matches.select(F.col("id").alias("match_id")), "match_id").select(
             "match_id", F.col("home_odds").cast("decimal(8,3)").alias("b365_home_win_odds"),
             F.col("draw_odds").cast("decimal(8,3)").alias("b365_draw_odds"),
-            F.col("away_odds").cast("decimal(8,3)").alias("b365_away_win_odds"))
+            F.col("away_odds").cast("decimal(8,3)").alias("b365_away_win_odds")))
     if ratings is not None:
-        tables["team_ratings"] = ratings_by_match(ratings, matches)
+        tables["team_ratings"] = persist("team_ratings", ratings_by_match(ratings, matches))
     return tables
 
 

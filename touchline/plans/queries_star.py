@@ -38,13 +38,20 @@ results AS (
   JOIN teams a ON a.id = m.away_team_id)"""
 
 
-def _star(spark, sf_dir, with_odds=False, with_ratings=False):
-    c = contests(spark, sf_dir)
-    odds = None
-    if with_odds:
-        odds = odds_decimal(spark, sf_dir)
-    ratings = elo.elo_ratings(c) if with_ratings else None
-    return star.load_star(c, odds, ratings)
+_LOADED: dict[tuple, dict] = {}
+
+
+def _star(spark, sf_dir, with_odds=True, with_ratings=True):
+    """The star loaded (persisted) once per application from the contest table."""
+    from ..session import scratch_path
+
+    key = (spark.sparkContext.applicationId, sf_dir, with_odds, with_ratings)
+    if key not in _LOADED:
+        c = contests(spark, sf_dir)
+        odds = odds_decimal(spark, sf_dir) if with_odds else None
+        ratings = elo.elo_ratings(c) if with_ratings else None
+        _LOADED[key] = star.load_star(c, odds, ratings, path=scratch_path(spark, "star"))
+    return dict(_LOADED[key])
 
 
 @register("match_results", with_ctes(CONTESTS, STAR, body="SELECT * FROM results"))
@@ -225,7 +232,11 @@ UNION ALL SELECT 'matches', 'home_team_id', 'teams', count(*) FROM matches c ANT
 UNION ALL SELECT 'matches', 'away_team_id', 'teams', count(*) FROM matches c ANTI JOIN teams p ON p.id = c.away_team_id
 UNION ALL SELECT 'match_stats', 'match_id', 'matches', count(*) FROM match_stats c ANTI JOIN matches p ON p.id = c.match_id
 UNION ALL SELECT 'match_market_odds', 'match_id', 'matches', count(*)
-  FROM (SELECT o.match_id FROM contest_odds o JOIN matches m ON m.id = o.match_id) c ANTI JOIN matches p ON p.id = c.match_id"""))
+  FROM (SELECT o.match_id FROM contest_odds o JOIN matches m ON m.id = o.match_id) c ANTI JOIN matches p ON p.id = c.match_id
+UNION ALL SELECT 'team_ratings', 'team_id', 'teams', count(*)
+  FROM (SELECT home_team_id AS team_id FROM matches UNION ALL SELECT away_team_id FROM matches) c ANTI JOIN teams p ON p.id = c.team_id
+UNION ALL SELECT 'team_ratings', 'season_id', 'seasons', count(*)
+  FROM (SELECT season_id FROM matches UNION ALL SELECT season_id FROM matches) c ANTI JOIN seasons p ON p.id = c.season_id"""))
 def q_check_foreign_key(spark, sf_dir):
     """V5: orphan counts for every declared foreign key."""
     return star.foreign_key_report(_star(spark, sf_dir, with_odds=True))
@@ -283,7 +294,7 @@ def q_load_star(spark, sf_dir):
     empty = spark.createDataFrame([], c.select("match_id", *key).schema)  # the table before its first load
     first = star.insert_if_absent(empty, c.select("match_id", *key), key, ["match_id"])
     second = star.insert_if_absent(first, c.select("match_id", *key), key, ["match_id"])
-    st = star.load_star(c)
+    st = _star(spark, sf_dir)
     dims = star.load_counts({k: st[k] for k in ("leagues", "seasons", "teams")})
     facts = second.agg(F.count(F.lit(1)).cast("long").alias("rows")).select(F.lit("matches").alias("table"), "rows")
     return dims.unionByName(facts)
