@@ -54,13 +54,40 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(out)
 
 
+def read_header(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> tuple[str, ...]:
+    """Column names of one CSV file: its first line, read through the cluster's Hadoop
+    file system (one small read, no Spark job); falls back to Spark's own header read."""
+    import csv
+
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        target = p
+        if fs.getFileStatus(p).isDirectory():
+            parts = [st.getPath() for st in fs.listStatus(p)
+                     if st.isFile() and not st.getPath().getName().startswith(("_", "."))]
+            if not parts:
+                return tuple()
+            target = sorted(parts, key=lambda q: q.getName())[0]
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(target), encoding))
+        try:
+            line = reader.readLine()
+        finally:
+            reader.close()
+        return tuple(next(csv.reader([line or ""]))) if line else tuple()
+    except Exception:  # noqa: BLE001 — any file system quirk: let Spark read the header
+        return tuple(_csv(spark, encoding).csv(path).columns)
+
+
 def read_seasons(spark: SparkSession, paths: Sequence[str], encoding: str = "ISO-8859-1") -> DataFrame:
     """S1 + S2 + U2: read season files, tag rows with the season from the path,
     align drifting headers by name. Rows keep ``source_file`` and a ``file_row``
     position for keep-first de-duplication."""
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
     for p in paths:
-        header = tuple(_csv(spark, encoding).csv(p).columns)  # header only: no data scan
+        header = read_header(spark, p, encoding)
         groups[header].append(p)
     frames = []
     for header, files in groups.items():
