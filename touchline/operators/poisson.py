@@ -93,27 +93,33 @@ def expected_goals(matches: DataFrame, strengths: DataFrame) -> DataFrame:
         "attack_h", "defence_h", "attack_a", "defence_a", "home_advantage")
 
 
-def _array_sum(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
+def _running(terms: list[Column]) -> list[Column]:
+    """Left-to-right running sums as plain expressions."""
+    out, acc = [], None
+    for t in terms:
+        acc = t if acc is None else acc + t
+        out.append(acc)
+    return out
 
 
-def _cumulative(arr: Column, n: int = MAX_GOALS + 1) -> Column:
-    """[Σ arr[0..0], Σ arr[0..1], …] computed left to right."""
-    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: _array_sum(F.slice(arr, 1, i)))
+def _sum(terms: list[Column]) -> Column:
+    return _running(terms)[-1]
 
 
 def outcome_probabilities(with_lambdas: DataFrame, max_goals: int = MAX_GOALS) -> DataFrame:
     """M4: home/draw/away probabilities from the (max_goals+1)² score grid, renormalised.
-    Adds ``p_home, p_draw, p_away`` (in-row arrays: no shuffle)."""
-    hp = poisson_pmf_array(F.col("lambda_home"), max_goals)
-    ap = poisson_pmf_array(F.col("lambda_away"), max_goals)
-    x = with_lambdas.withColumn("_hp", hp).withColumn("_ap", ap)
-    x = x.withColumn("_hc", _cumulative(F.col("_hp"), max_goals + 1)).withColumn("_ac", _cumulative(F.col("_ap"), max_goals + 1))
-    idx = F.sequence(F.lit(1), F.lit(max_goals))  # 1-based positions 2..n via i+1
+    Adds ``p_home, p_draw, p_away``. Map-only and lambda-free: the pmf arrays are
+    built once per row and every sum is a plain (codegen'd) expression."""
+    x = with_lambdas.withColumn("_hp", poisson_pmf_array(F.col("lambda_home"), max_goals)) \
+                    .withColumn("_ap", poisson_pmf_array(F.col("lambda_away"), max_goals))
+    n = max_goals + 1
+    hp = [F.element_at("_hp", k + 1) for k in range(n)]
+    ap = [F.element_at("_ap", k + 1) for k in range(n)]
+    hc, ac = _running(hp), _running(ap)
     # home wins: Σ_i≥1 hp[i] · Σ_{j<i} ap[j];  away wins: Σ_j≥1 ap[j] · Σ_{i<j} hp[i]
-    home = _array_sum(F.transform(idx, lambda i: F.element_at("_hp", i + 1) * F.element_at("_ac", i)))
-    away = _array_sum(F.transform(idx, lambda j: F.element_at("_ap", j + 1) * F.element_at("_hc", j)))
-    draw = _array_sum(F.zip_with("_hp", "_ap", lambda a, b: a * b))
+    home = _sum([hp[i] * ac[i - 1] for i in range(1, n)])
+    away = _sum([ap[j] * hc[j - 1] for j in range(1, n)])
+    draw = _sum([hp[k] * ap[k] for k in range(n)])
     x = x.withColumn("_h", home).withColumn("_d", draw).withColumn("_a", away)
     total = F.col("_h") + F.col("_d") + F.col("_a")
     return x.select(*with_lambdas.columns, (F.col("_h") / total).alias("p_home"),
@@ -122,14 +128,15 @@ def outcome_probabilities(with_lambdas: DataFrame, max_goals: int = MAX_GOALS) -
 
 def top_scorelines(with_lambdas: DataFrame, k: int = 3, max_goals: int = MAX_GOALS) -> DataFrame:
     """W8 + T6: the k most likely scorelines per row, ranked by probability ↓,
-    then home goals ↑, away goals ↑. In-row ``sort_array`` + ``slice``: no shuffle.
+    then home goals ↑, away goals ↑. In-row ``array_sort`` + ``slice`` over the
+    grid's cells (plain struct expressions, no lambda): no shuffle.
     Output adds ``rank_order, home_goals_pred, away_goals_pred, probability``."""
-    hp = poisson_pmf_array(F.col("lambda_home"), max_goals)
-    ap = poisson_pmf_array(F.col("lambda_away"), max_goals)
-    g = F.sequence(F.lit(0), F.lit(max_goals))
-    x = with_lambdas.withColumn("_hp", hp).withColumn("_ap", ap)
-    cells = F.flatten(F.transform(g, lambda i: F.transform(g, lambda j: F.struct(
-        (-(F.element_at("_hp", i + 1) * F.element_at("_ap", j + 1))).alias("neg_p"), i.alias("i"), j.alias("j")))))
+    x = with_lambdas.withColumn("_hp", poisson_pmf_array(F.col("lambda_home"), max_goals)) \
+                    .withColumn("_ap", poisson_pmf_array(F.col("lambda_away"), max_goals))
+    n = max_goals + 1
+    cells = F.array(*[F.struct((-(F.element_at("_hp", i + 1) * F.element_at("_ap", j + 1))).alias("neg_p"),
+                               F.lit(i).alias("i"), F.lit(j).alias("j"))
+                      for i in range(n) for j in range(n)])
     top = F.slice(F.array_sort(cells), 1, k)
     exploded = x.select(*with_lambdas.columns, F.posexplode(top).alias("_pos", "_cell"))
     return exploded.select(*with_lambdas.columns, (F.col("_pos") + 1).cast("long").alias("rank_order"),
