@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import sharding, simhash, token_counts, topk
+from . import decontaminate, line_dedup, packing, quality, sharding, simhash, token_counts, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -91,3 +92,34 @@ def op6(spark, sf_dir):
 def op9(spark, sf_dir):
     """SimHash fingerprints and components at 3 or fewer bits, 3-word shingles."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=3)
+
+
+@register("op4_line_runs")
+def op4(spark, sf_dir):
+    """Every document with the later copies of repeated line runs deleted."""
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_units_cut", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op5_best_fit_bins")
+def op5(spark, sf_dir):
+    """Every piece of every document in a bin of 32,768 bytes."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@register("op7_benchmark_leaks")
+def op7(spark, sf_dir):
+    """Documents that hold a benchmark item, with the item and the overlaps."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op8_quality_rules")
+def op8(spark, sf_dir):
+    """Quality score of every document by the sparse rule ensemble."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    """The corpus pipeline over all documents: bins of what it keeps."""
+    return corpus_pipeline.run(spark, sf_dir)
