@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality, sharding, simhash, token_counts, topk
+from . import decontaminate, line_dedup, maxent_lm, packing, quality, sharding, simhash, token_counts, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -119,6 +119,12 @@ def op8(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register("op10_maxent_lm")
+def op10(spark, sf_dir):
+    """Log10 probability of every whole text by the maximum-entropy model, beside the unigram base."""
+    return maxent_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     """The corpus pipeline over all documents: bins of what it keeps."""

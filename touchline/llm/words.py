@@ -12,6 +12,7 @@ from .common import mix64
 #: Texts handled together, in bytes; a longer text is handled alone.
 GROUP = 4 << 20
 
+#: Bytes of words between white space.
 SPACED = np.ones(256, bool)
 SPACED[[9, 10, 11, 12, 13, 32]] = False
 #: Letters, digits and every byte of a multi-byte character.
