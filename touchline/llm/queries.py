@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, maxent_lm, packing, quality, sharding, simhash, token_counts, topk
+from . import bwt_dedup, decontaminate, line_dedup, maxent_lm, packing, quality, sharding, simhash, token_counts, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -62,6 +62,12 @@ def op1(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+@register("op2_repeated_strings")
+def op2(spark, sf_dir):
+    """Every document without the bytes of 50-byte strings that a smaller id also has."""
+    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 TOKEN_LIMIT = 2048
 
 

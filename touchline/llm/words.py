@@ -23,8 +23,8 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def groups(batch: pa.RecordBatch, column: str = "body") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) of consecutive rows of a binary column, about GROUP bytes each."""
+def groups(batch: pa.RecordBatch, column: str = "body", size: int = GROUP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) of consecutive rows of a binary column, about ``size`` bytes each."""
     col = batch.column(batch.schema.get_field_index(column))
     wide = pa.types.is_large_binary(col.type)
     _, offs, data = col.buffers()
@@ -32,7 +32,7 @@ def groups(batch: pa.RecordBatch, column: str = "body") -> Iterator[tuple[int, i
     d = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     a = 0
     while a < len(col):
-        b = max(a + 1, int(np.searchsorted(o, o[a] + GROUP, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(o, o[a] + size, "right")) - 1)
         b = min(b, len(col))
         yield a, b, d[o[a]:o[b]], o[a:b + 1] - o[a]
         a = b
