@@ -194,7 +194,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
         part = texts(docs, id_col, text_col).mapInArrow(_leaks(spark.sparkContext.broadcast(index), stride, threshold, overlap), result)
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_passages"), F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"),
+        F.count("*").alias("n_passages"), F.round(F.max("score"), 9).alias("score"), F.max("question_overlap").alias("question_overlap"),
         F.max("answer_overlap").alias("answer_overlap"))
 
 
