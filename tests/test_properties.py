@@ -1,4 +1,4 @@
-"""Invariants: probabilities, scenarios, chunked windows, idempotence, order independence, leak guard."""
+"""Invariants: probabilities, sliced windows, idempotence, order independence, leak guard."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from touchline.operators import chunked, clean, evaluate, form, poisson, scenario, star
+from touchline.operators import chunked, clean, evaluate, form, poisson, star
 from touchline.sources.tables import contests, fixtures_from_contests
 
 
@@ -23,61 +23,6 @@ def test_probabilities_sum_to_one(c):
     assert worst < 1e-9
 
 
-def test_scenarios_positions_and_title_odds(c):
-    train, _ = evaluate.season_split(c, "2001")
-    fx = poisson.expected_goals(fixtures_from_contests(c), poisson.team_strengths(train))
-    table = scenario.scenario_table(scenario.scenario_results(fx, 50, seed=7))
-    per_sim = table.groupBy("league", "sim").agg(F.count("*").alias("n"), F.max("position").alias("m"),
-                                                 F.countDistinct("position").alias("d"))
-    assert per_sim.where("n != m OR n != d").count() == 0
-    odds = scenario.scenario_odds(table)
-    for r in odds.groupBy("league").agg(F.sum("title_pct").alias("t")).collect():
-        assert r["t"] == pytest.approx(100.0)
-
-
-def test_sampled_means_close_to_lambda(spark):
-    fx = spark.createDataFrame([("L", 1, "a", "b", 1.7, 0.9)],
-                               "league string, fixture_id long, home_team string, away_team string, lambda_home double, lambda_away double")
-    res = scenario.scenario_results(fx, 20000, seed=3)
-    m = res.agg(F.avg("home_goals"), F.avg("away_goals")).collect()[0]
-    assert abs(m[0] - 1.7) < 5 * (1.7 / 20000) ** 0.5 and abs(m[1] - 0.9) < 5 * (0.9 / 20000) ** 0.5
-
-
-def test_chunked_window_equals_plain_window(spark, c):
-    from touchline.operators.perspective import team_perspective
-
-    long = team_perspective(c)
-    w = Window.partitionBy("league", "team").orderBy("match_datetime", "match_id")
-    plain = long.select("match_id", "team", F.round(F.avg("goals_scored").over(w.rowsBetween(-5, -1)), 2).alias("v"))
-    # a very fine chunk (one day) forces the halo path for most rows
-    split = chunked.chunked_window(long, ["league", "team"], ["match_datetime", "match_id"], F.col("match_datetime"),
-                                   {"v": lambda w: F.round(F.avg("goals_scored").over(w.rowsBetween(-5, -1)), 2)},
-                                   lookback=5, carry=["goals_scored"]).select("match_id", "team", "v")
-    assert sorted(plain.collect()) == sorted(split.collect())
-
-
-def test_chunked_row_number(spark, c):
-    w = Window.partitionBy("league", "season").orderBy("match_datetime", "match_id")
-    plain = c.select("match_id", F.row_number().over(w).cast("long").alias("rn"))
-    split = chunked.chunked_row_number(c, ["league", "season"], ["match_datetime", "match_id"],
-                                       F.col("match_datetime"), "rn").select("match_id", "rn")
-    assert sorted(plain.collect()) == sorted(split.collect())
-
-
-def test_rolling_form_ignores_current_match(spark, c):
-    """V7: changing a match's own statistics never changes its pre-match features."""
-    from touchline.operators.perspective import team_perspective
-
-    before = form.rolling_form(team_perspective(c)).select("match_id", "team", "avg_shots_last_5_matches")
-    bumped = c.withColumn("home_shots", F.col("home_shots") + 1000).withColumn("away_shots", F.col("away_shots") + 1000)
-    after = form.rolling_form(team_perspective(bumped)).select("match_id", "team", "avg_shots_last_5_matches")
-    # the current match's own value is excluded: every feature moves by exactly the
-    # bump of the *previous* matches (1000), never by the current match alone
-    joined = before.alias("b").join(after.alias("a"), ["match_id", "team"])
-    deltas = joined.select((F.col("a.avg_shots_last_5_matches") - F.col("b.avg_shots_last_5_matches")).alias("d")).where("d IS NOT NULL")
-    assert deltas.where(F.abs(F.col("d") - 1000) > 1e-6).count() == 0
-
-
 def test_leak_guard_rejects_same_match_stats():
     with pytest.raises(ValueError):
         clean.leak_guard(["avg_points_last_5_matches_home", "home_shots"], form.feature_columns())
@@ -110,14 +55,6 @@ def test_fraction_split_matches_percent_rank(spark, c):
     assert train.count() + test.count() == c.count()
 
 
-def test_scenario_blocks_do_not_change_draws(spark, c):
-    fx = spark.createDataFrame([("L", 1, "a", "b", 1.4, 1.1), ("L", 2, "b", "a", 1.2, 0.8)],
-                               "league string, fixture_id long, home_team string, away_team string, lambda_home double, lambda_away double")
-    one_block = scenario.scenario_results(fx, 300, seed=5, block=1000)
-    many_blocks = scenario.scenario_results(fx, 300, seed=5, block=7)
-    assert sorted(one_block.collect()) == sorted(many_blocks.collect())
-
-
 def test_star_constraints_hold(spark, c):
     st = star.load_star(c)
     assert all(r["orphans"] == 0 for r in star.foreign_key_report(st).collect())
@@ -126,19 +63,97 @@ def test_star_constraints_hold(spark, c):
     assert violations["distinct_sides"] == 0 and violations["result_domain"] == 0
 
 
-@pytest.mark.parametrize("target", [40, 3])
-def test_adaptive_slices_equal_plain_window(spark, c, target):
-    """Small slice targets force the split paths (fine time units, then day + id ranges)."""
-    from touchline.operators.perspective import team_perspective
+def _timed(spark, days: int, per_day: int, hashed: bool):
+    """Matches of three teams with several kick-off times a day, equal times, and small or 64-bit hashed ids."""
+    n = days * per_day
+    ids = F.xxhash64("id") if hashed else F.col("id")
+    at = F.expr(f"timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(cast(id div {per_day} as int), cast(id % {per_day} div 2 as int))")
+    team = lambda k: F.concat(F.lit("t"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) + k) % 3)
+    return spark.range(n).select(ids.alias("match_id"), F.lit("L").alias("league"), F.lit("1").alias("season"), at.alias("match_datetime"),
+                                 team(0).alias("home_team"), team(1).alias("away_team"), (F.col("id") % 4).cast("int").alias("home_goals"),
+                                 (F.col("id") % 3).cast("int").alias("away_goals"))
+
 
-    long = team_perspective(c)
+@pytest.mark.parametrize("hashed", [False, True])
+def test_sliced_windows_equal_plain_windows(spark, hashed):
+    """Kick-off times, equal timestamps, hashed ids; one day holds most rows of a key."""
+    long = _timed(spark, 3, 160, hashed).select("match_id", "league", F.col("home_team").alias("team"), "match_datetime", "home_goals")
     keys, order = ["league", "team"], ["match_datetime", "match_id"]
-    chunk = chunked.choose_chunk(long, keys, target_rows=target)
-    assert chunk is not None
-    spec = {"v": lambda w: F.round(F.avg("goals_scored").over(w.rowsBetween(-5, -1)), 2)}
-    split = chunked.bounded_window(long, keys, order, spec, 5, ["goals_scored"], chunk=chunk).select("match_id", "team", "v")
-    plain = chunked.bounded_window(long, keys, order, spec, 5, ["goals_scored"], chunk=None).select("match_id", "team", "v")
-    assert sorted(split.collect()) == sorted(plain.collect())
-    rn_split = chunked.bounded_row_number(c, ["league", "season"], order, "rn", chunk=chunked.choose_chunk(c, ["league", "season"], target_rows=target))
-    rn_plain = chunked.bounded_row_number(c, ["league", "season"], order, "rn", chunk=None)
-    assert sorted(rn_split.select("match_id", "rn").collect()) == sorted(rn_plain.select("match_id", "rn").collect())
+    spec = {"v": lambda w: F.sum(F.col("home_goals") * F.col("home_goals")).over(w.rowsBetween(-5, -1)),
+            "p": lambda w: F.max("match_id").over(w.rowsBetween(-1, -1))}
+    w = Window.partitionBy(*keys).orderBy(*order)
+    plain = long.select("match_id", *[f(w).alias(k) for k, f in spec.items()], F.row_number().over(w).cast("long").alias("rn"))
+    for slices in (1, 7, 40):
+        split = chunked.bounded_window(long, keys, order, spec, 5, ["home_goals"], slices).select("match_id", "v", "p")
+        number = chunked.bounded_row_number(long, keys, order, "rn", slices).select("match_id", "rn")
+        assert sorted(split.join(number, "match_id").collect()) == sorted(plain.collect())
+
+
+def test_slices_cut_a_hot_key(spark):
+    long = _timed(spark, 2, 400, True)
+    marked = chunked.range_slices(long, ["league"], ["match_datetime", "match_id"], 8)
+    sizes = [r["count"] for r in marked.groupBy("_chunk").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 300
+
+
+def _form_of(c):
+    from touchline.operators.perspective import team_perspective
+
+    return {(r.match_id, r.team): r.avg_shots_last_5_matches
+            for r in form.rolling_form(team_perspective(c)).select("match_id", "team", "avg_shots_last_5_matches").collect()}
+
+
+def test_one_match_moves_only_later_features(spark, c):
+    """V7: raising one match's shots leaves its own features alone and moves its teams' next ones."""
+    one = c.orderBy("match_datetime", "match_id").limit(1).collect()[0]
+    hit = F.col("match_id") == one.match_id
+    bumped = c.withColumns({s: F.when(hit, F.col(s) + 1000).otherwise(F.col(s)) for s in ("home_shots", "away_shots")})
+    before, after = _form_of(c), _form_of(bumped)
+    moved = {k for k in before if before[k] != after[k]}
+    assert moved and one.match_id not in {m for m, _ in moved}
+    assert {t for _, t in moved} == {one.home_team, one.away_team}
+
+
+def test_the_leak_test_sees_a_leak(spark, c):
+    """A window that includes the current match does change its own row."""
+    from touchline.operators.perspective import team_perspective
+
+    one = c.orderBy("match_datetime", "match_id").limit(1).collect()[0]
+    w = Window.partitionBy("league", "team").orderBy("match_datetime", "match_id").rowsBetween(-4, 0)
+    leaky = lambda d: {(r.match_id, r.team): r.v for r in team_perspective(d).select(
+        "match_id", "team", F.avg("shots").over(w).alias("v")).collect()}
+    a, b = leaky(c), leaky(c.withColumn("home_shots", F.when(F.col("match_id") == one.match_id, F.col("home_shots") + 1000).otherwise(F.col("home_shots"))))
+    assert one.match_id in {m for (m, t) in a if a[m, t] != b[m, t]}
+
+
+def test_glm_has_full_rank_and_names(spark, c):
+    """Two leagues: every score equation holds, the terms are named, and no team of a reference level has one."""
+    train = c.where(F.col("league").isin(*sorted(r[0] for r in c.select("league").distinct().collect())[:2]))
+    model, long = poisson.fit_poisson_glm(train)
+    terms = poisson.glm_coefficients(model)
+    teams = long.select("league", "team").distinct().count()
+    assert len(terms) == 2 + 1 + 2 * (teams - 2) and all(abs(t[3]) < 20 for t in terms)
+    assert poisson.score_equations(model, long).where("not balanced").count() == 0
+
+
+def test_checkpoint_dir_must_be_named_off_local_mode(monkeypatch, spark):
+    from touchline import session
+
+    monkeypatch.setattr(session, "is_local", lambda s: False)
+
+    class Unset:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Unset())
+
+
+def test_forest_depth_is_not_lowered_in_silence():
+    from touchline.operators import forest
+
+    with pytest.raises(ValueError):
+        forest.train_forest(None, [], max_depth=31)

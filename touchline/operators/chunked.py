@@ -27,6 +27,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 # A frame spec: output column name → function(WindowSpec) -> Column.
 FrameSpecs = dict[str, Callable[[Window], Column]]
 
@@ -75,11 +77,11 @@ def chunked_window(
         .where(F.col("_target") != F.col("_chunk"))
         .select(*payload, F.col("_target").alias("_chunk"), F.lit(True).alias("_halo"))
     )
-    head_rows = heads.select(*payload, "_chunk", F.lit(False).alias("_halo"), *[c for c in df.columns if c not in payload])
+    head_rows = heads.select(*payload, "_chunk", F.lit(False).alias("_halo"), *[c for c in df.columns if c not in payload and c != "_chunk"])
     fix_in = head_rows.unionByName(halo, allowMissingColumns=True)
     fixed = fix_in.select("*", *[fn(w_slice).alias(name) for name, fn in specs.items()]).where(~F.col("_halo"))
 
-    out_cols = [*df.columns, *specs.keys()]
+    out_cols = [*[c for c in df.columns if c != "_chunk"], *specs.keys()]
     body = step1.where(F.col("_rn") > lookback).select(*out_cols)
     return body.unionByName(fixed.select(*out_cols))
 
@@ -102,55 +104,31 @@ def chunked_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             .drop("_chunk", "_rn", "_offset"))
 
 
-# Slice units from coarse to fine, with their length in days.
-_UNITS = (("year", 366.0), ("quarter", 92.0), ("month", 31.0), ("week", 7.0), ("day", 1.0))
-DEFAULT_SLICE_ROWS = 1_000_000
-
-
-def choose_chunk(df: DataFrame, keys: Sequence[str], time_col: str = "match_datetime", id_col: str = "match_id",
-                 target_rows: int = DEFAULT_SLICE_ROWS) -> Column | None:
-    """Pick the slice for ``chunked_window`` / ``chunked_row_number`` from the data.
-
-    One grouped aggregate (map-side combined, one row per key, then one global
-    row collected) measures the largest key and its rows per day. ``None`` means
-    every key fits a task — use the plain window. Otherwise the coarsest time
-    unit whose expected slice stays under ``target_rows``; if even a day is too
-    big, days are sub-split by ``id_col`` range (monotone in the window order
-    (time, id))."""
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(time_col).alias("t0"), F.max(time_col).alias("t1"),
-        F.min(id_col).alias("i0"), F.max(id_col).alias("i1"))
-    span_days = F.greatest(F.datediff(F.col("t1").cast("date"), F.col("t0").cast("date")), F.lit(0)) + 1
-    stats = per_key.agg(F.max("n").alias("max_n"), F.max(F.col("n") / span_days).alias("per_day"),
-                        F.max((F.col("i1") - F.col("i0") + 1) / span_days).alias("ids_per_day")).collect()[0]
-    if stats["max_n"] is None or stats["max_n"] <= target_rows:
-        return None
-    per_day = float(stats["per_day"])
-    for unit, days in _UNITS:
-        if per_day * days <= target_rows:
-            return F.date_trunc(unit, F.col(time_col))
-    pieces = max(2, int(per_day // target_rows) + 1)
-    step = max(1, int(float(stats["ids_per_day"]) // pieces))
-    return F.struct(F.date_trunc("day", F.col(time_col)).alias("d"), F.floor(F.col(id_col) / step).alias("b"))
+def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """``df`` range-partitioned by (keys, order), each row marked with its partition as ``_chunk``.
+
+    The ranges come from a sample of the rows, so a key of any size is cut into
+    slices of about equal rows, and the slice is monotone in ``order`` whatever
+    the order columns hold (kick-off times, equal timestamps, hashed ids): rows
+    with equal keys and order never part. The marked rows are written once to
+    the shared folder, because the plans below read them several times and the
+    ranges would otherwise be sampled anew for each reading."""
+    spark = df.sparkSession
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "slices")
+    marked = df.repartitionByRange(max(1, n), *keys, *order).withColumn("_chunk", F.spark_partition_id())
+    marked.write.parquet(path)
+    return spark.read.schema(marked.schema).parquet(path)
 
 
 def bounded_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: FrameSpecs, lookback: int,
-                   carry: Sequence[str], chunk: Column | None | str = "auto") -> DataFrame:
-    """Frame columns over ``partitionBy(keys).orderBy(order)``: the plain window
-    when every key fits a task, else ``chunked_window`` with a chosen slice."""
-    if isinstance(chunk, str) and chunk == "auto":
-        chunk = choose_chunk(df, keys, order[0], order[-1])
-    if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[fn(w).alias(name) for name, fn in specs.items()])
-    return chunked_window(df, keys, order, chunk, specs, lookback, carry)
+                   carry: Sequence[str], slices: int | None = None) -> DataFrame:
+    """Frame columns over ``partitionBy(keys).orderBy(order)``, computed by range slice at every size."""
+    marked = range_slices(df, keys, order, slices)
+    return chunked_window(marked, keys, order, F.col("_chunk"), specs, lookback, carry).drop("_chunk")
 
 
 def bounded_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_number",
-                       chunk: Column | None | str = "auto") -> DataFrame:
-    """``row_number()`` per key: plain when every key fits a task, else sliced."""
-    if isinstance(chunk, str) and chunk == "auto":
-        chunk = choose_chunk(df, keys, order[0], order[-1])
-    if chunk is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    return chunked_row_number(df, keys, order, chunk, name)
+                       slices: int | None = None) -> DataFrame:
+    """``row_number()`` per key, numbered by range slice at every size."""
+    return chunked_row_number(range_slices(df, keys, order, slices), keys, order, F.col("_chunk"), name)

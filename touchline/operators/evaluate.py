@@ -34,14 +34,19 @@ def date_split(df: DataFrame, boundary: str) -> tuple[DataFrame, DataFrame]:
 def fraction_split(df: DataFrame, fraction: float = 0.8, seed: int = 42, chronological: bool = True):
     """80/20 split. Chronological: per league by position — a row trains when
     its percent rank (position − 1)/(n − 1) in (match_datetime, match_id) order is
-    below ``fraction``; positions come from ``bounded_row_number`` (sliced when a
-    league is too big for one task) and n from a grouped count. Random: a stable hash bucket of
+    below ``fraction``; positions come from ``bounded_row_number`` (range slices,
+    numbered once) and n from a grouped count. Random: a stable hash bucket of
     (seed, match_id) — the same row always lands on the same side."""
     if chronological:
+        from ..session import scratch_path
         from .chunked import bounded_row_number
 
         numbered = bounded_row_number(df, ["league"], ["match_datetime", "match_id"], "_pos")
         sizes = df.groupBy("league").agg(F.count(F.lit(1)).alias("_n"))
+        # Written once: both sides of the split read the same numbering.
+        path = scratch_path(df.sparkSession, "positions")
+        numbered.write.parquet(path)
+        numbered = df.sparkSession.read.schema(numbered.schema).parquet(path)
         ranked = numbered.join(sizes, "league").withColumn(
             "_pr", F.when(F.col("_n") > 1, (F.col("_pos") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0)))
         flag = F.col("_pr") < fraction

@@ -47,11 +47,13 @@ def train_forest(train: DataFrame, feature_cols: Sequence[str], num_trees: int =
 
     Documented defaults: 200 trees, depth 6; the coded variant is depth 15,
     min leaf 2, sqrt features, balanced weights. Spark has no min-split knob;
-    "unlimited" depth maps to 30 (MLlib's maximum)."""
+    a depth above 30 (MLlib's maximum) raises."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
+    if max_depth > 30:
+        raise ValueError("MLlib grows trees of depth 30 at most")
     data = train
     weight_col = None
     if balanced:
@@ -61,7 +63,7 @@ def train_forest(train: DataFrame, feature_cols: Sequence[str], num_trees: int =
     indexer = StringIndexer(inputCol="label_str", outputCol="label", stringOrderType="alphabetAsc")
     assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees,
-                                maxDepth=min(max_depth, 30), minInstancesPerNode=min_instances,
+                                maxDepth=max_depth, minInstancesPerNode=min_instances,
                                 featureSubsetStrategy="sqrt", seed=seed)
     if weight_col:
         rf.setWeightCol(weight_col)
@@ -84,7 +86,8 @@ def score_forest(model, rows: DataFrame) -> DataFrame:
     name = {"H": "p_home", "D": "p_draw", "A": "p_away"}
     cols = [probs[i].alias(name.get(lab, f"p_{lab}")) for i, lab in enumerate(labels)]
     pred = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
-    return scored.select("match_id", pred.alias("predicted"), *cols)
+    keys = [c for c in ("league", "fixture_id", "match_id") if c in rows.columns]
+    return scored.select(*keys, pred.alias("predicted"), *cols)
 
 
 def feature_importance(model, feature_cols: Sequence[str]) -> list[tuple[str, float]]:

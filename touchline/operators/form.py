@@ -2,16 +2,15 @@
 
 All windows are ordered by (match_datetime, match_id) — a team can play more
 than once on a date, so ``match_id`` breaks ties deterministically. Windows
-over a team's history run through ``bounded_window``: the plain window when
-every team fits a task, else time slices sized from the data
-(``chunked.choose_chunk``) so one busy team never lands in one task.
+over a team's history run through ``bounded_window``, which cuts every key
+into range slices, so one busy team never lands in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import abbreviation_fallback, iso_date
@@ -28,22 +27,21 @@ def form_column(feature: str, window: int) -> str:
     return f"avg_{feature}_last_{window}_matches"
 
 
-def lag_one(long: DataFrame, features: Sequence[str] = FORM_FEATURES, chunk: Column | None | str = "auto") -> DataFrame:
+def lag_one(long: DataFrame, features: Sequence[str] = FORM_FEATURES) -> DataFrame:
     """Previous match value within (league, team): ``prev_<feature>``."""
     specs = {f"prev_{f}": (lambda w, f=f: F.max(f).over(w.rowsBetween(-1, -1))) for f in features}
-    return bounded_window(long, ["league", "team"], ORDER, specs, lookback=1, carry=list(features), chunk=chunk)
+    return bounded_window(long, ["league", "team"], ORDER, specs, lookback=1, carry=list(features))
 
 
 def rolling_form(long: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
-                 features: Sequence[str] = FORM_FEATURES, chunk: Column | None | str = "auto") -> DataFrame:
+                 features: Sequence[str] = FORM_FEATURES) -> DataFrame:
     """Mean of the previous ≤ n matches (current excluded, NULLs skipped),
     ROUND 2, for every feature and window size — one sort for all of them."""
     specs = {}
     for n in windows:
         for f in features:
             specs[form_column(f, n)] = (lambda w, f=f, n=n: F.round(F.avg(f).over(w.rowsBetween(-n, -1)), 2))
-    return bounded_window(long, ["league", "team"], ORDER, specs, lookback=max(windows), carry=list(features),
-                          chunk=chunk)
+    return bounded_window(long, ["league", "team"], ORDER, specs, lookback=max(windows), carry=list(features))
 
 
 def unpivot_sides(contests: DataFrame, rolled: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -57,9 +55,9 @@ def unpivot_sides(contests: DataFrame, rolled: DataFrame, columns: Sequence[str]
     return contests.join(sided, "match_id", "left")
 
 
-def matchweek_index(contests: DataFrame, per_week: int = 10, chunk: Column | None | str = "auto") -> DataFrame:
+def matchweek_index(contests: DataFrame, per_week: int = 10) -> DataFrame:
     """matchweek = (position − 1) // per_week + 1 in (league, season) order."""
-    numbered = bounded_row_number(contests, ["league", "season"], ORDER, "season_position", chunk=chunk)
+    numbered = bounded_row_number(contests, ["league", "season"], ORDER, "season_position")
     return numbered.withColumn("matchweek", F.floor((F.col("season_position") - 1) / per_week).cast("long") + 1)
 
 

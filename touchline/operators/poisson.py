@@ -145,48 +145,73 @@ def top_scorelines(with_lambdas: DataFrame, k: int = 3, max_goals: int = MAX_GOA
                            (-F.col("_cell.neg_p")).alias("probability"))
 
 
-def poisson_sample(cdf: Column, u: Column, max_goals: int = MAX_GOALS) -> Column:
-    """M8: inverse-CDF Poisson draw for uniform ``u`` given the CDF array over
-    0..max_goals (``poisson_cdf_array``, computed once per fixture): the number
-    of CDF points below u, capped at max_goals. Plain comparisons — no lambda."""
-    below = [F.when(F.element_at(cdf, k + 1) < u, 1).otherwise(0) for k in range(max_goals + 1)]
-    total = below[0]
-    for b in below[1:]:
-        total = total + b
-    return F.least(total, F.lit(max_goals))
-
+def glm_frame(train: DataFrame) -> DataFrame:
+    """The long frame of the regression. Each league's first team is its reference level
+    for attack and for defence (null key), the first league the reference league, so the
+    design has full column rank with any number of leagues."""
+    from .perspective import team_perspective
 
-def hash_uniform(*cols: Column | str, seed: int = 42) -> Column:
-    """Production uniforms: xxhash64 of (seed, key columns) mapped to [0, 1)."""
-    h = F.xxhash64(F.lit(seed), *cols)
-    return F.pmod(h, F.lit(1 << 53)).cast("double") / float(1 << 53)
+    long = team_perspective(train, stats=[]).select(
+        "league", "team", "opponent", F.col("is_home").cast("double").alias("home"), F.col("goals_scored").cast("double").alias("goals"))
+    first = long.groupBy("league").agg(F.min(F.least("team", "opponent")).alias("reference"))
+    base = long.agg(F.min("league").alias("l")).first()["l"]
+    x = long.join(first, "league")
+    return x.select(
+        "league", "team", "opponent", "home", "goals",
+        F.when(F.col("league") != F.lit(base), F.col("league")).alias("league_key"),
+        F.when(F.col("team") != F.col("reference"), F.concat_ws("|", "league", "team")).alias("attack_key"),
+        F.when(F.col("opponent") != F.col("reference"), F.concat_ws("|", "league", "opponent")).alias("defence_key"))
 
 
 def fit_poisson_glm(train: DataFrame, max_iter: int = 25):
     """M1: maximum-likelihood Poisson regression on the long frame:
-    log λ = μ + home·is_home + attack[team] − defence[opponent]
-    (one-hot encodings with the first level dropped for identifiability),
-    fitted per call with MLlib's distributed IRLS. Returns the fitted
-    ``PipelineModel``; league can be included by passing one league's rows
-    or by prefixing team names with the league."""
+    log λ = μ + league + home·is_home + attack[team] − defence[opponent],
+    fitted with MLlib's distributed IRLS. The reference levels of ``glm_frame``
+    are null keys: the indexers put them last and the encoders drop the last
+    level. MLlib's solver takes at most 4,096 terms, about 2,000 teams a fit;
+    beyond that fit groups of leagues. Returns (model, frame)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    from .perspective import team_perspective
-
-    long = team_perspective(train, stats=[]).select(
-        F.concat_ws("|", "league", "team").alias("attack_key"),
-        F.concat_ws("|", "league", "opponent").alias("defence_key"),
-        F.col("is_home").cast("double").alias("home"),
-        F.col("goals_scored").cast("double").alias("goals"),
-    )
-    stages = [
-        StringIndexer(inputCol="attack_key", outputCol="attack_idx", stringOrderType="alphabetAsc"),
-        StringIndexer(inputCol="defence_key", outputCol="defence_idx", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=["attack_idx", "defence_idx"], outputCols=["attack_vec", "defence_vec"], dropLast=True),
-        VectorAssembler(inputCols=["home", "attack_vec", "defence_vec"], outputCol="features"),
-        GeneralizedLinearRegression(family="poisson", link="log", labelCol="goals", featuresCol="features",
-                                    maxIter=max_iter, regParam=0.0),
-    ]
+    long = glm_frame(train)
+    keys = ["attack", "defence"]
+    if long.where("league_key is not null").limit(1).count():
+        keys.insert(0, "league")
+    stages = [*[StringIndexer(inputCol=f"{k}_key", outputCol=f"{k}_idx", stringOrderType="alphabetAsc", handleInvalid="keep") for k in keys],
+              OneHotEncoder(inputCols=[f"{k}_idx" for k in keys], outputCols=[f"{k}_vec" for k in keys], dropLast=True),
+              VectorAssembler(inputCols=["home", *[f"{k}_vec" for k in keys]], outputCol="features"),
+              GeneralizedLinearRegression(family="poisson", link="log", labelCol="goals", featuresCol="features",
+                                          maxIter=max_iter, regParam=0.0)]
     return Pipeline(stages=stages).fit(long), long
+
+
+def glm_coefficients(model) -> list[tuple[str, str | None, str | None, float]]:
+    """(term, league, team, estimate) of a fitted model, by name; bounded by the solver's 4,096 terms."""
+    glm = model.stages[-1]
+    indexers = [s for s in model.stages if hasattr(s, "labels")]
+    names: list[tuple[str, str | None, str | None]] = [("home", None, None)]
+    for ix in indexers:
+        kind = ix.getOutputCol().removesuffix("_idx")
+        for label in ix.labels:
+            league, _, team = label.partition("|")
+            names.append((kind, league, team or None))
+    if len(names) != len(glm.coefficients):
+        raise ValueError("terms and coefficients differ in number")
+    return [("intercept", None, None, float(glm.intercept)),
+            *[(*n, float(v)) for n, v in zip(names, glm.coefficients, strict=True)]]
+
+
+def score_equations(model, long: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """At the maximum, observed and expected goals agree for every term: per (league, side, team)
+    the observed goals and whether the expected ones are within ``tolerance`` (relative) of them."""
+    from pyspark.sql import Column
+
+    x = model.transform(long)
+
+    def side(name: str, team: Column) -> DataFrame:
+        return x.groupBy("league", team.alias("team")).agg(F.sum("goals").cast("long").alias("goals"), F.sum("prediction").alias("_e")).select(
+            "league", F.lit(name).alias("side"), "team", "goals",
+            (F.abs(F.col("_e") - F.col("goals")) <= tolerance * F.greatest(F.col("goals"), F.lit(1))).alias("balanced"))
+
+    return side("attack", F.col("team")).unionByName(side("defence", F.col("opponent")))

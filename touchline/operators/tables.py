@@ -126,14 +126,14 @@ def team_or_join(matches: DataFrame, teams: DataFrame) -> DataFrame:
     return sides.join(teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name")), "team_id")
 
 
-def points_last_n(contests: DataFrame, n: int = 5, chunk: Column | None | str = "auto") -> DataFrame:
+def points_last_n(contests: DataFrame, n: int = 5) -> DataFrame:
     """For every (league, team) match, the points of that match and the sum
     over it and the ``n-1`` before it (ROWS n-1 PRECEDING .. CURRENT ROW),
-    ordered by (match_datetime, match_id). Hot teams are split by ``chunk``."""
+    ordered by (match_datetime, match_id). Hot teams are cut into range slices."""
     long = team_perspective(contests, stats=[]).select("league", "team", "match_datetime", "match_id", "points")
     specs = {f"points_last_{n}_matches": lambda w: F.sum("points").over(w.rowsBetween(-(n - 1), 0)).cast("long")}
     out = bounded_window(long, ["league", "team"], ["match_datetime", "match_id"], specs, lookback=n - 1,
-                         carry=["points"], chunk=chunk)
+                         carry=["points"])
     return out.select("league", "team", "match_id", "match_datetime",
                       F.col("points").cast("long").alias("points_for_match"), f"points_last_{n}_matches")
 

@@ -1,5 +1,5 @@
-"""Registered queries: Poisson model, evaluation and scenarios
-(D5, D7–D18, M2–M4, M7, M8, M11, M12, W8, W9, T3, T6, T7, J9, J13, C1–C3, P6, P7)."""
+"""Registered queries: Poisson model and evaluation
+(D5, D7–D18, M2–M4, M7, M11, M12, W8, T3, T6, J9, J13, P6, P7)."""
 
 from __future__ import annotations
 
@@ -7,14 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import importance_score
-from ..operators import elo, evaluate, form, poisson, scenario, tables
+from ..operators import elo, evaluate, form, poisson, tables
 from ..sources.tables import contests, fixtures_from_contests
 from .catalog import register
 from .oracle_sql import CONTESTS, SIDES, with_ctes
 from .queries_features import ELO_CTE, FIXTURES_CTE
 
 TEST_SEASON = "2001"
-N_SIMS = 200
 MODELS = ("poisson", "home_bias")
 
 # ---------------------------------------------------------------- Spark side
@@ -44,10 +43,9 @@ def poisson_lambdas(spark, sf_dir) -> DataFrame:
 
 
 def predictions(spark, sf_dir) -> DataFrame:
-    """The predictions table — (match_id, model_name, p_home, p_draw, p_away), rounded to 6."""
+    """The predictions table — (match_id, model_name, p_home, p_draw, p_away); scored unrounded."""
     probs = poisson.outcome_probabilities(poisson_lambdas(spark, sf_dir))
-    pois = probs.select("match_id", F.lit("poisson").alias("model_name"),
-                        *[F.round(c, 6).alias(c) for c in ("p_home", "p_draw", "p_away")])
+    pois = probs.select("match_id", F.lit("poisson").alias("model_name"), "p_home", "p_draw", "p_away")
     _, _, test = split(spark, sf_dir)
     return pois.unionByName(evaluate.constant_predictions(test))
 
@@ -59,17 +57,6 @@ def top_scores(spark, sf_dir, k: int = 3) -> DataFrame:
                       F.round("probability", 6).alias("probability"))
 
 
-def fixture_lambdas(spark, sf_dir) -> DataFrame:
-    c, _, _ = split(spark, sf_dir)
-    return poisson.expected_goals(fixtures_from_contests(c), strengths(spark, sf_dir))
-
-
-def scenario_frames(spark, sf_dir):
-    results = scenario.scenario_results(fixture_lambdas(spark, sf_dir), N_SIMS, uniforms="lattice")
-    table = scenario.scenario_table(results)
-    return results, table
-
-
 # ---------------------------------------------------------------- oracle CTEs
 
 SPLIT = f"""
@@ -121,8 +108,7 @@ probs AS (
     sum(CASE WHEN i < j THEN p ELSE 0 END) / sum(p) AS p_away
   FROM grid GROUP BY match_id),
 preds AS (
-  SELECT match_id, 'poisson' AS model_name, round(p_home, 6) AS p_home, round(p_draw, 6) AS p_draw,
-    round(p_away, 6) AS p_away FROM probs
+  SELECT match_id, 'poisson' AS model_name, p_home, p_draw, p_away FROM probs
   UNION ALL
   SELECT match_id, 'home_bias', 0.45::DOUBLE, 0.25::DOUBLE, 0.30::DOUBLE FROM test),
 scored AS (
@@ -468,98 +454,6 @@ def q_simple_team_means(spark, sf_dir):
     return evaluate.simple_team_means(train, test)
 
 
-# ------------------------------------------------------------ scenarios (C, M8)
-
-FIX_EXPECTED = _expected("fix_expected", "fixtures")
-
-SAMPLED = f"""
-fix_cdf AS (
-  SELECT *,
-    list_transform(range(1, 12), lambda n: list_sum(list_slice(list_transform(range(11), lambda k:
-      exp(k * ln(greatest(lambda_home, 1e-12)) - greatest(lambda_home, 1e-12) - lgamma(k + 1))), 1, n))) AS hc,
-    list_transform(range(1, 12), lambda n: list_sum(list_slice(list_transform(range(11), lambda k:
-      exp(k * ln(greatest(lambda_away, 1e-12)) - greatest(lambda_away, 1e-12) - lgamma(k + 1))), 1, n))) AS ac
-  FROM fix_expected),
-sampled AS (
-  SELECT league, sim, fixture_id, home_team, away_team,
-    least(len(list_filter(hc, lambda c: c < uh)), 10) AS home_goals,
-    least(len(list_filter(ac, lambda c: c < ua)), 10) AS away_goals
-  FROM (SELECT f.*, s.sim,
-          ((s.sim * 7919 + f.fixture_id * 104729 + 12345) * 48271 % 2147483647) / 2147483647e0 AS uh,
-          ((s.sim * 15485863 + f.fixture_id * 32452843 + 54321) * 48271 % 2147483647) / 2147483647e0 AS ua
-        FROM fix_cdf f, range(0, {N_SIMS}) s(sim))),
-sim_table AS (
-  SELECT league, sim, team, CAST(sum(pts) AS BIGINT) AS points, CAST(sum(gd) AS BIGINT) AS goal_diff,
-    row_number() OVER (PARTITION BY league, sim ORDER BY sum(pts) DESC, sum(gd) DESC, team) AS position
-  FROM (
-    SELECT league, sim, home_team AS team,
-      CASE WHEN home_goals > away_goals THEN 3 WHEN home_goals = away_goals THEN 1 ELSE 0 END AS pts,
-      home_goals - away_goals AS gd FROM sampled
-    UNION ALL
-    SELECT league, sim, away_team,
-      CASE WHEN away_goals > home_goals THEN 3 WHEN home_goals = away_goals THEN 1 ELSE 0 END,
-      away_goals - home_goals FROM sampled)
-  GROUP BY league, sim, team)"""
-
-SCEN = (CONTESTS, SPLIT, STRENGTHS, FIXTURES_CTE, FIX_EXPECTED, SAMPLED)
-
-
-@register("poisson_sampler", with_ctes(*SCEN, body="""
-SELECT league, fixture_id, count(*) AS sims, round(avg(home_goals), 6) AS mean_home_goals,
-  round(avg(away_goals), 6) AS mean_away_goals FROM sampled GROUP BY league, fixture_id"""))
-def q_poisson_sampler(spark, sf_dir):
-    """M8: inverse-CDF Poisson draws; per fixture the sample means over all simulations."""
-    results, _ = scenario_frames(spark, sf_dir)
-    return results.groupBy("league", "fixture_id").agg(
-        F.count(F.lit(1)).cast("long").alias("sims"),
-        F.round(F.avg("home_goals"), 6).alias("mean_home_goals"),
-        F.round(F.avg("away_goals"), 6).alias("mean_away_goals"))
-
-
-@register("scenario_results", with_ctes(*SCEN, body="SELECT * FROM sampled"))
-def q_scenario_results(spark, sf_dir):
-    """Sampled goals for every (league, simulation, fixture)."""
-    results, _ = scenario_frames(spark, sf_dir)
-    return results
-
-
-@register("scenario_table", with_ctes(*SCEN, body="SELECT * FROM sim_table"))
-def q_scenario_table(spark, sf_dir):
-    """Points, goal difference and position per (league, simulation, team)."""
-    _, table = scenario_frames(spark, sf_dir)
-    return table
-
-
-@register("rank_in_scenario", with_ctes(*SCEN, body="SELECT league, sim, team, position FROM sim_table"))
-def q_rank_in_scenario(spark, sf_dir):
-    """Finishing position within each simulation."""
-    _, table = scenario_frames(spark, sf_dir)
-    return table.select("league", "sim", "team", "position")
-
-
-SCEN_ODDS_SQL = """
-SELECT t.league, team, round(avg(points), 6) AS expected_points, round(avg(goal_diff), 6) AS expected_goal_diff,
-  round(100.0 * avg(CASE WHEN position = 1 THEN 1.0 ELSE 0.0 END), 6) AS title_pct,
-  round(100.0 * avg(CASE WHEN position <= 4 THEN 1.0 ELSE 0.0 END), 6) AS top4_pct,
-  round(100.0 * avg(CASE WHEN position > n_teams - 3 THEN 1.0 ELSE 0.0 END), 6) AS relegation_pct
-FROM sim_table t JOIN (SELECT league, max(position) AS n_teams FROM sim_table GROUP BY league) n USING (league)
-GROUP BY t.league, team"""
-
-
-@register("scenario_odds", with_ctes(*SCEN, body=SCEN_ODDS_SQL))
-def q_scenario_odds(spark, sf_dir):
-    """Expected points / goal difference and title, top-4 and relegation odds."""
-    _, table = scenario_frames(spark, sf_dir)
-    return scenario.scenario_odds(table)
-
-
-@register("standings_sort", with_ctes(*SCEN, body=SCEN_ODDS_SQL + " ORDER BY league, expected_points DESC, team"))
-def q_standings_sort(spark, sf_dir):
-    """Projected standings ordered by expected points."""
-    _, table = scenario_frames(spark, sf_dir)
-    return scenario.standings_sort(scenario.scenario_odds(table))
-
-
 # ---------------------------------------------------- fixtures, priors, featured
 
 

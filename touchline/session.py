@@ -36,6 +36,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on this machine."""
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset.
 
@@ -46,6 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not current:
+        # Executors elsewhere could not see a folder of this machine.
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="touchline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
@@ -56,7 +65,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own sub-folder of the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/touchline/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/touchline/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below ``scratch_root`` for a written table."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; call it when its results have been read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

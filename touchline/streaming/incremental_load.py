@@ -42,12 +42,15 @@ def _upsert(target_path: str, key: Sequence[str]):
         spark = batch.sparkSession
         batch = batch.withColumn("file_row", F.monotonically_increasing_id())  # position within the micro-batch
         cleaned = clean_matches(batch, key=key, order=("source_file", "file_row")).drop("source_file", "file_row")
-        try:
-            target = spark.read.parquet(target_path)
-        except Exception:  # first batch: no table yet
+        path = spark._jvm.org.apache.hadoop.fs.Path(target_path)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # first batch: no table yet
             cleaned.write.mode("append").parquet(target_path)
             return
-        anti_new_rows(target, cleaned.select(*target.columns), list(key)).write.mode("append").parquet(target_path)
+        target = spark.read.parquet(target_path)
+        # Only the batch's seasons of the table can hold its keys; they are few.
+        seasons = [r[0] for r in cleaned.select("season").distinct().collect()]
+        known = target.where(F.col("season").isin(seasons))
+        anti_new_rows(known, cleaned.select(*target.columns), list(key)).write.mode("append").parquet(target_path)
 
     return run
 
