@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import season_name
+from ..functions.scalars import clean_text, season_name
 from .form import dedupe_keep_first
 from .perspective import distinct_teams
 
@@ -83,6 +83,10 @@ def load_star(clean: DataFrame, odds: DataFrame | None = None, ratings: DataFram
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
+    for c in ("home_team", "away_team"):
+        clean = clean.withColumn(c, clean_text(c))
+    # INSERT IGNORE by the declared key: the first row of each match stays.
+    clean = dedupe_keep_first(clean, NATURAL_MATCH_KEY, ["match_id"])
     leagues = persist("leagues", assign_surrogate_keys(clean.select(F.col("league").alias("name")), ["name"]))
     seasons_raw = clean.select("league", "season").distinct()
     seasons = persist("seasons", assign_surrogate_keys(seasons_raw, ["league", "season"])
@@ -90,11 +94,12 @@ def load_star(clean: DataFrame, odds: DataFrame | None = None, ratings: DataFram
                       .select("id", "league_id", season_name("season").alias("name"), "league", "season"))
     teams = persist("teams", assign_surrogate_keys(
         distinct_teams(clean, by_league=False).select(F.col("team").alias("name")), ["name"]))
-    matches = persist("matches", lookup_ids(clean, seasons, teams))
     stat_cols = [c for c in clean.columns if c.startswith(("home_", "away_"))
                  and c not in ("home_team", "away_team", "home_goals", "away_goals")]
-    match_stats = persist("match_stats", matches.select(F.col("id").alias("match_id")).join(
-        clean.select("match_id", *stat_cols), "match_id"))
+    # The ids are resolved once; both fact tables are projections of that frame.
+    facts = persist("facts", lookup_ids(clean, seasons, teams, stat_cols))
+    matches = facts.drop(*stat_cols)
+    match_stats = facts.select(F.col("id").alias("match_id"), *stat_cols)
     tables = {"leagues": leagues, "seasons": seasons.drop("league", "season"), "teams": teams,
               "matches": matches, "match_stats": match_stats}
     if odds is not None:
@@ -108,16 +113,18 @@ def load_star(clean: DataFrame, odds: DataFrame | None = None, ratings: DataFram
     return tables
 
 
-def lookup_ids(clean: DataFrame, seasons: DataFrame, teams: DataFrame) -> DataFrame:
-    """Natural names → ids (season by (league, code), teams by name); a miss
-    drops the row (see ``reject_rows`` for the quarantined side)."""
+def lookup_ids(clean: DataFrame, seasons: DataFrame, teams: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Natural names → ids (season by (league, code), teams by trimmed name), with
+    the ``carry`` columns. Rows that miss a dimension have no ids; ``reject_rows``,
+    which trims alike, returns them with the reason."""
     s = seasons.select(F.col("id").alias("season_id"), "league", "season")
     h = teams.select(F.col("id").alias("home_team_id"), F.col("name").alias("home_team"))
     a = teams.select(F.col("id").alias("away_team_id"), F.col("name").alias("away_team"))
+    clean = clean.withColumns({c: clean_text(c) for c in ("home_team", "away_team")})
     j = clean.join(s, ["league", "season"]).join(h, "home_team").join(a, "away_team")
     return j.select(F.col("match_id").alias("id"), "season_id", F.col("match_datetime").alias("date"),
                     "home_team_id", "away_team_id", F.col("home_goals").cast("int").alias("home_team_goals"),
-                    F.col("away_goals").cast("int").alias("away_team_goals"), "result")
+                    F.col("away_goals").cast("int").alias("away_team_goals"), "result", *carry)
 
 
 def ratings_by_match(elo: DataFrame, matches: DataFrame) -> DataFrame:
@@ -172,20 +179,10 @@ def load_counts(star: dict[str, DataFrame]) -> DataFrame:
 
 def check_required(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """V1: one aggregate pass; per required column, whether it exists and its NULL count."""
-    present = [c for c in required if c in df.columns]
-    agg = df.agg(*[F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).cast("long").alias(c) for c in present]) if present else None
-    rows = []
-    for c in required:
-        if c in present:
-            rows.append(agg.select(F.lit(c).alias("column"), F.lit(True).alias("present"), F.col(c).alias("nulls")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    missing = [c for c in required if c not in present]
-    if missing:
-        spark = df.sparkSession
-        out = out.unionByName(spark.createDataFrame([(c, False, None) for c in missing], "column string, present boolean, nulls long"))
-    return out
+    nulls = [F.sum(F.col(c).isNull().cast("long")).alias(c) if c in df.columns else F.lit(None).cast("long").alias(c) for c in required]
+    counted = df.agg(F.count(F.lit(1)).alias("_rows"), *nulls)
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present"), F.col(c).alias("nulls")) for c in required])
+    return counted.select(F.explode(each).alias("v")).select("v.*")
 
 
 def check_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -196,9 +193,15 @@ def check_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def check_unique(star: dict[str, DataFrame], keys: dict[str, Sequence[str]]) -> DataFrame:
-    """V3: V2 for every declared UNIQUE / PRIMARY KEY."""
-    parts = [check_duplicates(star[t], k).select(F.lit(t).alias("table"), F.lit(",".join(k)).alias("key"), "duplicate_rows")
-             for t, k in keys.items() if t in star]
+    """V3: V2 for every declared UNIQUE / PRIMARY KEY, given as table or ``table#n`` → columns;
+    a table that is absent has NULL duplicate rows."""
+    spark = next(iter(star.values())).sparkSession
+    parts = []
+    for name, k in keys.items():
+        t = name.split("#")[0]
+        label = [F.lit(t).alias("table"), F.lit(",".join(k)).alias("key")]
+        parts.append(check_duplicates(star[t], k).select(*label, "duplicate_rows") if t in star
+                     else spark.range(1).select(*label, F.lit(None).cast("long").alias("duplicate_rows")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -235,20 +238,28 @@ def check_foreign_key(child: DataFrame, child_key: str, parent: DataFrame, paren
 
 
 def foreign_key_report(star: dict[str, DataFrame]) -> DataFrame:
-    """V5 for every declared foreign key: (child, column, parent, orphans)."""
-    fks = [("seasons", "league_id", "leagues"), ("matches", "season_id", "seasons"),
-           ("matches", "home_team_id", "teams"), ("matches", "away_team_id", "teams"),
-           ("match_stats", "match_id", "matches"), ("match_market_odds", "match_id", "matches"),
-           ("team_ratings", "team_id", "teams"), ("team_ratings", "season_id", "seasons")]
-    parts = []
-    for child, col, parent in fks:
-        if child in star and parent in star:
-            orphans = check_foreign_key(star[child].select(col), col, star[parent])
-            parts.append(orphans.agg(F.count(F.lit(1)).cast("long").alias("orphans")).select(
-                F.lit(child).alias("child"), F.lit(col).alias("column"), F.lit(parent).alias("parent"), "orphans"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """V5 for every declared foreign key: (child, column, parent, orphans). Each child is
+    scanned once: left joins to all its parents (their ids are unique keys), then
+    one aggregate. Where a table is absent the orphans are NULL."""
+    fks = {"seasons": [("league_id", "leagues")],
+           "matches": [("season_id", "seasons"), ("home_team_id", "teams"), ("away_team_id", "teams")],
+           "match_stats": [("match_id", "matches")], "match_market_odds": [("match_id", "matches")],
+           "team_ratings": [("match_id", "matches"), ("team_id", "teams"), ("season_id", "seasons")],
+           "predictions_summary": [("match_id", "matches")], "predicted_top_scores": [("match_id", "matches")]}
+    spark = next(iter(star.values())).sparkSession
+    out = None
+    for child, refs in fks.items():
+        known = [(i, c, p) for i, (c, p) in enumerate(refs) if child in star and p in star]
+        frame = star[child].select(*dict.fromkeys(c for _, c, _ in known)) if known else spark.range(1)
+        for i, c, p in known:
+            frame = frame.join(star[p].select(F.col("id").alias(c), F.lit(True).alias(f"_hit{i}")), c, "left")
+        counted = frame.agg(F.count(F.lit(1)).alias("_rows"), *[F.coalesce(F.sum(F.when(F.col(f"_hit{i}").isNull() & F.col(c).isNotNull(), 1).otherwise(0)), F.lit(0))
+                                                               .cast("long").alias(f"_o{i}") for i, c, _ in known])
+        done = {i for i, _, _ in known}
+        rows = F.array(*[F.struct(F.lit(child).alias("child"), F.lit(c).alias("column"), F.lit(p).alias("parent"),
+                                  (F.col(f"_o{i}") if i in done else F.lit(None).cast("long")).alias("orphans")) for i, (c, p) in enumerate(refs)])
+        part = counted.select(F.explode(rows).alias("v")).select("v.*")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -258,6 +269,7 @@ def reject_rows(clean: DataFrame, seasons: DataFrame, teams: DataFrame) -> tuple
     s = seasons.select("league", "season", F.lit(True).alias("_s"))
     t_h = teams.select(F.col("name").alias("home_team"), F.lit(True).alias("_h"))
     t_a = teams.select(F.col("name").alias("away_team"), F.lit(True).alias("_a"))
+    clean = clean.withColumns({c: clean_text(c) for c in ("home_team", "away_team")})
     x = (clean.join(s, ["league", "season"], "left").join(t_h, "home_team", "left").join(t_a, "away_team", "left"))
     reason = (F.when(F.col("_s").isNull(), "unknown_season")
               .when(F.col("_h").isNull() | F.col("_a").isNull(), "unknown_team")

