@@ -65,7 +65,7 @@ def op1(spark, sf_dir):
 @register("op2_repeated_strings")
 def op2(spark, sf_dir):
     """Every document without the bytes of 50-byte strings that a smaller id also has."""
-    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
 
 
 TOKEN_LIMIT = 2048
