@@ -51,3 +51,15 @@ def test_fixture_file(spark):
 
 def test_header_normalisation():
     assert files.normalise_header(["﻿Div", " Date ", "ï»¿HomeTeam"]) == ["Div", "Date", "HomeTeam"]
+
+
+def test_headers_that_differ_by_case_and_league_from_division(spark):
+    d = Path(tempfile.mkdtemp(prefix="touchline-files-"))
+    a = _write(d, "season_1920.csv", "Div,Date,HomeTeam,AwayTeam,FTHG,FTAG,FTR,AHh,AHH,Referee,Attendance,B365H\n"
+                                     "E0,09/08/2019, Liverpool ,Norwich,4,1,H,1,2, M Oliver ,53333,1.14\n")
+    raw = files.read_seasons(spark, [a])
+    assert {"AHh", "AHH_2"} <= set(raw.columns)
+    m = clean.matches_from_files(raw).collect()[0]
+    assert (m.league, m.season, m.home_team) == ("E0", "1920", "Liverpool") and isinstance(m.match_id, int)
+    wide = clean.clean_matches(raw, clean.WIDE_COLUMN_MAP).collect()[0]
+    assert (wide.attendance, wide.b365_home_win_odds, wide.referee) == (53333, 1.14, "M Oliver")

@@ -52,3 +52,17 @@ def test_team_perspective_two_rows_per_match(sample):
     long = perspective.team_perspective(sample)
     assert long.count() == 8
     assert {r["team"] for r in long.where("is_home").collect()} == {"Brighton", "Manchester City", "New Castle"}
+
+
+def test_elo_by_season_keeps_64_bit_ids(spark):
+    """Seeds carried between seasons never turn ids into floats."""
+    from pyspark.sql import functions as F
+
+    base = spark.range(400).select(
+        F.xxhash64("id").alias("match_id"), F.lit("L").alias("league"), (F.lit(2000) + F.col("id") % 4).cast("string").alias("season"),
+        F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(cast(id % 4 as int) * 400 + cast(id div 4 as int))").alias("match_datetime"),
+        F.concat(F.lit("t"), F.col("id") % 7).alias("home_team"), F.concat(F.lit("t"), (F.col("id") + 3) % 7).alias("away_team"),
+        F.element_at(F.array(F.lit("H"), F.lit("D"), F.lit("A")), (F.col("id") % 3 + 1).cast("int")).alias("result"))
+    once = sorted(elo.elo_ratings(base).collect())
+    assert sorted(elo.elo_ratings(base, chunk="season").collect()) == once
+    assert {r.match_id for r in base.select("match_id").collect()} == {r.match_id for r in once}

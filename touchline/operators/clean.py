@@ -87,6 +87,12 @@ NUMERIC_COLUMNS = ("home_goals", "away_goals", "home_shots", "away_shots", "home
                    "away_fouls_committed", "home_yellow", "away_yellow", "home_red", "away_red")
 REQUIRED_COLUMNS = ("match_datetime", "home_team", "away_team", "result", "home_goals", "away_goals")
 
+# Further columns of the wide frame by kind: text, whole numbers, decimal odds.
+WIDE_TEXT_COLUMNS = ("league_division", "referee", "half_time_result")
+WIDE_NUMERIC_COLUMNS = ("attendance", "half_time_home_goals", "half_time_away_goals", "home_hit_woodwork", "away_hit_woodwork",
+                        "home_free_kicks_conceded", "away_free_kicks_conceded", "home_offsides", "away_offsides")
+WIDE_DECIMAL_COLUMNS = tuple(c for c in WIDE_COLUMN_MAP.values() if c.endswith("_odds"))
+
 # Columns known before kickoff, and the odds table, as in the reference.
 PREMATCH_COLUMNS = ("league_division", "match_datetime", "home_team", "away_team", "referee", "attendance",
                     "b365_home_win_odds", "b365_draw_odds", "b365_away_win_odds",
@@ -100,8 +106,11 @@ KEEP_ALWAYS = ("season", "league", "source_line", "source_file", "file_row")
 def map_columns(raw: DataFrame, column_map: Mapping[str, str] = RAW_COLUMN_MAP,
                 keep: Sequence[str] = KEEP_ALWAYS) -> DataFrame:
     """Case-insensitive select + rename; absent columns are ignored,
-    bookkeeping columns (season, league, source line) are kept."""
+    bookkeeping columns (season, league, source line) are kept. Season files name
+    the league in their division column only; it becomes ``league``."""
     by_lower = {c.lower(): c for c in raw.columns}
+    if "league" in keep and "league" not in by_lower and "div" in by_lower:
+        raw = raw.withColumn("league", clean_text(f"`{by_lower['div']}`"))
     cols = [F.col(f"`{by_lower[k]}`").alias(v) for k, v in column_map.items() if k in by_lower]
     kept = [F.col(c) for c in keep if c in raw.columns and c not in column_map.values()]
     return raw.select(*cols, *kept)
@@ -120,12 +129,9 @@ def clean_matches(raw: DataFrame | None, column_map: Mapping[str, str] = RAW_COL
         df = df.withColumn("match_datetime", parse_date_time("date", "kickoff_time")).drop("date", "kickoff_time")
     else:
         df = df.withColumn("match_datetime", parse_day_first("date")).drop("date")
-    for c in TEXT_COLUMNS:
-        if c in df.columns:
-            df = df.withColumn(c, clean_text(c))
-    for c in NUMERIC_COLUMNS:
-        if c in df.columns:
-            df = df.withColumn(c, safe_int(to_number(c)))
+    df = df.withColumns({c: clean_text(c) for c in (*TEXT_COLUMNS, *WIDE_TEXT_COLUMNS) if c in df.columns})
+    df = df.withColumns({c: safe_int(to_number(c)) for c in (*NUMERIC_COLUMNS, *WIDE_NUMERIC_COLUMNS) if c in df.columns})
+    df = df.withColumns({c: to_number(c) for c in WIDE_DECIMAL_COLUMNS if c in df.columns})
     df = df.na.drop(subset=["match_datetime", "home_team", "away_team"])
     key = [k for k in key if k in df.columns]
     order = [o for o in order if o in df.columns] or [o for o in ("source_file", "file_row") if o in df.columns] \
@@ -155,3 +161,12 @@ def leak_guard(feature_cols: Sequence[str], allowed: Sequence[str]) -> None:
 def to_int_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """H14 over several columns."""
     return df.select(*[safe_int(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def matches_from_files(raw: DataFrame) -> DataFrame:
+    """S1 → P3: raw season files to matches with a league and a stable 64-bit ``match_id`` of the
+    natural key (which stays beside it); ready for the features and the star load."""
+    from .star import stable_match_id
+
+    cleaned = clean_matches(raw)
+    return stable_match_id(cleaned.drop("source_file", "file_row"))

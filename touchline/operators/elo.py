@@ -3,7 +3,8 @@
 Elo is a fold through every match of a league in (match_datetime, match_id)
 order: each match reads both teams' current ratings and writes both back.
 Leagues are independent, so they run in parallel; within a league the
-dependency is genuine.
+dependency is genuine. A league is a bounded competition (the derived relation
+makes more leagues, not larger ones, as data grows), so tasks grow with the data.
 
 Execution (no group is ever materialised whole):
 
@@ -88,7 +89,7 @@ def _elo_pass(matches: DataFrame, state: DataFrame | None, k: float, initial: fl
                        "result", F.lit(None).cast("double").alias("rating"))
     if state is not None:
         s = state.select(F.lit(0).alias("kind"), "league", F.lit(None).cast("timestamp_ntz").alias("match_datetime"),
-                         F.lit(None).cast("long").alias("match_id"), F.col("team").alias("home_team"),
+                         F.lit(0).cast("long").alias("match_id"), F.col("team").alias("home_team"),
                          F.lit(None).cast("string").alias("away_team"), F.lit(None).cast("string").alias("result"),
                          F.col("rating").cast("double"))
         m = m.unionByName(s)
@@ -115,8 +116,8 @@ def elo_ratings(contests: DataFrame, k: float = ELO_K, initial: float = ELO_INIT
     if chunk is None:
         return _finish(_elo_pass(contests.select(*cols), None, k, initial))
     matches = contests.select(*cols, chunk)
-    # Chunk values (e.g. seasons) are a small, bounded list.
-    values = [r[0] for r in matches.select(chunk).distinct().orderBy(chunk).collect()]
+    # Chunk values (e.g. seasons) are a small, bounded list, in order of time.
+    values = [r[0] for r in matches.groupBy(chunk).agg(F.min("match_datetime").alias("t")).orderBy("t").collect()]
     state = None
     parts = []
     for v in values:

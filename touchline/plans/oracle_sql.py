@@ -15,7 +15,7 @@ contests AS (
       CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS INT) AS home_corners,
       CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS INT) AS away_corners
     FROM lineitem GROUP BY l_orderkey)
-  SELECT o_orderkey AS match_id, c_mktsegment AS league, CAST(year(o_orderdate) AS VARCHAR) AS season,
+  SELECT o_orderkey AS match_id, c_mktsegment || '-' || (c_custkey // 1500) AS league, CAST(year(o_orderdate) AS VARCHAR) AS season,
     o_orderdate AS match_datetime, hn.n_name AS home_team, an.n_name AS away_team, home_goals, away_goals,
     CASE WHEN home_goals > away_goals THEN 'H' WHEN home_goals = away_goals THEN 'D' ELSE 'A' END AS result,
     home_shots, away_shots, home_corners, away_corners

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clean, forest, form, poisson
+from ..operators import clean, evaluate, forest, form, poisson
 from ..session import scratch_path
 from ..sources.tables import contests
 from .catalog import register
 from .oracle_sql import CONTESTS, with_ctes
-from .queries_models import TEST_SEASON
+from .queries_models import TEST_SEASON, predictions, split
 
 FEATURES = form.feature_columns()
 FOREST_TREES, FOREST_DEPTH = 200, 6  # documented configuration: 200 trees, depth 6
@@ -43,6 +43,14 @@ def _forest(spark, sf_dir):
     return _TRAINED[key], train, test
 
 
+def _all_predictions(spark, sf_dir):
+    """(predictions of the forest, the Poisson model and the constant; test matches)."""
+    model, _, test = _forest(spark, sf_dir)
+    ours = forest.score_forest(model, test).select("match_id", F.lit("forest").alias("model_name"), "p_home", "p_draw", "p_away")
+    _, _, matches = split(spark, sf_dir)
+    return predictions(spark, sf_dir).unionByName(ours), matches
+
+
 @register("fit_poisson_glm")
 def q_fit_poisson_glm(spark, sf_dir):
     """M1: maximum-likelihood Poisson GLM (distributed IRLS) on the training seasons;
@@ -83,6 +91,18 @@ def q_score_forest(spark, sf_dir):
     return forest.score_forest(model, test)
 
 
+@register("forest_showdown")
+def q_forest_showdown(spark, sf_dir):
+    """D10 + D14: the forest against the Poisson model on the test season, accuracy and Brier score."""
+    return evaluate.model_showdown(evaluate.accuracy_brier(*_all_predictions(spark, sf_dir)), ("poisson", "forest"))
+
+
+@register("forest_confusion")
+def q_forest_confusion(spark, sf_dir):
+    """Per model and actual class, the test matches and how often each class was predicted."""
+    return evaluate.confusion_matrix(*_all_predictions(spark, sf_dir))
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     """All feature importances by name."""

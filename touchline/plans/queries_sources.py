@@ -256,3 +256,52 @@ def q_fixture_feature_rows(spark, sf_dir):
 
     c = contests(spark, sf_dir)
     return forest.fixture_feature_rows(fixtures_from_contests(c), form.build_features(c), FEATURE_COLS)
+
+
+# Faults put into the raw files by a rule that both engines state: what k = match_id % 50 does to a row.
+FAULTY_SQL = """
+faulty AS (SELECT *, match_id % 50 AS k FROM contests),
+kept AS (SELECT DISTINCT league, season, match_datetime, home_team, away_team FROM faulty WHERE k NOT IN (1, 4))"""
+
+
+@register("load_from_files", with_ctes(CONTESTS, FAULTY_SQL, body="""
+SELECT (SELECT count(*) FROM faulty) + (SELECT count(*) FROM faulty WHERE k = 5) AS rows_read,
+  (SELECT count(*) FROM faulty WHERE k = 1) AS bad_dates, (SELECT count(*) FROM faulty WHERE k = 4) AS blank_teams,
+  (SELECT count(*) FROM faulty WHERE k = 2) AS bad_numbers, (SELECT count(*) FROM kept) AS matches,
+  (SELECT count(*) FROM kept) AS loaded, 2 * (SELECT count(*) FROM kept) AS rated_sides,
+  (SELECT count(DISTINCT league) FROM kept) AS leagues,
+  (SELECT count(DISTINCT t) FROM (SELECT home_team AS t FROM kept UNION ALL SELECT away_team FROM kept)) AS teams"""))
+def q_load_from_files(spark, sf_dir):
+    """S1 → P3 → E9 → S7 end to end: season files with bad dates, bad numbers, padded and blank names and
+    repeated rows, read, cleaned, given features and loaded; the rejects are counted by reason."""
+    from ..functions.scalars import clean_text, parse_day_first, to_number
+    from ..operators import elo, star
+
+    k = F.col("source_line") % 50
+    raw = _raw(spark, sf_dir).withColumns({
+        "Date": F.when(k == 1, "32/13/1999").otherwise(F.col("Date")),
+        "FTHG": F.when(k == 2, "n/a").otherwise(F.col("FTHG")),
+        "HomeTeam": F.when(k == 3, F.concat(F.lit("  "), "HomeTeam", F.lit(" "))).when(k == 4, " ").otherwise(F.col("HomeTeam"))})
+    raw = raw.unionByName(raw.where(k == 5))
+    base = scratch_path(spark, "faulty-seasons")
+    globs = files.write_raw_seasons(raw, base, {"early": EARLY_COLS, "late": LATE_COLS})
+    read = files.read_seasons(spark, [p for g in globs for p in files.list_files(spark, g)], encoding="UTF-8")
+    faults = read.agg(F.count(F.lit(1)).alias("rows_read"),
+                      F.sum(parse_day_first("Date").isNull().cast("long")).alias("bad_dates"),
+                      F.sum(clean_text("HomeTeam").isNull().cast("long")).alias("blank_teams"),
+                      F.sum(to_number("FTHG").isNull().cast("long")).alias("bad_numbers"))
+    path = scratch_path(spark, "matches-from-files")
+    clean.matches_from_files(read).write.parquet(path)
+    matches = spark.read.parquet(path)
+    loaded = star.load_star(matches, ratings=elo.elo_ratings(matches), path=scratch_path(spark, "star-from-files"))
+    wide = form.build_features(matches, with_elo=False)
+    one = F.lit(1)
+    parts = [faults.withColumn("_j", one), wide.agg(F.count(one).alias("matches")).withColumn("_j", one),
+             loaded["matches"].agg(F.count(one).alias("loaded")).withColumn("_j", one),
+             loaded["team_ratings"].agg(F.count(one).alias("rated_sides")).withColumn("_j", one),
+             loaded["leagues"].agg(F.count(one).alias("leagues")).withColumn("_j", one),
+             loaded["teams"].agg(F.count(one).alias("teams")).withColumn("_j", one)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "_j")
+    return out.drop("_j")

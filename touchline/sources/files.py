@@ -23,11 +23,14 @@ BOM = "﻿"
 
 
 def normalise_header(names: Sequence[str]) -> list[str]:
-    """Strip a byte-order mark (also its latin-1 rendering) and blanks from column names."""
-    out = []
+    """Strip a byte-order mark (also its latin-1 rendering) and blanks from column names;
+    a name that repeats an earlier one but for case gets a number (``AHh``, ``AHH_2``)."""
+    out, seen = [], defaultdict(int)
     for n in names:
         n = n.replace(BOM, "").replace("ï»¿", "").strip()
-        out.append(n)
+        seen[n.lower()] += 1
+        k = seen[n.lower()]
+        out.append(n if k == 1 else f"{n}_{k}")
     return out
 
 
