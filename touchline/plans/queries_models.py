@@ -498,23 +498,34 @@ def q_promoted_prior(spark, sf_dir):
     return forest.promoted_prior(test, poisson.team_strengths(train))
 
 
-@register("featured_match", sql(ELO_CTE, body="""
+FINAL_RATINGS = """
+finals AS (
+  SELECT e.league, 'NATION_' || CAST(i - 1 AS VARCHAR) AS team, round(st[i], 6) AS rating
+  FROM elo e JOIN (SELECT league, max(rn) AS rn FROM elo GROUP BY league) m USING (league, rn), range(1, 26) t(i))"""
+
+
+@register("featured_match", sql(ELO_CTE, FINAL_RATINGS, body="""
 SELECT league, match_id, round(score, 6) AS importance FROM (
   SELECT *, row_number() OVER (PARTITION BY league ORDER BY score DESC, match_id) AS rn FROM (
     SELECT c.league, c.match_id,
-      CASE WHEN p.p_home IS NULL OR p.p_away IS NULL THEN 0.0 ELSE
-        0.6 * (((round(e.eh, 6) - 1200.0) / 600.0 + (round(e.ea, 6) - 1200.0) / 600.0) / 2)
-        + 0.4 * (1 - abs(p.p_home - p.p_away)) END AS score
-    FROM test c JOIN (SELECT * FROM elo WHERE rn > 0) e USING (match_id)
+      round(CASE WHEN p.p_home IS NULL OR p.p_away IS NULL THEN 0.0 ELSE
+        0.6 * (((h.rating - 1200.0) / 600.0 + (a.rating - 1200.0) / 600.0) / 2)
+        + 0.4 * (1 - abs(p.p_home - p.p_away)) END, 9) AS score
+    FROM test c JOIN finals h ON h.league = c.league AND h.team = c.home_team
+    JOIN finals a ON a.league = c.league AND a.team = c.away_team
     LEFT JOIN (SELECT * FROM preds WHERE model_name = 'poisson') p USING (match_id)))
 WHERE rn = 1"""))
 def q_featured_match(spark, sf_dir):
-    """T3 + H16: per league the test-season match with the highest importance score."""
+    """T3 + H16: per league the test-season match with the highest importance score, by each team's latest rating."""
     c, _, test = split(spark, sf_dir)
-    ratings = elo.elo_ratings(c)
+    latest = elo.final_ratings(c).select("league", "team", F.round("rating", 6).alias("rating"))
+    home = latest.select("league", F.col("team").alias("home_team"), F.col("rating").alias("home_rating"))
+    away = latest.select("league", F.col("team").alias("away_team"), F.col("rating").alias("away_rating"))
     pois = predictions(spark, sf_dir).where(F.col("model_name") == "poisson")
-    x = test.select("league", "match_id").join(ratings.drop("league"), "match_id").join(pois, "match_id", "left")
-    scored = x.select("league", "match_id", importance_score("elo_home_pre", "elo_away_pre", "p_home", "p_away").alias("score"))
+    x = (test.select("league", "match_id", "home_team", "away_team").join(home, ["league", "home_team"])
+         .join(away, ["league", "away_team"]).join(pois, "match_id", "left"))
+    # Rounded before ranking, so that equal scores tie in any engine.
+    scored = x.select("league", "match_id", F.round(importance_score("home_rating", "away_rating", "p_home", "p_away"), 9).alias("score"))
     best = scored.groupBy("league").agg(F.max_by(F.struct("match_id", "score"),
                                                  F.struct("score", -F.col("match_id"))).alias("b"))
     return best.select("league", "b.match_id", F.round("b.score", 6).alias("importance"))
