@@ -92,16 +92,19 @@ def repeated_windows(docs: DataFrame, window: int = 3, id_col: str = "doc_id", t
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
     found = materialize(rows.mapInArrow(
         _occurrences(window), f"print long, doc_id {id_type}, text_hash long, start int, windows array<long>"), "line-prints")
-    shared = found.groupBy("print").count().where("count > 1").select("print")
+    # The join sides are written tables, so that a hot fingerprint's rows can be split over tasks.
+    shared = materialize(found.groupBy("print").count().where("count > 1").select("print"), "line-shared")
     # Selected positions that join with another one, extended to the windows around them.
-    around = (found.join(shared, "print").select("print", "doc_id", "text_hash", "start", F.posexplode("windows").alias("i", "window_hash"))
+    around = materialize(found.join(shared, "print").select("print", "doc_id", "text_hash", "start", F.posexplode("windows").alias("i", "window_hash"))
               .select("window_hash", F.col("print").bitwiseXOR(F.col("window_hash")).alias("check"),
-                      F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", (F.col("start") + F.col("i")).alias("start")).alias("at")))
-    first = around.groupBy("window_hash", "check").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
-    cuts = (around.join(first.select("window_hash", "check", "first"), ["window_hash", "check"]).where("at > first")
+                      F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", (F.col("start") + F.col("i")).alias("start")).alias("at")), "line-windows")
+    first = materialize(around.groupBy("window_hash", "check").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+                        .where("n > 1").drop("n"), "line-first")
+    cuts = (around.join(first, ["window_hash", "check"]).where("at > first")
             .groupBy("at.doc_id", "at.text_hash").agg(F.collect_set("at.start").alias("starts")))
     out = materialize(cuts, "line-cuts")
-    discard(found)
+    for t in (found, shared, around, first):
+        discard(t)
     return out
 
 
