@@ -118,13 +118,28 @@ class Weights:
         g = np.exp(self.log_softmax(f))
         g[np.arange(len(g)), y] -= 1
         for t in range(TEMPLATES):
-            order = np.argsort(f[t], kind="stable")
+            order = np.argsort(f[t].astype(np.uint16), kind="stable")
             key = f[t][order]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            row, total = key[first], np.add.reduceat(g[order], first, axis=0)
-            squares[t, row] += (total * total).sum(axis=1)
-            seen[t, row] += np.diff(np.append(first, len(key)))
-            self.table[t][row] -= RATE * total / np.sqrt(squares[t, row] + 1.0)[:, None]
+            size = np.diff(np.append(first, len(key)))
+            row, total = key[first], _group_sums(g, order, first, size)
+            squares[t, row] += np.einsum("ij,ij->i", total, total)
+            seen[t, row] += size
+            total *= (RATE / np.sqrt(squares[t, row] + 1.0))[:, None]
+            self.table[t][row] -= total
+
+
+def _group_sums(g: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray, few: int = 16) -> np.ndarray:
+    """Sums of the rows ``g[order]`` over consecutive groups: small groups member by member, large ones singly."""
+    out = g[order[first]]
+    small, at = np.flatnonzero((size > 1) & (size <= few)), 1
+    while len(small):
+        out[small] += g[order[first[small] + at]]
+        at += 1
+        small = small[size[small] > at]
+    for i in np.flatnonzero(size > few):
+        out[i] = g[order[first[i]:first[i] + size[i]]].sum(axis=0)
+    return out
 
 
 def _by_bucket(h: np.ndarray, bits: int):
