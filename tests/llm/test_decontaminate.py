@@ -84,3 +84,22 @@ def test_word_spans_do_not_cross_rows():
     data, offsets = np.frombuffer(b"ab cdef g", np.uint8), np.array([0, 4, 4, 9])
     start, end, row = words.spans(data, offsets, words.SPACED)
     assert [(bytes(data[a:b]), int(r)) for a, b, r in zip(start, end, row, strict=True)] == [(b"ab", 0), (b"c", 0), (b"def", 2), (b"g", 2)]
+
+
+def test_copies_in_another_case_are_found_in_any_script(spark):
+    """Whole items in upper case with accented, Greek and Cyrillic letters, and in decomposed form, are leaks."""
+    import unicodedata
+
+    bench = [(1, "À quelle époque l'été précède-t-il la récolte des pêches près du château délabré? Après la fête de l'école."),
+             (2, "Ποιος έγραψε τους νόμους της πόλεως πριν από τον πόλεμο; Ο Σόλων έγραψε όλους τους παλαιούς νόμους."),
+             (3, "Какой город стоял у широкой реки до большого пожара? Старый город стоял у широкой реки."),
+             (4, "Welche Straße führt größtenteils über die Brücke außerhalb der Stadt? Die große Straße führt über die Brücke.")]
+    rnd = random.Random(5)
+    rows = []
+    for i, t in bench:
+        rows += [(i, sentence(rnd, 20) + " " + t.upper() + " " + sentence(rnd, 20)),
+                 (10 + i, sentence(rnd, 90) + "\n" + unicodedata.normalize("NFD", t.title()) + "\n" + sentence(rnd, 9))]
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontaminate.find_leaks(docs(spark, [*rows, (50, "ASCII only"), (51, sentence(rnd, 40).upper())]), table).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i % 10) for i, _ in rows}
+    assert decontaminate.folded_text(b"A\xffB\xc3\x89") == b"a\xffb\xc3\xa9"

@@ -18,6 +18,9 @@ of fewer than five words counts as one shingle.
 
 The items are searched in slices of bounded size; only a slice is broadcast.
 
+Texts and items are compared without regard to case in any script: both are
+composed (NFC) and case-folded by Unicode before they are split into words.
+
 Defined results: null or empty texts hold no item; items of fewer than
 ``SHINGLE`` words never match; an item listed twice is reported once per id;
 rows that repeat an id are reported once; empty tables give an empty result;
@@ -27,6 +30,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +49,25 @@ K1, B = 1.2, 0.75
 CELLS = 2 << 20
 
 
+def folded_text(body: bytes) -> bytes:
+    """The text composed and case-folded by Unicode; bytes that are not UTF-8 stay as they are."""
+    if body.isascii():
+        return body.lower()
+    s = unicodedata.normalize("NFC", body.decode("utf-8", "surrogateescape")).casefold()
+    return unicodedata.normalize("NFC", s).encode("utf-8", "surrogateescape")
+
+
+def _folded_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of consecutive rows, case-folded; only rows beyond ASCII are decoded."""
+    if not len(data) or int(data.max()) < 128:
+        return words.folded(data), offsets
+    whole = data.tobytes()
+    rows = [folded_text(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(rows), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+
+
 def item_words(text: bytes) -> np.ndarray:
-    data = words.folded(np.frombuffer(text, np.uint8))
+    data = np.frombuffer(folded_text(text), np.uint8)
     start, end, _ = words.spans(data, np.array([0, len(data)]), words.ALNUM)
     return words.hashes(data, start, end)
 
@@ -204,7 +225,7 @@ def _leaks(shared, stride: int, threshold: float, overlap: float):
         for batch in frames:
             out = []
             for a, _, data, offsets in words.groups(batch):
-                data = words.folded(data)
+                data, offsets = _folded_rows(data, offsets)
                 start, end, row = words.spans(data, offsets, words.ALNUM)
                 if not len(start):
                     continue
