@@ -27,6 +27,11 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                      F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("body"))
 
 
+def text_hash(text_col: str = "text") -> Column:
+    """64-bit hash of a row's text (null: of the empty text); with the id it tells rows apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import materialize, texts
+from .common import materialize, text_hash, texts
 
 SHINGLE = 5
 #: Items, and bytes of their texts, that one slice of the index may hold.
@@ -253,7 +253,9 @@ def _leaks(shared, stride: int, threshold: float, overlap: float):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    bad = find_leaks(docs, benchmark, id_col=id_col, **kw).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_leak_id")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """``docs`` without the rows whose own text holds a benchmark item."""
+    keyed = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), text_hash(text_col).alias("text_hash")))
+    bad = find_leaks(keyed, benchmark, id_col="_row", text_col=text_col, **kw).select(
+        F.col("doc_id.id").alias("_leak_id"), F.col("doc_id.text_hash").alias("_leak_hash")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_leak_id")) & (text_hash(text_col) == F.col("_leak_hash")), "left_anti")

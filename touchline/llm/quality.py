@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, materialize, texts
+from .common import crc_fold, materialize, text_hash, texts
 
 STATISTICS = ("log_bytes", "log_words", "mean_word", "distinct_words", "repeated_next", "top_word", "punctuation",
               "symbols", "digits", "capitals", "beyond_ascii", "bare_symbol_words", "lines", "repeated_lines",
@@ -66,16 +66,17 @@ _ALNUM = [chr(b).isalnum() if b < 128 else True for b in range(256)]
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, one double column per statistic) by one map pass over whole texts."""
+    """(doc_id, text_hash, one double column per statistic) by one map pass over whole texts."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(frames):
         for b in frames:
             m = np.array([statistics(x) for x in b.column("body").to_pylist()], float).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(m[:, i]) for i in range(m.shape[1])]],
-                                             names=["doc_id", *STATISTICS])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *[pa.array(m[:, i]) for i in range(m.shape[1])]],
+                                             names=["doc_id", "text_hash", *STATISTICS])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    hashed = texts(docs, id_col, text_col).withColumn("text_hash", text_hash("body"))
+    return hashed.mapInArrow(run, f"doc_id {id_type}, text_hash long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 @dataclass(frozen=True)
@@ -140,8 +141,11 @@ def fit(rows: DataFrame, label_col: str = "label", trees: int = 16, depth: int =
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, max_rows: int = MAX_ROWS,
-                  label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; the held-out fold's labels are never read."""
+                  label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", by_text: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document; the held-out fold's labels are never read.
+
+    ``by_text`` adds text_hash, which tells rows that share an id apart.
+    """
     stats = materialize(text_statistics(docs, id_col, text_col), "quality-statistics")
     known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
              .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_fold))
@@ -150,5 +154,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold:
     sample = materialize(stats.join(chosen, "doc_id").repartition(4, "doc_id").sortWithinPartitions("doc_id", *STATISTICS),
                          "quality-sample")
     model = fit(sample)
-    return stats.select("doc_id", (crc_fold(F.col("doc_id"), folds) == held_fold).alias("held_out"), model.score().alias("score")
+    return stats.select("doc_id", *(["text_hash"] if by_text else []), (crc_fold(F.col("doc_id"), folds) == held_fold).alias("held_out"), model.score().alias("score")
                         ).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
