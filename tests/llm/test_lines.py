@@ -65,3 +65,48 @@ def test_short_null_and_empty(spark):
     assert got[5][1] == 4
     out = line_dedup.dedup_lines(empty(spark))
     assert out.count() == 0 and out.columns[:-1] == empty(spark).columns
+
+
+def brute_words(rows, run):
+    """Per row, the words of windows of ``run`` words that occurred before, in (null last, id, text hash, word) order."""
+    first = {}
+    gone = {}
+    for i, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
+        w = (t or "").encode().split()
+        for s in range(len(w) - run + 1):
+            if tuple(w[s:s + run]) in first:
+                gone.setdefault(i, set()).update(range(s, s + run))
+            first.setdefault(tuple(w[s:s + run]), i)
+    return gone
+
+
+def test_word_runs_go_to_their_exact_ends(spark):
+    """Passages of one or two sentences, without a sentence end, and begun in mid-sentence."""
+    import random
+
+    from tests.llm.fixtures import sentence
+
+    rnd = random.Random(21)
+    other = iter(range(10**6))
+    foreign = lambda n: " ".join(f"w{next(other)}" for _ in range(n))
+    passages = [sentence(rnd, 60), sentence(rnd, 30) + " " + sentence(rnd, 30), sentence(rnd, 80)[:-1], sentence(rnd, 50)[:-1]]
+    rows = [(i, foreign(30) + " " + p + " " + foreign(20)) for i, p in enumerate(passages)]
+    rows += [(10 + i, foreign(9) + "\n" + foreign(3) + " " + p.replace(" ", "\n", 2) + " " + foreign(7)) for i, p in enumerate(passages)]
+    rows += [(20, foreign(5) + " " + passages[0].split(" ", 5)[5] + " " + passages[2] + " " + foreign(5)), (30, sentence(rnd, 49)), (31, rows[0][1]),
+             (None, foreign(1) + " " + passages[3]), (32, sentence(rnd, 49) * 2), (33, "ab " * 200)]
+    rows += [(34, foreign(2) + " " + rows[-3][1].split()[1] + " " + foreign(2)), (35, None), (36, "")]
+    gone = brute_words(rows, 50)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, rows), 3, words=50).collect()}
+    assert len(got) == len(rows) and len(gone) >= 8
+    for i, t in rows:
+        want = [w for n, w in enumerate((t or "").split()) if n not in gone.get(i, ())]
+        assert (got[i].text or "").split() == want, i
+        assert (got[i].n_units_cut > 0) == (i in gone)
+    assert got[31].text == "" and got[35].text is None and got[30].text == dict(rows)[30]
+
+
+def test_unit_cuts_are_the_same_by_both_ways():
+    body = b"One a.  Two b. Three c.\nFour d.\n\n Five e. Six f.\nSeven g"
+    for starts in ([], [0], [1], [2, 3], [0, 3], [4], [0, 1, 2, 3, 4]):
+        n = len(set().union(*(range(x, x + 3) for x in starts)))
+        assert line_dedup.cut_runs(body, starts, 3, []) == (line_dedup.cut_units(body, starts, 3), n)

@@ -12,11 +12,19 @@ units to either side), and a window that occurred before, in (doc_id, unit)
 order, marks its units for deletion.  Overlapping windows make longer runs.  A
 run's first occurrence stays.
 
+With ``words`` the same holds of words: every window of that many words that
+occurred before is deleted, whatever lines or sentences it begins or ends in,
+so a repeated run goes to its exact word ends.  Words are the bytes between
+white space.  Winnowing takes the smallest hash of ``GRAM`` words in each such
+window.  Only texts that hold a fingerprint occurring twice are read again;
+the windows around one fingerprint are compared as a whole first, and one by
+one only between groups that differ.
+
 Defined results: null text stays null, empty text stays; texts with fewer than
 ``window`` units are unchanged; a text whose units all go becomes empty and its
 row stays; rows that share id and text are one occurrence and change alike;
 null ids come last; an empty table gives an empty result; further columns are
-passed through.
+passed through.  ``n_units_cut`` counts the units that lose any word.
 """
 
 from __future__ import annotations
@@ -30,7 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from . import words as word_spans
+from .common import discard, materialize, mix64
+
+#: Words that one word fingerprint covers.
+GRAM = 16
+#: Words of the shortest run that is found wherever it begins.
+RUN = 50
 
 #: A unit: a stretch of one line up to and with a sentence end before a blank, or up to the line's end.
 UNIT = re.compile(rb"[^\n]*?[.!?](?=[ \t\r\n]|\Z)|[^\n]+")
@@ -129,21 +143,181 @@ def cut_units(body: bytes, starts, window: int) -> bytes:
     return b"".join(out)
 
 
-def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with later repeated runs deleted from the text, plus ``n_units_cut`` int."""
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every ``n`` consecutive word hashes, by doubling."""
+    if len(h) < n:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        power, size = [h], 1
+        while 2 * size <= n:
+            power.append(mix64(power[-1][:-size] * np.uint64(3) + power[-1][size:]))
+            size *= 2
+        out, done = power[-1], size
+        for b in range(len(power) - 2, -1, -1):
+            if n & (1 << b):
+                m = len(h) - done - (1 << b) + 1
+                out = mix64(out[:m] * np.uint64(3) + power[b][done:done + m])
+                done += 1 << b
+    return out
+
+
+def word_groups(h: np.ndarray, row: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, first window, windows) of each selected position; windows of ``run`` words lie within one row."""
+    k = min(GRAM, run)
+    g, n = run_hashes(h, k), len(h) - run + 1
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    at, size, w = np.arange(len(g)), 1, run - k + 1
+    while size < w:
+        s = min(size, w - size)
+        left, right = at[:-s], at[s:]
+        at = np.where(g[right] <= g[left], right, left)
+        size += s
+    inside = np.flatnonzero(row[:n] == row[run - 1:])
+    at = at[inside]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.empty(0, np.int64)
+    return g[at[first]], inside[first], np.diff(np.append(first, len(at)))
+
+
+def _word_prints(run: int):
+    def go(frames):
+        for b in frames:
+            for lo, _, data, offsets in word_spans.groups(b):
+                start, end, row = word_spans.spans(data, offsets, word_spans.SPACED)
+                prints, first, _ = word_groups(word_spans.hashes(data, start, end), row, run)
+                if len(prints):
+                    rows = pa.array(row[first] + lo)
+                    yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), b.column("doc_id").take(rows), b.column("text_hash").take(rows)],
+                                                     names=["print", "doc_id", "text_hash"])
+    return go
+
+
+def _word_windows(run: int):
+    """The groups of windows around the fingerprints that a text shares."""
+    def go(frames):
+        for b in frames:
+            shared = b.column("prints")
+            for lo, hi, data, offsets in word_spans.groups(b):
+                start, end, row = word_spans.spans(data, offsets, word_spans.SPACED)
+                h = word_spans.hashes(data, start, end)
+                prints, first, count = word_groups(h, row, run)
+                if not len(prints):
+                    continue
+                of, base = row[first], np.searchsorted(row, np.arange(hi - lo))
+                cut = np.searchsorted(of, np.arange(hi - lo + 1))
+                keep = np.concatenate([np.isin(prints[x:y].view(np.int64), shared[lo + i].values.to_numpy()) for i, (x, y) in
+                                       enumerate(zip(cut[:-1], cut[1:], strict=True))])
+                prints, first, count, of = prints[keep], first[keep], count[keep], of[keep]
+                if not len(prints):
+                    continue
+                ends = np.cumsum(count)
+                within = np.arange(int(ends[-1])) - np.repeat(ends - count, count)
+                window = run_hashes(h, run)[np.repeat(first, count) + within]
+                with np.errstate(over="ignore"):
+                    whole = np.add.reduceat(mix64(window + within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), ends - count)
+                rows = pa.array(of + lo)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(window.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(prints.view(np.int64)), pa.array(whole.view(np.int64)), b.column("doc_id").take(rows), b.column("text_hash").take(rows),
+                     pa.array((first - base[of]).astype(np.int32)), pa.array(count.astype(np.int32)), lists],
+                    names=["print", "whole", "doc_id", "text_hash", "start", "n", "windows"])
+    return go
+
+
+def repeated_words(docs: DataFrame, run: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, spans): first word and number of words of the stretches that occurred before."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    body = F.col(text_col).cast("string").cast("binary")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
+    found = materialize(rows.mapInArrow(_word_prints(run), f"print long, doc_id {id_type}, text_hash long"), "word-prints")
+    shared = materialize(found.groupBy("print").count().where("count > 1").select("print"), "word-shared")
+    held = materialize(found.join(shared, "print").groupBy("doc_id", "text_hash").agg(F.collect_set("print").alias("prints")), "word-held")
+    mine = held.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "prints")
+    read = rows.join(mine, rows["doc_id"].eqNullSafe(mine["_id"]) & (rows["text_hash"] == mine["_hash"])).select("doc_id", "text_hash", "body", "prints")
+    groups = materialize(read.mapInArrow(
+        _word_windows(run), f"print long, whole long, doc_id {id_type}, text_hash long, start int, n int, windows array<long>"), "word-groups")
+    at = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "start")
+    lead = materialize(groups.select("print", "whole", at.alias("at")).groupBy("print", "whole").agg(F.min("at").alias("first")), "word-first")
+    alike = groups.select("print", "whole", "n", at.alias("at")).join(lead, ["print", "whole"]).where("at > first").select("at", "n")
+    # Groups of one fingerprint that differ: their windows one by one, of each kind the first.
+    mixed = lead.groupBy("print").count().where("count > 1").select("print")
+    firsts = lead.join(mixed, "print").select("print", "whole", "first")
+    around = materialize(groups.select("print", "whole", at.alias("at"), "windows").join(firsts, ["print", "whole"]).where("at = first")
+                         .select("print", "at", F.posexplode("windows").alias("i", "window_hash"))
+                         .select("print", "window_hash", F.struct("at.unnamed", "at.doc_id", "at.text_hash", (F.col("at.start") + F.col("i")).alias("start")).alias("at")),
+                         "word-windows")
+    before = around.groupBy("print", "window_hash").agg(F.min("at").alias("first"), F.count("*").alias("seen")).where("seen > 1").drop("seen")
+    single = around.join(before, ["print", "window_hash"]).where("at > first").select("at", F.lit(1).alias("n"))
+    out = materialize(alike.unionByName(single).groupBy("at.doc_id", "at.text_hash").agg(
+        F.collect_set(F.struct(F.col("at.start").alias("start"), (F.col("n") + (run - 1)).alias("n"))).alias("spans")), "word-cuts")
+    for t in (found, shared, held, groups, lead, around):
+        discard(t)
+    return out
+
+
+def cut_runs(body: bytes, starts, window: int, stretches) -> tuple[bytes, int]:
+    """The text without the repeated units and words, and the number of units that lose any word."""
+    spans = units(body)
+    whole = np.zeros(len(spans), bool)
+    for s in starts:
+        whole[s:s + window] = True
+    gone = [spans[i] for i in np.flatnonzero(whole)]
+    if len(stretches):
+        data = np.frombuffer(body, np.uint8)
+        first, last, _ = word_spans.spans(data, np.array([0, len(data)]), word_spans.SPACED)
+        mark = np.zeros(len(first) + 1, np.int64)
+        for s, n in stretches:
+            mark[s] += 1
+            mark[s + n] -= 1
+        inside = np.cumsum(mark) > 0
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+        gone = sorted(gone + [(int(first[x]), int(last[y - 1])) for x, y in zip(edge[::2], edge[1::2], strict=True)])
+    out, at = [], 0
+    for a, b in gone:
+        out.append(body[at:max(a, at)])
+        while b < len(body) and body[b:b + 1] in (b" ", b"\t", b"\r", b"\n"):
+            b += 1
+            if body[b - 1:b] == b"\n":
+                break
+        at = max(at, b)
+    left = b"".join([*out, body[at:]])
+    ends, touched, j = [b for _, b in spans], 0, 0
+    reach = np.maximum.accumulate([b for _, b in gone]) if gone else []
+    for (a, _), b in zip(spans, ends, strict=True):
+        while j < len(gone) and reach[j] <= a:
+            j += 1
+        touched += j < len(gone) and gone[j][0] < b
+    return (left if left.strip() else b""), touched
+
+
+def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
+    """``docs`` with later repeated runs deleted from the text, plus ``n_units_cut`` int.
+
+    ``words`` also deletes later copies of every run of that many words or more.
+    """
     cuts = repeated_windows(docs, window, id_col, text_col).select(
-        F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), F.col("starts").alias("_cut_starts"))
+        F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), F.col("starts").alias("_cut_starts"), F.lit(None).cast("array<struct<start:int,n:int>>").alias("_cut_words"))
+    if words is not None:
+        more = repeated_words(docs, words, id_col, text_col)
+        cuts = (cuts.drop("_cut_words").join(more, F.col("_cut_id").eqNullSafe(more["doc_id"]) & (F.col("_cut_hash") == more["text_hash"]), "full_outer")
+                .select(F.when(F.col("text_hash").isNull(), F.col("_cut_id")).otherwise(F.col("doc_id")).alias("_cut_id"),
+                        F.coalesce("_cut_hash", "text_hash").alias("_cut_hash"), "_cut_starts", F.col("spans").alias("_cut_words")))
     hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col).cast("string").cast("binary")))
     joined = hashed.join(cuts, hashed[id_col].eqNullSafe(F.col("_cut_id")) & (F.col("_text_hash") == F.col("_cut_hash")), "left")
 
     @F.pandas_udf("text string, cut int")
-    def apply(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        got = [(None, 0) if s is None else (cut_units(t.encode(), s, window).decode(), len(set().union(*(range(x, x + window) for x in s))))
-               for t, s in zip(text, starts, strict=True)]
+    def apply(text: pd.Series, starts: pd.Series, stretches: pd.Series) -> pd.DataFrame:
+        got = []
+        for t, s, m in zip(text, starts, stretches, strict=True):
+            if t is None:
+                got.append((None, 0))
+                continue
+            left, cut = cut_runs(t.encode(), [] if s is None else s, window, [] if m is None else [(x["start"], x["n"]) for x in m])
+            got.append((left.decode(), cut))
         return pd.DataFrame(got, columns=["text", "cut"])
 
-    changed = F.col("_cut_starts").isNotNull()
+    changed = F.col("_cut_hash").isNotNull()
     # Only the texts that change travel to Python.
-    done = joined.withColumn("_new", apply(F.when(changed, F.col(text_col).cast("string")), F.col("_cut_starts")))
+    done = joined.withColumn("_new", apply(F.when(changed, F.col(text_col).cast("string")), F.col("_cut_starts"), F.col("_cut_words")))
     return done.select(*[F.when(changed, F.col("_new.text")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)
                          for c in docs.columns], F.col("_new.cut").alias("n_units_cut"))

@@ -102,8 +102,8 @@ def op9(spark, sf_dir):
 
 @register("op4_line_runs")
 def op4(spark, sf_dir):
-    """Every document with the later copies of repeated line runs deleted."""
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    """Every document with the later copies of repeated line runs, and of all runs of 50 or more words, deleted."""
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), words=line_dedup.RUN)
     return done.select("doc_id", "n_units_cut", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
