@@ -53,3 +53,21 @@ def test_tuning_covers_its_grid(spark):
     train, _ = queries_ml._frames(spark, SMALL)
     cv = forest.tune_forest(train, queries_ml.FEATURES, trees=(2, 3), depths=(2,), min_instances=(2,), folds=2)
     assert len(cv.avgMetrics) == 2 and all(0 < m <= 1 for m in cv.avgMetrics)
+
+
+def test_registered_tuning_runs_the_full_grid(spark, monkeypatch):
+    """18 grid points and 5 folds reach the cross-validation, over a written table."""
+    from pyspark.ml.tuning import CrossValidator
+
+    seen = []
+
+    def fit(self, train):
+        seen.append((self.getNumFolds(), train.inputFiles()))
+        self.avgMetrics = [0.5] * len(self.getEstimatorParamMaps())
+        return self
+
+    monkeypatch.setattr(CrossValidator, "fit", fit)
+    rows = queries_ml.q_tune_forest(spark, SMALL).collect()
+    assert len({tuple(r)[:3] for r in rows}) == 18 == len(rows)
+    assert {r.num_trees for r in rows} == {50, 100, 200} and {r.max_depth for r in rows} == {10, 20, 30}
+    assert seen[0][0] == 5 and all("tune-train" in f for f in seen[0][1])
