@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontaminate, line_dedup, maxent_lm, packing, quality, sharding, simhash, token_counts, topk
+from . import bwt_dedup, codebooks, decontaminate, line_dedup, maxent_lm, packing, periodic_runs, pii, quality, sharding, simhash, token_counts, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -131,6 +133,78 @@ def op10(spark, sf_dir):
     return maxent_lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+PARTS, ENTRIES, ROUNDS = 4, 256, 4
+
+
+def _op11_sql() -> str:
+    """Each round's assignment and update as one CTE each; a struct's minimum breaks ties by the lower entry."""
+    assign = """a{r} AS MATERIALIZED (
+    SELECT x.rid, x.part, min({{'dist': CAST(list_inner_product(x.q, x.q) - 2 * list_inner_product(x.q, b.q)
+                                        + list_inner_product(b.q, b.q) AS BIGINT), 'entry': b.entry}}) AS best
+    FROM parts x JOIN b{r} b ON x.part = b.part GROUP BY ALL)"""
+    update = """b{n} AS MATERIALIZED (
+    WITH used AS (SELECT part, entry, list(mean ORDER BY pos) AS q FROM (
+        SELECT part, entry, pos, floor(sum(v) / count(*)) AS mean FROM (
+            SELECT x.part, a.best.entry AS entry, generate_subscripts(x.q, 1) AS pos, unnest(x.q) AS v
+            FROM parts x JOIN a{r} a ON x.rid = a.rid AND x.part = a.part) GROUP BY ALL) GROUP BY ALL)
+    SELECT b.part, b.entry, coalesce(u.q, b.q) AS q FROM b{r} b LEFT JOIN used u ON b.part = u.part AND b.entry = u.entry)"""
+    rounds = [x.format(r=r, n=r + 1) for r in range(ROUNDS) for x in (assign, update)] + [assign.format(r=ROUNDS)]
+    return f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS rid, vec_id, label,
+           list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+    SELECT rid, part, q[(len(q) * part // {PARTS}) + 1:len(q) * (part + 1) // {PARTS}] AS q
+    FROM v, (SELECT range AS part FROM range({PARTS}))),
+b0 AS MATERIALIZED (SELECT part, rid AS entry, q FROM parts WHERE rid < {ENTRIES}),
+{("," + chr(10)).join(rounds)},
+coded AS (
+    SELECT rid, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.dist) AS BIGINT) AS error
+    FROM a{ROUNDS} GROUP BY rid),
+books AS (
+    SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+    FROM (SELECT part, entry, generate_subscripts(q, 1) AS pos, unnest(q) AS c FROM b{ROUNDS}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN coded USING (rid), books
+"""
+
+
+@register("op11_vector_codes", _op11_sql())
+def op11(spark, sf_dir):
+    """Every usable vector as four codes of one byte, with its error and its label's."""
+    made = codebooks.compress(table(spark, sf_dir, "embeddings"), PARTS, ENTRIES, ROUNDS)
+    code = F.lower(F.concat_ws("", F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0"))))
+    sha = hashlib.sha256(codebooks.listing(made.codebooks).encode()).hexdigest()
+    return codebooks.with_label_error(made.rows).select("vec_id", code.alias("code"), "error", "label_error", F.lit(sha).alias("codebooks_sha256"))
+
+
+@register("op12_periodic_runs")
+def op12(spark, sf_dir):
+    """Periodic runs of words of every text; every tenth document repeats a stretch of its own first (``h % 10 = 0``)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isNotNull() & (h % 10 == 0) & (n > 0), periodic_runs.looped(F.col("text"), a, p)).otherwise(F.col("text")))
+    best = periodic_runs.strongest("runs")
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws("", F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return (periodic_runs.find_runs(docs).withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                    F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256")))
+
+
+@register("op13_personal_data")
+def op13(spark, sf_dir):
+    """Personal data in every text: the base patterns' counts and digest, and all spans with those the model adds."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), pii.labelled_examples(spark))
+    counts = [F.size(F.filter("base.kind", lambda kind: kind == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     """The corpus pipeline over all documents: bins of what it keeps."""
