@@ -263,7 +263,7 @@ def strongest(runs: str = "runs") -> Column:
 def looped(text: Column, start: Column, period: Column) -> Column:
     """The text whose words from number ``start`` on repeat the ``period`` words that begin there."""
     words = F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    first = F.slice(words, F.lit(1), start)
-    circle = F.slice(words, start + 1, period)
-    again = F.transform(F.sequence(F.lit(0), F.size(words) - start - 1), lambda i: F.get(circle, F.pmod(i, period).cast("int")))
-    return F.array_join(F.concat(first, again), " ")
+    rest = F.size(words) - start
+    # Whole circles side by side, cut to length: a lambda would find the words again for each of them.
+    circles = F.array_repeat(F.slice(words, start + 1, period), F.ceil(rest / period).cast("int"))
+    return F.array_join(F.concat(F.slice(words, F.lit(1), start), F.slice(F.flatten(circles), F.lit(1), rest)), " ")
