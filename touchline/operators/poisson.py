@@ -3,8 +3,8 @@
 ``fit_poisson_moments`` is the closed-form model the reference actually uses:
 per-team attack from home and away scoring means, defence = 1/(attack+0.1),
 home advantage = overall home/away scoring ratio — all grouped aggregates per
-league. ``fit_poisson_glm`` is the documented maximum-likelihood model, fitted
-by MLlib's distributed IRLS. Prediction is in-row array arithmetic over the
+league. ``fit_poisson_mle`` is the documented maximum-likelihood model, fitted
+by proportional scaling over DataFrames. Prediction is in-row array arithmetic over the
 0..10 goal grid: map-only, no shuffle.
 
 Strength tables have one row per (league, team) — a dimension — and are
@@ -13,11 +13,14 @@ joined by key; AQE broadcasts them when they are small.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, poisson_log_pmf, poisson_pmf_array
-from .perspective import distinct_teams
+from ..session import written
+from .perspective import distinct_teams, team_perspective
 
 # Grid size, λ clip range, defence offset and the unknown-team default.
 MAX_GOALS = 10
@@ -145,73 +148,107 @@ def top_scorelines(with_lambdas: DataFrame, k: int = 3, max_goals: int = MAX_GOA
                            (-F.col("_cell.neg_p")).alias("probability"))
 
 
-def glm_frame(train: DataFrame) -> DataFrame:
-    """The long frame of the regression. Each league's first team is its reference level
-    for attack and for defence (null key), the first league the reference league, so the
-    design has full column rank with any number of leagues."""
-    from .perspective import team_perspective
-
-    long = team_perspective(train, stats=[]).select(
-        "league", "team", "opponent", F.col("is_home").cast("double").alias("home"), F.col("goals_scored").cast("double").alias("goals"))
-    first = long.groupBy("league").agg(F.min(F.least("team", "opponent")).alias("reference"))
-    base = long.agg(F.min("league").alias("l")).first()["l"]
-    x = long.join(first, "league")
-    return x.select(
-        "league", "team", "opponent", "home", "goals",
-        F.when(F.col("league") != F.lit(base), F.col("league")).alias("league_key"),
-        F.when(F.col("team") != F.col("reference"), F.concat_ws("|", "league", "team")).alias("attack_key"),
-        F.when(F.col("opponent") != F.col("reference"), F.concat_ws("|", "league", "opponent")).alias("defence_key"))
-
-
-def fit_poisson_glm(train: DataFrame, max_iter: int = 25):
-    """M1: maximum-likelihood Poisson regression on the long frame:
-    log λ = μ + league + home·is_home + attack[team] − defence[opponent],
-    fitted with MLlib's distributed IRLS. The reference levels of ``glm_frame``
-    are null keys: the indexers put them last and the encoders drop the last
-    level. MLlib's solver takes at most 4,096 terms, about 2,000 teams a fit;
-    beyond that fit groups of leagues. Returns (model, frame)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    long = glm_frame(train)
-    keys = ["attack", "defence"]
-    if long.where("league_key is not null").limit(1).count():
-        keys.insert(0, "league")
-    stages = [*[StringIndexer(inputCol=f"{k}_key", outputCol=f"{k}_idx", stringOrderType="alphabetAsc", handleInvalid="keep") for k in keys],
-              OneHotEncoder(inputCols=[f"{k}_idx" for k in keys], outputCols=[f"{k}_vec" for k in keys], dropLast=True),
-              VectorAssembler(inputCols=["home", *[f"{k}_vec" for k in keys]], outputCol="features"),
-              GeneralizedLinearRegression(family="poisson", link="log", labelCol="goals", featuresCol="features",
-                                          maxIter=max_iter, regParam=0.0)]
-    return Pipeline(stages=stages).fit(long), long
-
-
-def glm_coefficients(model) -> list[tuple[str, str | None, str | None, float]]:
-    """(term, league, team, estimate) of a fitted model, by name; bounded by the solver's 4,096 terms."""
-    glm = model.stages[-1]
-    indexers = [s for s in model.stages if hasattr(s, "labels")]
-    names: list[tuple[str, str | None, str | None]] = [("home", None, None)]
-    for ix in indexers:
-        kind = ix.getOutputCol().removesuffix("_idx")
-        for label in ix.labels:
-            league, _, team = label.partition("|")
-            names.append((kind, league, team or None))
-    if len(names) != len(glm.coefficients):
-        raise ValueError("terms and coefficients differ in number")
-    return [("intercept", None, None, float(glm.intercept)),
-            *[(*n, float(v)) for n, v in zip(names, glm.coefficients, strict=True)]]
-
-
-def score_equations(model, long: DataFrame, tolerance: float = 1e-3) -> DataFrame:
-    """At the maximum, observed and expected goals agree for every term: per (league, side, team)
-    the observed goals and whether the expected ones are within ``tolerance`` (relative) of them."""
-    from pyspark.sql import Column
-
-    x = model.transform(long)
-
-    def side(name: str, team: Column) -> DataFrame:
-        return x.groupBy("league", team.alias("team")).agg(F.sum("goals").cast("long").alias("goals"), F.sum("prediction").alias("_e")).select(
-            "league", F.lit(name).alias("side"), "team", "goals",
-            (F.abs(F.col("_e") - F.col("goals")) <= tolerance * F.greatest(F.col("goals"), F.lit(1))).alias("balanced"))
-
-    return side("attack", F.col("team")).unionByName(side("defence", F.col("opponent")))
+@dataclass
+class PoissonFit:
+    """``teams``: (league, team, attack, defence); ``leagues``: (league, home). All are factors of the expected
+    goals; ``rounds`` and ``change`` tell how many rounds it took and the last one's largest relative change."""
+
+    teams: DataFrame
+    leagues: DataFrame
+    rounds: int
+    change: float
+
+
+def fit_poisson_mle(train: DataFrame, max_rounds: int = 100, tolerance: float = 1e-4) -> PoissonFit:
+    """M1: the maximum-likelihood model log λ = μ + home·is_home + attack[team] − defence[opponent]
+    of every league at once, by iterative proportional fitting.
+
+    Each equation of the likelihood says that a team's (or a league's home) observed and
+    expected goals agree, so scaling one factor by observed / expected solves its equation:
+    attack, home, defence and home terms are updated in turn, as grouped sums over the
+    pairings (matches are counted per pairing first), until no factor changes by more than
+    ``tolerance``. The likelihood rises with each update. The state is one written row a
+    team; nothing is collected but each round's largest change.
+
+    A team that never scored has attack 0, one that never conceded defence factor 0, a
+    league without home goals home factor 0 (their maxima lie at infinity); an empty
+    table gives empty tables."""
+    long = team_perspective(train, stats=[]).select("league", "team", "opponent", "is_home", "goals_scored")
+    n = F.count(F.lit(1)).cast("double")
+    pairs = written(long.groupBy("league", "team", "opponent").agg(
+        F.sum(F.col("is_home").cast("double")).alias("n_home"), n.alias("n"), F.sum("goals_scored").cast("double").alias("goals"),
+        F.sum(F.when(F.col("is_home"), F.col("goals_scored")).otherwise(0)).cast("double").alias("home_goals")), "poisson-pairs")
+    each = pairs.select("league", "goals", F.explode(F.array(F.struct(F.col("team"), F.lit(1.0).alias("s")), F.struct(F.col("opponent").alias("team"), F.lit(0.0).alias("s")))).alias("v"))
+    goals = each.groupBy("league", "v.team").agg(F.sum(F.col("goals") * F.col("v.s")).alias("scored"), F.sum(F.col("goals") * (1 - F.col("v.s"))).alias("conceded"))
+    home_goals = written(pairs.groupBy("league").agg(F.sum("home_goals").alias("home_goals")), "poisson-home")
+    kept = ["scored", "conceded", "attack", "defence"]
+    state = written(goals.select("*", F.lit(1.0).alias("attack"), F.lit(1.0).alias("defence")), "poisson-state")
+    homes = home_goals.select("league", F.lit(1.0).alias("home"))
+
+    def scaled(state: DataFrame, homes: DataFrame, key: str, other_key: str, term: str, other: str, observed: str) -> tuple[DataFrame, DataFrame]:
+        """One factor of every team to its own equation, then the home factors to theirs."""
+        faced = state.join(homes, "league").select("league", F.col("team").alias(other_key), F.col(other).alias("_other"), "home")
+        none = F.lit(None).cast("double")
+        # What a team faces and what it holds meet in one grouping, without a join.
+        facing = pairs.join(faced, ["league", other_key]).select(
+            "league", F.col(key).alias("team"), *[none.alias(c) for c in kept], (F.col("n_home") * F.col("_other")).alias("_at_home"),
+            ((F.col("home") * F.col("n_home") + F.col("n") - F.col("n_home")) * F.col("_other")).alias("_all"))
+        held = state.select("league", "team", *kept, none.alias("_at_home"), none.alias("_all"))
+        x = facing.unionByName(held).groupBy("league", "team").agg(*[F.max(c).alias(c) for c in kept], F.sum("_at_home").alias("_at_home"), F.sum("_all").alias("_all"))
+        new = F.coalesce(F.try_divide(F.col(observed), F.col("_all")), F.lit(0.0))
+        out = written(x.select("league", "team", *[new.alias(c) if c == term else F.col(c) for c in kept], F.col(term).alias("_before"),
+                               (new * F.col("_at_home")).alias("_expected")), "poisson-state")
+        factors = out.groupBy("league").agg(F.sum("_expected").alias("_e")).join(home_goals, "league")
+        return out, factors.select("league", F.coalesce(F.try_divide("home_goals", "_e"), F.lit(0.0)).alias("home"))
+
+    rounds, change = 0, 0.0
+    while rounds < max_rounds:
+        state, homes = scaled(state, homes, "team", "opponent", "attack", "defence", "scored")
+        moved = state.agg(F.max(F.when(F.col("_before") > 0, F.abs(F.try_divide("attack", "_before") - 1)))).first()[0]
+        rounds, change = rounds + 1, moved or 0.0
+        state, homes = scaled(state, homes, "opponent", "team", "defence", "attack", "conceded")
+        if change <= tolerance:
+            break
+    return PoissonFit(state.select("league", "team", "attack", "defence"), written(homes, "poisson-homes"), rounds, change)
+
+
+def mle_terms(fit: PoissonFit) -> DataFrame:
+    """(league, term, team, estimate) on the log scale: each league's first team is its reference level for
+    attack and defence (estimate 0), the intercept μ is its attack times its defence factor; null where a maximum lies at infinity."""
+    first = fit.teams.groupBy("league").agg(F.min_by(F.struct("attack", "defence"), "team").alias("r"))
+    t = fit.teams.join(first, "league")
+    # The defence factor multiplies goals, the term is subtracted.
+    attack, defence = F.ln(F.try_divide("attack", "r.attack")), F.ln(F.try_divide("r.defence", "defence"))
+    finite = lambda e: F.when(F.abs(e) < float("inf"), e)
+    each = F.explode(F.array(F.struct(F.lit("attack").alias("term"), finite(attack).alias("estimate")),
+                             F.struct(F.lit("defence").alias("term"), finite(defence).alias("estimate")))).alias("v")
+    none = F.lit(None).cast("string").alias("team")
+    return (t.select("league", "team", each).select("league", "v.term", "team", "v.estimate")
+            .unionByName(first.select("league", F.lit("intercept").alias("term"), none, finite(F.ln(F.col("r.attack") * F.col("r.defence"))).alias("estimate")))
+            .unionByName(fit.leagues.select("league", F.lit("home").alias("term"), none, finite(F.ln("home")).alias("estimate"))))
+
+
+def mle_expected(matches: DataFrame, fit: PoissonFit) -> DataFrame:
+    """M3 with the fitted model: ``lambda_home`` and ``lambda_away`` beside the matches; null for unknown teams."""
+    t = fit.teams
+    h = t.select("league", F.col("team").alias("home_team"), F.col("attack").alias("_ah"), F.col("defence").alias("_dh"))
+    a = t.select("league", F.col("team").alias("away_team"), F.col("attack").alias("_aa"), F.col("defence").alias("_da"))
+    x = (matches.join(h, ["league", "home_team"], "left").join(a, ["league", "away_team"], "left")
+         .join(fit.leagues.select("league", F.col("home").alias("_home")), "league", "left"))
+    return x.select(*matches.columns, (F.col("_home") * F.col("_ah") * F.col("_da")).alias("lambda_home"),
+                    (F.col("_aa") * F.col("_dh")).alias("lambda_away"))
+
+
+def score_equations(matches: DataFrame, fit: PoissonFit, tolerance: float = 1e-3) -> DataFrame:
+    """At the maximum, observed and expected goals agree for every term: per (league, side, team) the
+    observed goals and whether the expected ones are within ``tolerance`` (relative) of them; side ``home``
+    has a league's home goals and no team."""
+    x = mle_expected(matches, fit)
+    sides = x.select("league", F.explode(F.array(
+        F.struct(F.lit("attack").alias("side"), F.col("home_team").alias("team"), F.col("home_goals").alias("goals"), F.col("lambda_home").alias("e")),
+        F.struct(F.lit("attack").alias("side"), F.col("away_team").alias("team"), F.col("away_goals").alias("goals"), F.col("lambda_away").alias("e")),
+        F.struct(F.lit("defence").alias("side"), F.col("away_team").alias("team"), F.col("home_goals").alias("goals"), F.col("lambda_home").alias("e")),
+        F.struct(F.lit("defence").alias("side"), F.col("home_team").alias("team"), F.col("away_goals").alias("goals"), F.col("lambda_away").alias("e")),
+        F.struct(F.lit("home").alias("side"), F.lit(None).cast("string").alias("team"), F.col("home_goals").alias("goals"), F.col("lambda_home").alias("e")))).alias("v"))
+    sums = sides.groupBy("league", "v.side", "v.team").agg(F.sum("v.goals").cast("long").alias("goals"), F.sum("v.e").alias("_e"))
+    return sums.select("league", "side", "team", "goals", (F.abs(F.col("_e") - F.col("goals")) <= tolerance * F.greatest(F.col("goals"), F.lit(1))).alias("balanced"))

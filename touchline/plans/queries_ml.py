@@ -51,27 +51,35 @@ def _all_predictions(spark, sf_dir):
     return predictions(spark, sf_dir).unionByName(ours), matches
 
 
+_MLE: dict[tuple[str, str], object] = {}
+
+
+def poisson_mle(spark, sf_dir):
+    """(fit, train): the maximum-likelihood model of the training seasons, fitted once per application."""
+    train = contests(spark, sf_dir).where(F.col("season") < TEST_SEASON)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MLE:
+        _MLE[key] = poisson.fit_poisson_mle(train)
+    return _MLE[key], train
+
+
 @register("fit_poisson_glm")
 def q_fit_poisson_glm(spark, sf_dir):
-    """M1: maximum-likelihood Poisson GLM (distributed IRLS) on the training seasons;
-    returns the coefficient table."""
-    c = contests(spark, sf_dir)
-    model, _ = poisson.fit_poisson_glm(c.where(F.col("season") < TEST_SEASON))
-    return spark.createDataFrame(poisson.glm_coefficients(model), "term string, league string, team string, estimate double")
-
-
-@register("glm_score_equations", with_ctes(CONTESTS, body=f"""
-SELECT league, 'attack' AS side, team, CAST(sum(scored) AS BIGINT) AS goals, TRUE AS balanced
-FROM (SELECT league, home_team AS team, home_goals AS scored FROM contests WHERE season < '{TEST_SEASON}'
-      UNION ALL SELECT league, away_team, away_goals FROM contests WHERE season < '{TEST_SEASON}') GROUP BY league, team
-UNION ALL
-SELECT league, 'defence', team, CAST(sum(conceded) AS BIGINT), TRUE
-FROM (SELECT league, home_team AS team, away_goals AS conceded FROM contests WHERE season < '{TEST_SEASON}'
-      UNION ALL SELECT league, away_team, home_goals FROM contests WHERE season < '{TEST_SEASON}') GROUP BY league, team"""))
+    """M1: maximum-likelihood Poisson model of every league on the training seasons; the terms by name."""
+    return poisson.mle_terms(poisson_mle(spark, sf_dir)[0])
+
+
+_TRAINING_GOALS = [("attack", "home_team", "home_goals"), ("attack", "away_team", "away_goals"),
+                   ("defence", "home_team", "away_goals"), ("defence", "away_team", "home_goals"), ("home", "CAST(NULL AS VARCHAR)", "home_goals")]
+
+
+@register("glm_score_equations", with_ctes(CONTESTS, body="SELECT league, side, team, CAST(sum(goals) AS BIGINT) AS goals, TRUE AS balanced FROM (\n"
+                                           + "\nUNION ALL ".join(f"SELECT league, '{side}' AS side, {team} AS team, {goals} AS goals FROM contests WHERE season < '{TEST_SEASON}'"
+                                                                 for side, team, goals in _TRAINING_GOALS) + "\n) GROUP BY league, side, team"))
 def q_glm_score_equations(spark, sf_dir):
-    """M1: the fitted GLM's score equations: observed and expected goals agree per team and side."""
-    c = contests(spark, sf_dir)
-    return poisson.score_equations(*poisson.fit_poisson_glm(c.where(F.col("season") < TEST_SEASON)))
+    """M1: the fitted model's score equations: observed and expected goals agree per team and side, and at home."""
+    fit, train = poisson_mle(spark, sf_dir)
+    return poisson.score_equations(train, fit)
 
 
 @register("train_forest")
