@@ -132,3 +132,17 @@ def bounded_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                        slices: int | None = None) -> DataFrame:
     """``row_number()`` per key, numbered by range slice at every size."""
     return chunked_row_number(range_slices(df, keys, order, slices), keys, order, F.col("_chunk"), name)
+
+
+def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_number", start: int = 0, slices: int | None = None) -> DataFrame:
+    """``start`` + 1, 2, … over all rows by ``order``: numbered inside range slices, each slice offset by
+    the rows of the earlier ones. The driver sees one count a slice; no task sees all rows."""
+    marked = range_slices(df, [], order, slices)
+    counts = {r["_chunk"]: r["count"] for r in marked.groupBy("_chunk").count().collect()}
+    offsets, total = [], start
+    for chunk in range(max(counts, default=0) + 1):
+        offsets.append(F.lit(total).cast("long"))
+        total += counts.get(chunk, 0)
+    w = Window.partitionBy("_chunk").orderBy(*order)
+    nth = F.element_at(F.array(*offsets), F.col("_chunk") + 1) + F.row_number().over(w)
+    return marked.withColumn(name, nth.cast("long")).drop("_chunk")

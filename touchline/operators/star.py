@@ -8,9 +8,9 @@ away_team_id, home_team_goals, away_team_goals, result)``,
 b365_{home_win,draw,away_win}_odds)``, ``team_ratings(match_id, team_id,
 season_id, date, rating)``.
 
-Dimensions are small (leagues, seasons, teams) and numbered with a window
-over their distinct names; the match fact keeps its natural id (or a stable
-``xxhash64`` of its natural key) — never a global window over the facts.
+Dimensions (leagues, seasons, teams) grow with the data and are numbered per
+range slice of their distinct names; the match fact keeps its natural id (or a
+stable ``xxhash64`` of its natural key) — never a global window.
 Joins to dimensions are equi joins AQE turns into broadcasts at runtime when
 the dimension is small.
 """
@@ -19,10 +19,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text, season_name
+from .chunked import global_row_number
 from .form import dedupe_keep_first
 from .perspective import distinct_teams
 
@@ -32,20 +33,15 @@ NATURAL_MATCH_KEY = ("league", "season", "match_datetime", "home_team", "away_te
 def assign_surrogate_keys(names: DataFrame, key: Sequence[str], existing: DataFrame | None = None,
                           id_col: str = "id") -> DataFrame:
     """Ids for a dimension. Existing rows keep their ids; new natural keys get
-    ``max(existing id) + row_number()`` in key order (a window over the new
-    distinct keys of a dimension table only)."""
+    ``max(existing id)`` + their number in key order, counted per range slice, so a
+    dimension that grows with the data is never numbered in one task."""
     key = list(key)
     new = names.select(*key).distinct()
     if existing is None:
-        return new.withColumn(id_col, F.row_number().over(Window.orderBy(*key)).cast("long"))
-    fresh = new.join(existing.select(*key), key, "left_anti")
-    # One window pass over the dimension (existing ∪ new keys): new keys get
-    # max(existing id) + their row number in key order. No join, no constant key.
-    u = (existing.select(*key, F.col(id_col).cast("long").alias(id_col), F.lit(False).alias("_new"))
-         .unionByName(fresh.select(*key, F.lit(None).cast("long").alias(id_col), F.lit(True).alias("_new"))))
-    base = F.coalesce(F.max(id_col).over(Window.partitionBy()), F.lit(0).cast("long"))
-    rn = F.row_number().over(Window.partitionBy("_new").orderBy(*key)).cast("long")
-    return u.select(*key, F.when(F.col("_new"), base + rn).otherwise(F.col(id_col)).alias(id_col))
+        return global_row_number(new, key, id_col)
+    kept = existing.select(*key, F.col(id_col).cast("long").alias(id_col))
+    highest = kept.agg(F.max(id_col)).first()[0] or 0
+    return kept.unionByName(global_row_number(new.join(existing.select(*key), key, "left_anti"), key, id_col, highest))
 
 
 def stable_match_id(df: DataFrame, key: Sequence[str] = NATURAL_MATCH_KEY) -> DataFrame:
