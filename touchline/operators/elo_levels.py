@@ -16,7 +16,7 @@ executor costs one level, and lineage never grows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, written
@@ -78,9 +78,9 @@ def elo_by_level(contests: DataFrame, k: float = ELO_K, initial: float = ELO_INI
         # The later state of each team: its match's if it played, else the one it held.
         merged = held.unionByName(_rated(ready, k, level)).groupBy("league", "team").agg(
             F.max_by(F.struct(*columns[2:]), "played").alias("s")).select("league", "team", "s.*")
-        merged.select(columns).write.parquet(f"{root}/{level}")
-        done = spark.read.schema(_STATE).parquet(f"{root}/{level}").agg(F.count("match_id").alias("n"), F.min("played").alias("least")).first()
-        left, behind = left - done["n"] // 2, done["least"]
+        done = Observation()
+        merged.select(columns).observe(done, F.count("match_id").alias("n"), F.min("played").alias("least")).write.parquet(f"{root}/{level}")
+        left, behind = left - done.get["n"] // 2, done.get["least"]
         paths.append(f"{root}/{level}")
     rated = spark.read.schema(_STATE).parquet(*(paths or [f"{root}/0"])).where("is_home")
     return rated.select("match_id", "league", F.round("elo_home_pre", 6).alias("elo_home_pre"), F.round("elo_away_pre", 6).alias("elo_away_pre"),
