@@ -8,7 +8,7 @@ so empty classes keep their zero counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import OUTCOMES, argmax_outcome, one_hot_outcome
@@ -156,22 +156,39 @@ def class_report(predictions: DataFrame, matches: DataFrame, tie: str = "strict"
                     F.round(f1, 6).alias("f1"), F.col("support").cast("long").alias("support"))
 
 
-def profile(df: DataFrame, numeric: list[str]) -> DataFrame:
+def profile(df: DataFrame, numeric: list[str], slices: int | None = None) -> DataFrame:
     """Per numeric column: rows, NULLs, mean, std, min, exact quartiles, max.
-    One aggregate pass per column, unioned (columns × metrics, long format)."""
-    parts = []
-    for c in numeric:
-        x = F.col(c).cast("double")
-        parts.append(df.agg(
-            F.lit(c).alias("column"), F.count(F.lit(1)).cast("long").alias("rows"),
-            F.sum(F.when(x.isNull(), 1).otherwise(0)).cast("long").alias("nulls"),
-            F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"),
-            F.min(x).alias("min"), F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"),
-            F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    One scan of ``df`` counts each (column, value); all else reads those counts. The ranks the
+    quartiles need are found by running sums over range slices of the values, so a column of
+    any number of distinct values is never held or sorted in one task."""
+    from ..session import written
+    from .chunked import range_slices
+
+    entries = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in numeric])).alias("v")
+    counts = written(df.select(entries).select("v.*").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    v, n = F.col("value"), F.col("n")
+    known = F.when(v.isNotNull(), n)
+    base = counts.groupBy("column").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("nulls"),
+                                        F.sum(known).alias("_n"), (F.sum(v * n) / F.sum(known)).alias("_mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    base = written(base, "profile")  # one row a column
+    spread = counts.join(base.select("column", "_mean", "_n"), "column").groupBy("column").agg(
+        F.sqrt(F.try_divide(F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean"))), F.max("_n") - 1)).alias("_std"))
+
+    marked = range_slices(counts.where("value IS NOT NULL"), ["column"], ["value"], slices)
+    earlier = Window.partitionBy("column").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy("column", "_chunk").agg(F.sum("n").alias("_s")).select("column", "_chunk", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("column", "_chunk").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marked.withColumn("_in", F.sum("n").over(inside)).join(starts, ["column", "_chunk"]).join(base.select("column", "_n"), "column").withColumn("_end", F.col("_start") + F.col("_in"))
+    picks = []
+    for name, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        at = (F.col("_n") - 1) * F.lit(q)
+        low, high = F.floor(at), F.ceil(at)
+        here = lambda i: F.max(F.when((F.col("_end") > i) & (F.col("_end") - n <= i), v))
+        picks.append((here(low) + (here(high) - here(low)) * F.max(at - low)).alias(name))
+    quartiles = placed.groupBy("column").agg(*picks)
+    out = base.join(spread, "column").join(quartiles, "column", "left")
+    return out.select("column", "rows", "nulls", F.round("_mean", 6).alias("mean"), F.round("_std", 6).alias("std"), "min", "p25", "p50", "p75", "max")
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

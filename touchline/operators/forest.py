@@ -22,6 +22,7 @@ PRIOR_BOTH_NEW = (0.45, 0.25, 0.30)
 PRIOR_HOME_NEW = (0.20, 0.25, 0.55)
 PRIOR_AWAY_NEW = (0.65, 0.25, 0.10)
 PRIOR_THIN = (0.45, 0.25, 0.30)
+PRIOR_NO_SIDE = (0.45, 0.25, 0.30)
 
 
 def features_targets(features: DataFrame, feature_cols: Sequence[str], label: str = "result") -> DataFrame:
@@ -134,24 +135,25 @@ def save_model(model, path: str) -> str:
 def fixture_gates(fixtures: DataFrame, history: DataFrame) -> DataFrame:
     """M7 (gates): history counts per fixture and the constant prior when history is thin:
     both teams < 5 matches → .45/.25/.30; home < 5 → .20/.25/.55; away < 5 →
-    .65/.25/.10; < 10 combined → .45/.25/.30; else ``model``."""
-    per_team = team_perspective(history, stats=[]).groupBy("league", "team").agg(F.count(F.lit(1)).alias("n"))
+    .65/.25/.10; < 10 combined → .45/.25/.30; a home side without a home match or an away
+    side without an away match → .45/.25/.30 (``no_side``); else ``model``."""
+    per_team = team_perspective(history, stats=[]).groupBy("league", "team").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_home").cast("long")).alias("n_home"))
     a, b = F.least("home_team", "away_team"), F.greatest("home_team", "away_team")
-    pair = history.groupBy("league", a.alias("ta"), b.alias("tb")).agg(F.count(F.lit(1)).alias("n_pair"))
+    pair = history.groupBy(F.col("league").alias("_league"), a.alias("ta"), b.alias("tb")).agg(F.count(F.lit(1)).alias("n_pair"))
     x = (fixtures
-         .join(per_team.select("league", F.col("team").alias("home_team"), F.col("n").alias("nh")), ["league", "home_team"], "left")
-         .join(per_team.select("league", F.col("team").alias("away_team"), F.col("n").alias("na")), ["league", "away_team"], "left")
-         .join(pair, (fixtures.league == pair.league) & (F.least(fixtures.home_team, fixtures.away_team) == pair.ta)
-               & (F.greatest(fixtures.home_team, fixtures.away_team) == pair.tb), "left")
-         .drop(pair.league))
+         .join(per_team.select("league", F.col("team").alias("home_team"), F.col("n").alias("nh"), F.col("n_home").alias("at_home")), ["league", "home_team"], "left")
+         .join(per_team.select("league", F.col("team").alias("away_team"), F.col("n").alias("na"), (F.col("n") - F.col("n_home")).alias("at_away")), ["league", "away_team"], "left")
+         .join(pair, (F.col("league") == F.col("_league")) & (F.least("home_team", "away_team") == F.col("ta"))
+               & (F.greatest("home_team", "away_team") == F.col("tb")), "left"))
     nh, na = F.coalesce("nh", F.lit(0)).cast("long"), F.coalesce("na", F.lit(0)).cast("long")
     ne = nh + na - F.coalesce("n_pair", F.lit(0)).cast("long")
     gate = (F.when((nh < MIN_TEAM_MATCHES) & (na < MIN_TEAM_MATCHES), "both_new")
             .when(nh < MIN_TEAM_MATCHES, "home_new").when(na < MIN_TEAM_MATCHES, "away_new")
-            .when(ne < MIN_COMBINED_MATCHES, "thin").otherwise("model"))
+            .when(ne < MIN_COMBINED_MATCHES, "thin").when((F.col("at_home") == 0) | (F.col("at_away") == 0), "no_side").otherwise("model"))
     x = x.select("league", "fixture_id", "home_team", "away_team", nh.alias("n_home"), nh.alias("_nh"),
                  na.alias("n_away"), ne.alias("n_either"), gate.alias("gate"))
-    priors = {"both_new": PRIOR_BOTH_NEW, "home_new": PRIOR_HOME_NEW, "away_new": PRIOR_AWAY_NEW, "thin": PRIOR_THIN}
+    priors = {"both_new": PRIOR_BOTH_NEW, "home_new": PRIOR_HOME_NEW, "away_new": PRIOR_AWAY_NEW, "thin": PRIOR_THIN, "no_side": PRIOR_NO_SIDE}
     outs = []
     for i, col in enumerate(("prior_home", "prior_draw", "prior_away")):
         e = None
@@ -175,6 +177,18 @@ def promoted_prior(targets: DataFrame, strengths: DataFrame) -> DataFrame:
                     F.round(F.coalesce("defence", "q_defence"), 6).alias("defence"))
 
 
+def promoted_form(targets: DataFrame, latest: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """M11 (form): the latest form of every team of ``targets``; a team without a state (not in ``latest``: league,
+    team, columns) gets the median of its league's states, column by column. ``promoted`` tells which; a team
+    that has a state keeps it, nulls included."""
+    teams = targets.select("league", F.explode(F.array("home_team", "away_team")).alias("team")).distinct()
+    # One state a team: the percentile holds as many values as a league has teams.
+    medians = latest.groupBy("league").agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in columns])
+    x = teams.join(latest.select("league", "team", *columns, F.lit(True).alias("_known")), ["league", "team"], "left").join(medians, "league", "left")
+    new = F.col("_known").isNull()
+    return x.select("league", "team", new.alias("promoted"), *[F.round(F.when(new, F.col(f"_m_{c}")).otherwise(F.col(c)), 6).alias(c) for c in columns])
+
+
 def fixture_feature_rows(fixtures: DataFrame, wide: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
     """M7 (model path): one feature row per fixture from the home team's latest
     row as home side and the away team's latest row as away side (``max_by``, no

@@ -110,7 +110,7 @@ def q_prematch_projection(spark, sf_dir):
 
 @register("write_read_clean", with_ctes(CONTESTS, CLEAN_SQL, body="SELECT * FROM cleaned"))
 def q_write_read_clean(spark, sf_dir):
-    """S3: the clean frame written partitioned by (league, season) and read back."""
+    """S3: the clean frame written by season and read back."""
     cleaned = _clean(spark, sf_dir)
     path = files.write_clean(cleaned, scratch_path(spark, "clean"))
     back = files.read_clean(spark, path, schema=cleaned.schema)
@@ -132,26 +132,26 @@ def q_scan_fixtures(spark, sf_dir):
 
 
 def metrics_frame(spark, sf_dir):
-    """Nested metrics per model (the metrics document of the evaluation run)."""
+    """Nested metrics per model and league of the test season (the documents of the evaluation run)."""
     _, _, test = split(spark, sf_dir)
     p = predictions(spark, sf_dir)
     s = evaluate.scored(p, test, "strict")
-    weeks = form.matchweek_index(test).select("match_id", F.concat_ws("#", "league", F.col("matchweek").cast("string")).alias("week"))
+    weeks = form.matchweek_index(test).select("match_id", F.col("matchweek").cast("string").alias("week"))
     hit = F.when(F.col("predicted") == F.col("result"), 1).otherwise(0)
-    per_week = s.join(weeks, "match_id").groupBy("model_name", "week").agg(
+    per_week = s.join(weeks, "match_id").groupBy("model_name", "league", "week").agg(
         F.struct(F.sum(hit).cast("long").alias("correct"), F.count(F.lit(1)).cast("long").alias("total")).alias("wk"))
-    weeks_map = per_week.groupBy("model_name").agg(F.map_from_entries(F.collect_list(F.struct("week", "wk"))).alias("matchweek_stats"))
+    weeks_map = per_week.groupBy("model_name", "league").agg(F.map_from_entries(F.collect_list(F.struct("week", "wk"))).alias("matchweek_stats"))
     dist = lambda col: F.struct(*[F.sum(F.when(F.col(col) == o, 1).otherwise(0)).cast("long").alias(o) for o in "HDA"])
     by_type = F.struct(*[F.coalesce(F.round(F.try_divide(
         F.sum(F.when((F.col("result") == o) & (F.col("predicted") == o), 1).otherwise(0)) * 100.0,
         F.sum(F.when(F.col("result") == o, 1).otherwise(0))), 2), F.lit(0.0)).alias(o) for o in "HDA"])
-    base = s.groupBy("model_name").agg(
+    base = s.groupBy("model_name", "league").agg(
         F.round(100.0 * F.avg(hit), 2).alias("accuracy"), F.count(F.lit(1)).cast("long").alias("predictions"),
         F.sum(hit).cast("long").alias("correct_predictions"), F.count(F.lit(1)).cast("long").alias("total_predictions"),
         dist("predicted").alias("prediction_distribution"), dist("result").alias("actual_distribution"),
         by_type.alias("accuracy_by_type"))
-    return base.join(weeks_map, "model_name").select(
-        F.col("model_name").alias("model"), "accuracy", "predictions",
+    return base.join(weeks_map, ["model_name", "league"]).select(
+        F.col("model_name").alias("model"), "league", "accuracy", "predictions",
         F.when(F.col("model_name") == "poisson", "Poisson Distribution").otherwise("Constant prior").alias("model_type"),
         "correct_predictions", "total_predictions", "prediction_distribution", "actual_distribution",
         "accuracy_by_type", "matchweek_stats", F.lit(TEST_SEASON).alias("test_season"),
@@ -159,18 +159,18 @@ def metrics_frame(spark, sf_dir):
 
 
 @register("write_read_metrics", with_ctes(*BASE, body="""
-SELECT model_name AS model, round(100.0 * avg(CASE WHEN pred_strict = result THEN 1 ELSE 0 END), 2) AS accuracy,
+SELECT model_name AS model, league, round(100.0 * avg(CASE WHEN pred_strict = result THEN 1 ELSE 0 END), 2) AS accuracy,
   count(*) AS predictions, CAST(sum(CASE WHEN pred_strict = result THEN 1 ELSE 0 END) AS BIGINT) AS correct_predictions,
   CAST(sum(CASE WHEN pred_strict = 'H' THEN 1 ELSE 0 END) AS BIGINT) AS predicted_H,
-  count(DISTINCT league || '#' || CAST(wk AS VARCHAR)) AS matchweeks
+  count(DISTINCT wk) AS matchweeks
 FROM (SELECT *, (row_number() OVER (PARTITION BY model_name, league, season ORDER BY match_datetime, match_id) - 1) // 10 + 1 AS wk
       FROM scored)
-GROUP BY model_name"""))
+GROUP BY model_name, league"""))
 def q_write_read_metrics(spark, sf_dir):
-    """The nested metrics document written as JSON and read back with an explicit schema."""
+    """One nested metrics document a model and league, written as JSON and read back with an explicit schema."""
     path = files.write_metrics(metrics_frame(spark, sf_dir), scratch_path(spark, "metrics"))
     m = files.read_metrics(spark, path)
-    return m.select("model", "accuracy", "predictions", "correct_predictions",
+    return m.select("model", "league", "accuracy", "predictions", "correct_predictions",
                     F.col("prediction_distribution.H").alias("predicted_H"),
                     F.size("matchweek_stats").cast("long").alias("matchweeks"))
 

@@ -2,7 +2,7 @@
 
 Season CSVs drift: their column sets differ and names differ in case. A
 single multi-file ``spark.read.csv`` would bind columns by position, so files
-are grouped by header and every group is read in one scan with an all-string
+are grouped by header (read in one job) and every group is read in one scan with an all-string
 schema; groups are then aligned by name (``unionByName``). The season comes
 from the file name, per row (``_metadata.file_path``).
 """
@@ -57,43 +57,48 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(out)
 
 
-def read_header(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> tuple[str, ...]:
-    """Column names of one CSV file: its first line, read through the cluster's Hadoop
-    file system (one small read, no Spark job); falls back to Spark's own header read."""
+def _first_lines(encoding: str):
+    """Map of (path, raw line) to the first line of each file; the rows of one split come together."""
+    def run(frames):
+        import pyarrow as pa
+
+        last = None
+        for f in frames:
+            paths = f.column(0).to_pylist()
+            keep = [i for i, p in enumerate(paths) if p != (paths[i - 1] if i else last)]
+            last = paths[-1] if paths else last
+            if keep:
+                lines = [f.column(1)[i].as_py().decode(encoding, "replace").rstrip("\r") for i in keep]
+                yield pa.RecordBatch.from_arrays([pa.array([paths[i] for i in keep]), pa.array(lines, pa.string())], ["path", "line"])
+
+    return run
+
+
+def read_headers(spark: SparkSession, paths: Sequence[str], encoding: str = "ISO-8859-1") -> DataFrame:
+    """(path, line): the first line of every file, by one distributed job over the files' first splits."""
+    if not paths:
+        return spark.createDataFrame([], "path string, line string")
+    # The text source hands on a line's bytes as they are.
+    starts = spark.read.text(list(paths)).where(F.col("_metadata.file_block_start") == 0)
+    return starts.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("line")).mapInArrow(_first_lines(encoding), "path string, line string")
+
+
+def layouts(headers: DataFrame) -> list[tuple[tuple[str, ...], list[str]]]:
+    """(columns, paths) of each distinct header line, grouped by Spark; the driver, which lists the files anyway,
+    gets one row a layout. Files without a line have no layout."""
     import csv
+    from urllib.parse import unquote
 
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(conf)
-        target = p
-        if fs.getFileStatus(p).isDirectory():
-            parts = [st.getPath() for st in fs.listStatus(p)
-                     if st.isFile() and not st.getPath().getName().startswith(("_", "."))]
-            if not parts:
-                return tuple()
-            target = sorted(parts, key=lambda q: q.getName())[0]
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(target), encoding))
-        try:
-            line = reader.readLine()
-        finally:
-            reader.close()
-        return tuple(next(csv.reader([line or ""]))) if line else tuple()
-    except Exception:  # noqa: BLE001 — any file system quirk: let Spark read the header
-        return tuple(_csv(spark, encoding).csv(path).columns)
+    rows = headers.groupBy("line").agg(F.array_sort(F.collect_set("path")).alias("paths")).orderBy("line").collect()
+    return [(tuple(next(csv.reader([r["line"]]), [])), [unquote(p) for p in r["paths"]]) for r in rows if r["line"]]
 
 
 def read_seasons(spark: SparkSession, paths: Sequence[str], encoding: str = "ISO-8859-1") -> DataFrame:
     """S1 + S2 + U2: read season files, tag rows with the season from the path,
     align drifting headers by name. Rows keep ``source_file`` and a ``file_row``
     position for keep-first de-duplication."""
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for p in paths:
-        header = read_header(spark, p, encoding)
-        groups[header].append(p)
     frames = []
-    for header, files in groups.items():
+    for header, files in layouts(read_headers(spark, paths, encoding)):
         clean = normalise_header(header)
         schema = T.StructType([T.StructField(c, T.StringType()) for c in clean])
         df = _csv(spark, encoding).schema(schema).option("enforceSchema", True).csv(files)
@@ -120,8 +125,9 @@ def write_raw_seasons(raw: DataFrame, base: str, columns_by_group: dict[str, lis
 
 
 def write_clean(clean: DataFrame, path: str) -> str:
-    """S3: persist the clean frame partitioned by (league, season)."""
-    clean.write.mode("overwrite").partitionBy("league", "season").parquet(path)
+    """S3: persist the clean frame in a folder a season, its rows by league: seasons are few, leagues grow with the data."""
+    (clean.hint("rebalance", "season", "league").sortWithinPartitions("season", "league")
+     .write.mode("overwrite").partitionBy("season").parquet(path))
     return path
 
 
@@ -132,6 +138,7 @@ def read_clean(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return df.withColumn("match_datetime", F.col("match_datetime").cast("timestamp_ntz"))
 
 
+# The columns of a fixture file.
 FIXTURE_COLUMNS = ("Match Number", "Round Number", "Date", "Location", "Home Team", "Away Team", "Result")
 
 
@@ -150,8 +157,10 @@ def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
                      F.col("Result").alias("result"))
 
 
+# The fields of a metrics document.
 METRICS_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()),
+    T.StructField("league", T.StringType()),
     T.StructField("accuracy", T.DoubleType()),
     T.StructField("predictions", T.LongType()),
     T.StructField("model_type", T.StringType()),
@@ -168,7 +177,7 @@ METRICS_SCHEMA = T.StructType([
 
 
 def write_metrics(metrics: DataFrame, path: str) -> str:
-    """Nested metrics as JSON lines (one per model)."""
+    """Nested metrics as JSON lines (one per model, league and season)."""
     metrics.write.mode("overwrite").json(path)
     return path
 
@@ -176,7 +185,7 @@ def write_metrics(metrics: DataFrame, path: str) -> str:
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Metrics back with an explicit schema; absent numbers default to 0."""
     df = spark.read.schema(METRICS_SCHEMA).json(path)
-    return df.select("model", F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"),
+    return df.select("model", "league", F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"),
                      F.coalesce("predictions", F.lit(0)).alias("predictions"), "model_type",
                      F.coalesce("correct_predictions", F.lit(0)).alias("correct_predictions"),
                      F.coalesce("total_predictions", F.lit(0)).alias("total_predictions"),
