@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later copies of repeated line runs."""
-    done = line_dedup.dedup_lines(docs)
+    """All documents, without later copies of repeated line runs and of any run of 50 or more words."""
+    done = line_dedup.dedup_lines(docs, words=line_dedup.RUN)
     n_chars = F.when(F.col("n_units_cut") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", n_chars).select(*docs.columns)
 
