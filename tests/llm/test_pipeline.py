@@ -5,6 +5,7 @@ import random
 import corpus_pipeline as cp
 from touchline.llm import decontaminate, line_dedup
 from tests.llm.fixtures import awkward_texts, docs, sentence
+from tests.llm.test_lines import brute_words
 from tests.llm.test_simhash import fingerprint, groups
 
 SF = "/root/testdata/sf0.001"
@@ -23,7 +24,7 @@ def test_simhash_stage_keeps_one_of_each_group(spark):
         if i is not None:
             g = root[fingerprint(t)]
             least[g] = min(least.get(g, i), i)
-    # An id with several rows stays only if none of them is a copy.
+    # An id none of whose rows is the first of its group is gone.
     copies = {i for i, t in rows if least.get(root[fingerprint(t)]) != i}
     assert sorted(str(r.doc_id) for r in kept) == sorted({str(i) for i, _ in rows if i not in copies})
 
@@ -37,6 +38,17 @@ def test_line_stage_keeps_rows_and_updates_length(spark):
     assert all((r.text is None and r.n_chars is None) or r.n_chars == len(r.text) for r in got)
 
 
+def test_line_stage_cuts_passages_begun_in_mid_sentence(spark):
+    """One sentence of 60 words, met again in the middle of others and over line ends."""
+    rnd = random.Random(8)
+    passage = sentence(rnd, 60)
+    other = [sentence(rnd, 25) for _ in range(8)]
+    rows = [(1, f"{other[0]} {passage} {other[1]}"), (2, f"{other[2][:-1]} {passage[:-1]} {other[3]}"), (3, f"{other[4]} " + passage.replace(" ", "\n", 30) + f" {other[5]}")]
+    got = {r.doc_id: r for r in cp.line_stage(spark, docs(spark, rows), SF).collect()}
+    assert got[1].text == rows[0][1]
+    assert all(not set(passage.split()[:-1]) <= set(got[i].text.split()) and got[i].n_chars == len(got[i].text) for i in (2, 3))
+
+
 def test_whole_pipeline_against_its_parts(spark):
     """Quality and packing through Spark; the stages between by brute force on the driver's small table."""
     raw = spark.read.parquet(f"{SF}/documents.parquet")
@@ -54,7 +66,11 @@ def test_whole_pipeline_against_its_parts(spark):
                 gone.append(s)
             else:
                 first[w] = (i, s)
-        cut[i] = line_dedup.cut_units(body, gone, 3).decode() if gone else t
+        cut[i] = gone
+    words = brute_words(rows, line_dedup.RUN)
+    for i, t in rows:
+        left = line_dedup.cut_runs(t.encode(), cut[i], 3, [(n, 1) for n in sorted(words.get(i, ()))])[0].decode()
+        cut[i] = left if cut[i] or i in words else t
     fps = {i: fingerprint(t) for i, t in cut.items()}
     root = groups(fps.values())
     least = {}
