@@ -30,5 +30,34 @@ def test_spliced_chunks_count_as_the_whole(text, chunk, overlap):
     assert token_counts.count_spliced(token_counts.encoder(PATH), text, chunk, overlap) == whole(text)
 
 
+class Recorded(token_counts.PieceEncoder):
+    """Keeps the span of every chunk that was encoded."""
+
+    def tokens(self, text, offset):
+        self.spans = [*getattr(self, "spans", []), (offset, offset + len(text))]
+        return super().tokens(text, offset)
+
+
+def test_chunks_that_disagree_near_a_cut_are_widened():
+    enc = Recorded(PATH)
+    # Words of 30 characters: an overlap of 8 often lies inside one word.
+    word = "internationalizationalismslike"
+    text = " ".join(word for _ in range(40))
+    assert token_counts.count_spliced(enc, text, 200, 8) == whole(text)
+    assert any(b[0] < a[0] for a, b in zip(enc.spans, enc.spans[1:]))  # a chunk encoded again from further left
+    # The right chunk begins inside a word: its tokens there differ from the left chunk's, later ones agree.
+    left, right = enc.tokens(text[:200], 0), enc.tokens(text[100:300], 100)
+    inside = [[t for t in side if 100 <= t[0] < 123] for side in (left, right)]
+    assert inside[0] != inside[1]
+    at = token_counts._stable_cut(text, 100, 200, left, right)
+    assert text[at] == " " and at > 123
+    assert token_counts._stable_cut(text, 100, 126, left[:len([t for t in left if t[1] <= 123])], right) is None
+
+
+def test_one_piece_without_white_space():
+    text = "ab1" * 3_000
+    assert token_counts.count_spliced(token_counts.encoder(PATH), text, 700, 40) == whole(text)
+
+
 def test_empty_table(spark):
     assert token_counts.count_tokens(empty(spark), PATH).count() == 0

@@ -1,18 +1,20 @@
 """Operator 3: token counts of whole texts, huge documents in overlapping chunks spliced together.
 
 The tokenizer drops white space and never joins text across it, so a token
-boundary next to ASCII white space is the same in every chunk that holds it
-whole: that is the proven stable boundary.  A document longer than
-``chunk_chars`` is encoded in chunks that overlap; two neighbours are spliced
-at a white-space boundary inside their overlap where both list the same token
-starts on both sides of it.  Where the overlap holds no such boundary it is
-doubled and the right-hand chunk encoded again.
+boundary next to ASCII white space does not depend on where a chunk begins or
+ends.  A document longer than ``chunk_chars`` is encoded in chunks that
+overlap, each as one text with offsets; two neighbours are spliced at a white
+space inside their overlap around which both list the same tokens (starts,
+ends and ids).  Where the overlap holds no such place, because the chunks'
+edges cut the pieces in it, it is doubled and the right-hand chunk encoded again.
 
-Within a chunk each distinct white-space-free piece is encoded once by the
-library (offsets included) and remembered in a bounded table.
+A shorter document is one chunk.  The library is too slow for all of them
+(README), so their distinct white-space-free pieces are encoded once each and
+remembered in a bounded table.
 
 Defined results: null or empty text has 0 tokens; special strings inside a text
-count as the library's default counts them; repeated rows each give a row.
+count as the library's default counts them; repeated rows each give a row; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ from .common import texts
 #: Pieces, and their characters, remembered by one Python worker; past either the table starts afresh.
 MEMORY, MEMORY_CHARS = 400_000, 16_000_000
 _PIECE = re.compile(r"[^\t\n\x0b\x0c\r ]+")
+_SPACE = re.compile(r"[\t\n\x0b\x0c\r ]")
 
 
 class PieceEncoder:
-    """Counts and token starts by the library, one encode for each distinct piece."""
+    """The library's tokens of whole chunks, and its counts of distinct pieces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,7 +45,6 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.counts: dict[str, int] = {}
-        self.begins: dict[str, tuple[int, ...]] = {}
         self.held = 0
 
     def count_all(self, pieces: list[str]) -> int:
@@ -56,17 +58,10 @@ class PieceEncoder:
             self.held += sum(map(len, new))
         return sum(map(counts.__getitem__, pieces))
 
-    def starts(self, text: str, offset: int) -> list[int]:
-        """Start of each token of ``text`` as a character position of the document."""
-        if len(self.begins) > MEMORY // 4 or self.held > MEMORY_CHARS:
-            self.begins.clear()
-            self.held = 0
-        found = [(m.start() + offset, m.group()) for m in _PIECE.finditer(text)]
-        if new := list({p for _, p in found if p not in self.begins}):
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.begins[p] = tuple(a for a, _ in e.offsets)
-            self.held += sum(map(len, new))
-        return [at + a for at, p in found for a in self.begins[p]]
+    def tokens(self, text: str, offset: int) -> list[tuple[int, int, int]]:
+        """(start, end, id) of each token of one chunk, encoded as one text; positions are the document's."""
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        return [(a + offset, b + offset, i) for (a, b), i in zip(e.offsets, e.ids, strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -74,41 +69,44 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def _stable_cut(text: str, lo: int, hi: int, left: list[int], right: list[int]) -> int | None:
-    """White space in [lo, hi) whose piece before it is whole, and has the same tokens, in both chunks; or None."""
-    spaces = [m.start() for m in re.finditer(r"[\t\n\x0b\x0c\r ]", text[lo:hi])]
-    for i in range(len(spaces) // 2, len(spaces)):
-        at = lo + spaces[i]
-        whole = lo + spaces[i - 1] if i else at  # the piece between two white spaces of the overlap
-        a = left[bisect.bisect_left(left, whole):bisect.bisect_left(left, at)]
-        b = right[bisect.bisect_left(right, whole):bisect.bisect_left(right, at)]
+def _stable_cut(text: str, lo: int, hi: int, left: list, right: list) -> int | None:
+    """White space in [lo, hi), nearest the middle, around which both chunks list the same tokens; or None.
+
+    The pieces on both sides of it are compared up to the next white space or the overlap's edge.  A piece that
+    an edge cuts is whole in one chunk only, so there the chunks mostly disagree."""
+    spaces = [lo + m.start() for m in _SPACE.finditer(text[lo:hi])]
+    edges = [lo, *spaces, hi]
+    middle = (lo + hi) // 2
+    for i in sorted(range(len(spaces)), key=lambda i: abs(spaces[i] - middle)):
+        span = (edges[i],), (edges[i + 2],)
+        a, b = (tokens[bisect.bisect_left(tokens, span[0]):bisect.bisect_left(tokens, span[1])] for tokens in (left, right))
         if a and a == b:
-            return at
+            return spaces[i]
     return None
 
 
 def count_spliced(enc: PieceEncoder, text: str, chunk_chars: int, overlap: int) -> int:
     """Tokens of one document, encoded chunk by chunk and spliced at stable boundaries."""
     total, cut, end = 0, 0, min(len(text), chunk_chars)
-    left = enc.starts(text[:end], 0)
+    left = enc.tokens(text[:end], 0)
     while end < len(text):
         width = overlap
         while True:
             begin = max(cut, end - width)
             stop = min(len(text), begin + max(chunk_chars, 2 * width))
-            right = enc.starts(text[begin:stop], begin)
+            right = enc.tokens(text[begin:stop], begin)
             at = _stable_cut(text, begin, end, left, right)
             if at is not None:
                 break
             if begin == cut:  # no boundary since the last cut: encode one longer chunk from there
                 end = min(len(text), max(end + width, stop))
-                left = enc.starts(text[cut:end], cut)
+                left = enc.tokens(text[cut:end], cut)
                 if end == len(text):
                     return total + len(left)
             width *= 2
-        total += bisect.bisect_left(left, at)
+        total += bisect.bisect_left(left, (at,))
         cut, end = at, stop
-        left = right[bisect.bisect_left(right, at):]
+        left = right[bisect.bisect_left(right, (at,)):]
     return total + len(left)
 
 
