@@ -103,3 +103,34 @@ def test_copies_in_another_case_are_found_in_any_script(spark):
     got = decontaminate.find_leaks(docs(spark, [*rows, (50, "ASCII only"), (51, sentence(rnd, 40).upper())]), table).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i % 10) for i, _ in rows}
     assert decontaminate.folded_text(b"A\xffB\xc3\x89") == b"a\xffb\xc3\xa9"
+
+
+def test_one_item_decides_nothing_about_another(spark):
+    """A question and, 900 words on, its answer is no leak, with or without an unrelated item of 2,000 words."""
+    rnd = random.Random(12)
+    item, long = items(rnd, 1)[0], sentence(rnd, 2000)
+    q, a = "which wide river runs past the seven old stone mills of that town?", "the slow green river beside the northern hills runs past them"
+    rows = [(1, sentence(rnd, 50) + " " + q + " " + sentence(rnd, 900) + " " + a + " " + sentence(rnd, 50)),
+            (2, sentence(rnd, 700) + " " + q + " " + a + " " + sentence(rnd, 700)), (3, sentence(rnd, 300) + " " + long)]
+    for extra in ([], [(9, long)], [(9, long), item]):
+        table = spark.createDataFrame([(7, q + " " + a), *[(i + 20, t) for i, t in extra]], "item_id long, text string")
+        got = {(r.doc_id, r.item_id, r.score) for r in decontaminate.find_leaks(docs(spark, rows), table).collect()}
+        assert {x[:2] for x in got} == {(2, 7)} | ({(3, 29)} if extra else set())
+
+
+def test_window_shares_against_brute_force():
+    rnd = np.random.default_rng(4)
+    for _ in range(200):
+        have = rnd.integers(0, 9, rnd.integers(1, 40)).astype(np.uint64)
+        want = np.unique(rnd.integers(0, 12, rnd.integers(1, 8)).astype(np.uint64))
+        weight, span = rnd.random(len(want)), int(rnd.integers(1, 15))
+        got = decontaminate._window_shares(have, want, weight, len(have), span)
+        assert np.allclose(got, [weight[np.isin(want, have[s:s + span])].sum() for s in range(len(have))])
+
+
+def test_columns_of_any_name_stay(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten.")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "one two three four five six seven eight nine ten.", 5, "a", 3), (2, "clean", 6, "b", 4)],
+                                 "doc_id long, text string, _row int, _leak_id string, leak_id int")
+    left = decontaminate.drop_contaminated(rows, bench)
+    assert left.columns == rows.columns and [tuple(r) for r in left.collect()] == [(2, "clean", 6, "b", 4)]

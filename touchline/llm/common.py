@@ -27,9 +27,18 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                      F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("body"))
 
 
-def text_hash(text_col: str = "text") -> Column:
+def text_hash(text_col: str | Column = "text") -> Column:
     """64-bit hash of a row's text (null: of the empty text); with the id it tells rows apart."""
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")))
+    text = F.col(text_col) if isinstance(text_col, str) else text_col
+    return F.xxhash64(F.coalesce(text.cast("string").cast("binary"), F.lit(b"")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -4,15 +4,18 @@ The items are indexed once: per word the items that hold it with their BM25
 impact, divided by the item's score against itself (so 1 is a whole match),
 and for blocks of neighbouring items each word's largest impact in the block.
 Every passage of every document is a query; passages are windows of
-``2 * stride`` words, ``stride`` at least as long as the longest item, so some
-passage holds any copied item whole.  Retrieval is block-max WAND for a fixed
+``2 * stride`` words, ``stride`` as long as the longest item's window (below), so
+some passage holds any copied item whole.  Retrieval is block-max WAND for a fixed
 threshold, for many passages at once: words whose largest impacts together
 stay below half the threshold open no item; the other words' block maxima
 bound each block; only blocks whose bound reaches the threshold are scored.
 
-Each retrieved pair is then verified: at least ``overlap`` of the five-word
-shingles of the item's question, and of its answer, stand in the passage.  An
-item's answer is what follows its last question mark or, without one, its last
+Each retrieved pair is then verified in windows of the item's own length:
+twice its words, at least ``least_window``, begun at every word of the passage.
+In one of them must stand at least ``overlap`` of the five-word shingles of the
+item's question, and of its answer, and its words must score the threshold.
+Passages overlap by a ``stride`` that is as long as the longest window, so each
+window lies in a passage and an item decides nothing about another.  An item's answer is what follows its last question mark or, without one, its last
 sentence; a one-sentence item's answer is its last quarter of words.  A part
 of fewer than five words counts as one shingle.
 
@@ -88,7 +91,7 @@ class BlockMaxIndex:
     """Impacts of one slice of the items, by word and, as maxima, by word and block of items."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[int, int], n_items: int, mean_words: float):
-        self.item_id, self.question, self.answer = [], [], []
+        self.item_id, self.question, self.answer, self.length, self.impact = [], [], [], [], []
         rows = []
         for item_id, text in items:
             h = item_words(text.encode())
@@ -100,10 +103,11 @@ class BlockMaxIndex:
             w = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean_words))
             rows.append((terms, w / w.sum()))
             self.item_id.append(item_id)
+            self.length.append(len(h))
+            self.impact.append(rows[-1])
             q, a = (item_words(x.encode()) for x in split_item(text))
             self.question.append((min(SHINGLE, len(q)), np.unique(words.ngrams(q, min(SHINGLE, len(q)) or 1))))
             self.answer.append((min(SHINGLE, len(a)), np.unique(words.ngrams(a, min(SHINGLE, len(a)) or 1))))
-        self.longest = max((len(item_words(t.encode())) for _, t in items), default=0)
         term = np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
         impact = np.concatenate([r[1] for r in rows]) if rows else np.empty(0)
@@ -176,13 +180,47 @@ class BlockMaxIndex:
         found = np.flatnonzero(score >= limit)
         return np.flatnonzero(scored)[found // items] + lo, found % items, score[found]
 
-    def verify(self, item: int, h: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's and the answer's shingles that the passage's words ``h`` hold."""
-        return tuple(1.0 if not n else float(np.isin(want, words.ngrams(h, n)).mean())
-                     for n, want in (self.question[item], self.answer[item]))
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, least_stride: int = 64,
+    def verify(self, item: int, h: np.ndarray, threshold: float, overlap: float, least_window: int) -> tuple[float, float, float] | None:
+        """(score, question overlap, answer overlap) of the best window of the passage's words ``h``, or None."""
+        parts = (self.question[item], self.answer[item])
+        grams = [words.ngrams(h, n) if n else h[:0] for n, _ in parts]
+        if any(n and np.isin(want, g).mean() < overlap for (n, want), g in zip(parts, grams, strict=True)):
+            return None
+        width = window_words(self.length[item], least_window)
+        q, a = (_window_shares(g, want, np.full(len(want), 1 / len(want)), len(h), width - n + 1) if n else np.ones(len(h))
+                for (n, want), g in zip(parts, grams, strict=True))
+        score = _window_shares(h, *self.impact[item], len(h), width)
+        good = (q >= overlap - 1e-9) & (a >= overlap - 1e-9) & (score >= threshold - 1e-9)
+        if not good.any():
+            return None
+        best = int(np.argmax(np.where(good, score, -1.0)))
+        return tuple(round(float(x[best]), 9) for x in (score, q, a))
+
+
+def window_words(length: int, least: int) -> int:
+    """Words of the window in which an item of ``length`` words must stand."""
+    return max(least, 2 * length)
+
+
+def _window_shares(have: np.ndarray, want: np.ndarray, weight: np.ndarray, starts: int, span: int) -> np.ndarray:
+    """For each start the weight of the distinct ``want`` (sorted) among the ``span`` entries of ``have`` from there."""
+    at = np.searchsorted(want, have)
+    at[at == len(want)] = 0
+    place = np.flatnonzero(want[at] == have)
+    which = at[place]
+    # An entry counts for the starts after its previous equal entry, so none counts twice.
+    order = np.lexsort((place, which))
+    before = np.full(len(place), -1)
+    same = which[order][1:] == which[order][:-1]
+    before[order[1:][same]] = place[order][:-1][same]
+    low = np.maximum(before + 1, np.maximum(place - span + 1, 0))
+    change = np.zeros(starts + 1)
+    np.add.at(change, low, weight[which])
+    np.add.at(change, place + 1, -weight[which])
+    return np.cumsum(change[:-1])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, least_window: int = 128,
                id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_passages, score, question_overlap, answer_overlap: every verified leak."""
     spark = docs.sparkSession
@@ -205,21 +243,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
         return spark.createDataFrame([], f"doc_id {id_type}, item_id long, n_passages long, score double, question_overlap double, answer_overlap double")
     df = indexed.where(f"n >= {SHINGLE}").select(F.explode("terms").alias("term")).groupBy("term").count()
     slices = max(-(-n_items // SLICE_ITEMS), -(-size // SLICE_BYTES))
-    stride = max(least_stride, longest)
+    stride = window_words(longest, least_window)
     found = None
     for s in range(slices):
         mine = F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s
         rows = items.where(mine).orderBy("item_id", "text").collect()  # one slice: bounded
         mine_df = df.join(indexed.where(mine).select(F.explode("terms").alias("term")).distinct(), "term").collect()
         index = BlockMaxIndex([(r.item_id, r.text) for r in rows], {r["term"]: r["count"] for r in mine_df}, n_items, total / n_items)
-        part = texts(docs, id_col, text_col).mapInArrow(_leaks(spark.sparkContext.broadcast(index), stride, threshold, overlap), result)
+        part = texts(docs, id_col, text_col).mapInArrow(_leaks(spark.sparkContext.broadcast(index), stride, threshold, overlap, least_window), result)
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(
         F.count("*").alias("n_passages"), F.round(F.max("score"), 9).alias("score"), F.max("question_overlap").alias("question_overlap"),
         F.max("answer_overlap").alias("answer_overlap"))
 
 
-def _leaks(shared, stride: int, threshold: float, overlap: float):
+def _leaks(shared, stride: int, threshold: float, overlap: float, least_window: int):
     def run(frames):
         index = shared.value
         for batch in frames:
@@ -239,12 +277,12 @@ def _leaks(shared, stride: int, threshold: float, overlap: float):
                 here, prior = j < made[row], j > 0
                 passage = np.concatenate((base[row[here]] + j[here], base[row[prior]] + j[prior] - 1))
                 hit = index.search(passage, np.concatenate((h[here], h[prior])), int(base[-1]), threshold)
-                for p, item, score in zip(*hit, strict=True):
+                for p, item, _ in zip(*hit, strict=True):
                     r = int(np.searchsorted(base, p, "right")) - 1
                     lo = first[r] + (p - base[r]) * stride
-                    q, w = index.verify(int(item), h[lo:min(lo + 2 * stride, first[r + 1])])
-                    if q >= overlap and w >= overlap:
-                        out.append((a + r, index.item_id[item], float(score), q, w))
+                    leak = index.verify(int(item), h[lo:min(lo + 2 * stride, first[r + 1])], threshold, overlap, least_window)
+                    if leak:
+                        out.append((a + r, index.item_id[item], *leak))
             if out:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -254,8 +292,9 @@ def _leaks(shared, stride: int, threshold: float, overlap: float):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` without the rows whose own text holds a benchmark item."""
-    keyed = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), text_hash(text_col).alias("text_hash")))
-    bad = find_leaks(keyed, benchmark, id_col="_row", text_col=text_col, **kw).select(
-        F.col("doc_id.id").alias("_leak_id"), F.col("doc_id.text_hash").alias("_leak_hash")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_leak_id")) & (text_hash(text_col) == F.col("_leak_hash")), "left_anti")
+    """``docs`` without the rows whose own text holds a benchmark item; any column names may stand beside id and text."""
+    rows = docs.select(F.struct(docs[id_col].alias("id"), text_hash(text_col).alias("text_hash")).alias("row"), docs[text_col].alias("text"))
+    bad = find_leaks(rows, benchmark, id_col="row", **kw).select("doc_id").distinct().select(
+        F.col("doc_id.id").alias("leak_id"), F.col("doc_id.text_hash").alias("leak_hash"))
+    hashed = text_hash(docs[text_col])
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["leak_id"]) & (hashed == bad["leak_hash"]), "left_anti")
