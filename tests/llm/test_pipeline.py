@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from touchline.llm import decontaminate, line_dedup
 from tests.llm.fixtures import awkward_texts, docs, sentence
@@ -119,3 +121,22 @@ def test_quality_rejects_only_the_row_of_a_bad_text(spark):
     again = spark.createDataFrame([{**raw.first().asDict(), "doc_id": i, "text": x} for i, x in rows], raw.schema)
     kept = cp.quality_stage(spark, raw.unionByName(again), SF).where("doc_id is null or doc_id = -7").collect()
     assert sorted(str((r.doc_id, r.text)) for r in kept) == sorted(str((i, x)) for i, x in rows if x not in {b.text for b in bad})
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+    raw = spark.read.parquet(f"{SF}/documents.parquet")
+    assert cp.quality_stage(spark, raw, str(tmp_path)).count() == cp.leak_stage(spark, raw, str(tmp_path)).count() == raw.count()
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ("_row", "_id", "_hash", "text_hash", "_text_hash", "_new", "_cut_id", "_cut_hash", "_cut_new", "_rejected", "rejected", "leak_id", "listed_id", "copy", "row")
+    raw = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = raw.select("*", *[F.concat_ws("-", F.lit(n), "doc_id").alias(n) for n in names])
+    for _, stage in cp.STAGES[:-1]:
+        got, plain = stage(spark, wide, SF), stage(spark, raw, SF)
+        assert got.columns == wide.columns
+        assert got.where(" or ".join(f"`{n}` <> concat('{n}-', doc_id)" for n in names)).count() == 0
+        assert got.select(raw.columns).exceptAll(plain).count() == 0 and got.count() == plain.count()

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as word_spans
-from .common import discard, materialize, mix64
+from .common import discard, free_name, materialize, mix64
 
 #: Words that one word fingerprint covers.
 GRAM = 16
@@ -302,8 +302,11 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
         cuts = (cuts.drop("_cut_words").join(more, F.col("_cut_id").eqNullSafe(more["doc_id"]) & (F.col("_cut_hash") == more["text_hash"]), "full_outer")
                 .select(F.when(F.col("text_hash").isNull(), F.col("_cut_id")).otherwise(F.col("doc_id")).alias("_cut_id"),
                         F.coalesce("_cut_hash", "text_hash").alias("_cut_hash"), "_cut_starts", F.col("spans").alias("_cut_words")))
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col).cast("string").cast("binary")))
-    joined = hashed.join(cuts, hashed[id_col].eqNullSafe(F.col("_cut_id")) & (F.col("_text_hash") == F.col("_cut_hash")), "left")
+    # The caller's columns may have any names.
+    name = {n: free_name(docs, f"_cut_{n}") for n in ("id", "hash", "starts", "words", "new")}
+    cuts = cuts.select(*[F.col(f"_cut_{n}").alias(name[n]) for n in ("id", "hash", "starts", "words")])
+    hashed = F.xxhash64(docs[text_col].cast("string").cast("binary"))
+    joined = docs.join(cuts, docs[id_col].eqNullSafe(cuts[name["id"]]) & (hashed == cuts[name["hash"]]), "left")
 
     @F.pandas_udf("text string, cut int")
     def apply(text: pd.Series, starts: pd.Series, stretches: pd.Series) -> pd.DataFrame:
@@ -316,8 +319,8 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
             got.append((left.decode(), cut))
         return pd.DataFrame(got, columns=["text", "cut"])
 
-    changed = F.col("_cut_hash").isNotNull()
+    changed = F.col(name["hash"]).isNotNull()
     # Only the texts that change travel to Python.
-    done = joined.withColumn("_new", apply(F.when(changed, F.col(text_col).cast("string")), F.col("_cut_starts"), F.col("_cut_words")))
-    return done.select(*[F.when(changed, F.col("_new.text")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)
-                         for c in docs.columns], F.col("_new.cut").alias("n_units_cut"))
+    done = joined.withColumn(name["new"], apply(F.when(changed, F.col(text_col).cast("string")), F.col(name["starts"]), F.col(name["words"])))
+    return done.select(*[F.when(changed, F.col(name["new"])["text"]).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)
+                         for c in docs.columns], F.col(name["new"])["cut"].alias("n_units_cut"))
