@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunked import range_slices
-from .form import DEFAULT_WINDOWS, FORM_FEATURES, ORDER, form_column, rolling_form
+from .form import DEFAULT_WINDOWS, ORDER, form_column, present_features, rolling_form
 from .perspective import team_perspective
 
 
@@ -49,7 +49,7 @@ def dated_state_join(fixtures: DataFrame, contests: DataFrame, windows: Sequence
     side's last home row and of the away side's last away row strictly before the fixture, as
     ``<form>_home`` / ``<form>_away``. A past match used as a fixture never meets its own row."""
     long = team_perspective(contests)
-    features = [f for f in FORM_FEATURES if f in long.columns]
+    features = present_features(long)
     cols = [form_column(f, n) for n in windows for f in features]
     rolled = rolling_form(long, windows, features)
     for side, cond in (("home", "is_home"), ("away", "NOT is_home")):

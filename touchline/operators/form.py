@@ -18,7 +18,7 @@ from .chunked import bounded_row_number, bounded_window
 from .perspective import team_perspective
 
 # The rolled statistics and the default window, as in the reference.
-FORM_FEATURES = ("goals_scored", "goals_conceded", "shots", "corners", "points")
+FORM_FEATURES = ("goals_scored", "goals_conceded", "shots", "shots_on_target", "corners", "points")
 DEFAULT_WINDOWS = (5,)
 ORDER = ("match_datetime", "match_id")
 
@@ -27,16 +27,23 @@ def form_column(feature: str, window: int) -> str:
     return f"avg_{feature}_last_{window}_matches"
 
 
-def lag_one(long: DataFrame, features: Sequence[str] = FORM_FEATURES) -> DataFrame:
+def present_features(long: DataFrame) -> list[str]:
+    """The rolled statistics that the frame has."""
+    return [f for f in FORM_FEATURES if f in long.columns]
+
+
+def lag_one(long: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     """Previous match value within (league, team): ``prev_<feature>``."""
+    features = present_features(long) if features is None else features
     specs = {f"prev_{f}": (lambda w, f=f: F.max(f).over(w.rowsBetween(-1, -1))) for f in features}
     return bounded_window(long, ["league", "team"], ORDER, specs, lookback=1, carry=list(features))
 
 
 def rolling_form(long: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
-                 features: Sequence[str] = FORM_FEATURES) -> DataFrame:
+                 features: Sequence[str] | None = None) -> DataFrame:
     """Mean of the previous ≤ n matches (current excluded, NULLs skipped),
     ROUND 2, for every feature and window size — one sort for all of them."""
+    features = present_features(long) if features is None else features
     specs = {}
     for n in windows:
         for f in features:
@@ -100,7 +107,7 @@ def build_features(contests: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS
     from .elo import elo_ratings
 
     long = team_perspective(contests)
-    features = [f for f in FORM_FEATURES if f in long.columns]
+    features = present_features(long)
     rolled = rolling_form(long, windows, features)
     cols = [form_column(f, n) for n in windows for f in features]
     wide = unpivot_sides(contests, rolled, cols)
@@ -121,7 +128,7 @@ def latest_state_join(fixtures: DataFrame, contests: DataFrame, windows: Sequenc
     """Per fixture, the home team's latest home-row form and the away team's
     latest away-row form (as-of "now": the end of the history)."""
     long = team_perspective(contests)
-    features = [f for f in FORM_FEATURES if f in long.columns]
+    features = present_features(long)
     rolled = rolling_form(long, windows, features)
     cols = [form_column(f, n) for n in windows for f in features]
     home_last = latest_per_team(rolled.where("is_home"), cols).select(

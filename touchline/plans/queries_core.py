@@ -31,12 +31,13 @@ def q_contests(spark, sf_dir):
 @register("team_perspective", with_ctes(CONTESTS, SIDES, body="""
 SELECT match_id, league, season, match_datetime, team, opponent, is_home,
   CAST(goals_scored AS BIGINT) AS goals_scored, CAST(goals_conceded AS BIGINT) AS goals_conceded,
-  CAST(points AS BIGINT) AS points, CAST(shots AS BIGINT) AS shots, CAST(corners AS BIGINT) AS corners
+  CAST(points AS BIGINT) AS points, CAST(shots AS BIGINT) AS shots,
+  CAST(shots_on_target AS BIGINT) AS shots_on_target, CAST(corners AS BIGINT) AS corners
 FROM sides"""))
 def q_team_perspective(spark, sf_dir):
     long = perspective.team_perspective(contests(spark, sf_dir))
     return long.select("match_id", "league", "season", "match_datetime", "team", "opponent", "is_home",
-                       *[F.col(c).cast("long").alias(c) for c in ("goals_scored", "goals_conceded", "points", "shots", "corners")])
+                       *[F.col(c).cast("long").alias(c) for c in ("goals_scored", "goals_conceded", "points", "shots", "shots_on_target", "corners")])
 
 
 @register("concat_seasons", with_ctes(CONTESTS, body="""

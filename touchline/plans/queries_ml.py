@@ -150,7 +150,7 @@ def q_save_model(spark, sf_dir):
     return forest.score_forest(loaded, test)
 
 
-STATISTICS = ("home_goals", "away_goals", "home_shots", "away_shots", "home_corners", "away_corners")
+STATISTICS = ("home_goals", "away_goals", "home_shots", "away_shots", "home_shots_on_target", "away_shots_on_target", "home_corners", "away_corners")
 GUARDED = tuple(c for c in FEATURES if not c.startswith("elo_"))
 
 

@@ -414,7 +414,7 @@ def q_class_report(spark, sf_dir):
     return evaluate.class_report(predictions(spark, sf_dir), test)
 
 
-PROFILE_COLS = ("home_goals", "away_goals", "home_shots", "away_shots", "home_corners", "away_corners")
+PROFILE_COLS = ("home_goals", "away_goals", "home_shots", "away_shots", "home_shots_on_target", "away_shots_on_target", "home_corners", "away_corners")
 
 
 @register("profile", with_ctes(CONTESTS, body="\nUNION ALL\n".join(f"""

@@ -32,7 +32,7 @@ matches AS (
     home_goals AS home_team_goals, away_goals AS away_team_goals, result
   FROM loaded c JOIN seasons s ON s.league = c.league AND s.season = c.season
   JOIN teams h ON h.name = c.home_team JOIN teams a ON a.name = c.away_team),
-match_stats AS (SELECT match_id, home_shots, away_shots, home_corners, away_corners FROM loaded),
+match_stats AS (SELECT match_id, home_shots, away_shots, home_shots_on_target, away_shots_on_target, home_corners, away_corners FROM loaded),
 results AS (
   SELECT m.id AS match_id, s.name AS season_name, m.date, h.name AS home_team, a.name AS away_team,
     home_team_goals, away_team_goals, result
@@ -70,7 +70,7 @@ def q_match_analytics(spark, sf_dir):
 
 CLEAN_FROM_STAR_SQL = """
 SELECT r.match_id, r.date AS match_datetime, r.home_team, r.away_team, r.result, r.home_team_goals AS home_goals,
-  r.away_team_goals AS away_goals, ms.home_shots, ms.away_shots, ms.home_corners, ms.away_corners,
+  r.away_team_goals AS away_goals, ms.home_shots, ms.away_shots, ms.home_shots_on_target, ms.away_shots_on_target, ms.home_corners, ms.away_corners,
   r.season_name AS season
 FROM results r LEFT JOIN match_stats ms USING (match_id)"""
 

@@ -37,10 +37,11 @@ def _sum_if(cond: Column, value: Column) -> Column:
 
 
 CONTEST_COLUMNS = ("match_id", "league", "season", "match_datetime", "home_team", "away_team", "home_goals",
-                   "away_goals", "result", "home_shots", "away_shots", "home_corners", "away_corners")
+                   "away_goals", "result", "home_shots", "away_shots", "home_shots_on_target", "away_shots_on_target",
+                   "home_corners", "away_corners")
 CONTEST_SCHEMA = (
     "match_id long, home_team string, away_team string, match_datetime timestamp_ntz, home_goals int, away_goals int, "
-    "result string, home_shots int, away_shots int, home_corners int, away_corners int, league string, season string")
+    "result string, home_shots int, away_shots int, home_shots_on_target int, away_shots_on_target int, home_corners int, away_corners int, league string, season string")
 
 # (application id, sf_dir) -> path of the materialised contest table
 _MATERIALISED: dict[tuple[str, str], str] = {}
@@ -73,15 +74,19 @@ LEAGUE_CUSTOMERS = 1500
 
 def derive_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``contests(match_id, league, season, match_datetime, home_team, away_team,
-    home_goals, away_goals, result, home_shots, away_shots, home_corners, away_corners)``
-    derived from the driver tables (lazy)."""
+    home_goals, away_goals, result, home_shots, away_shots, home_shots_on_target,
+    away_shots_on_target, home_corners, away_corners)`` derived from the driver tables (lazy)."""
     li = read_table(spark, sf_dir, "lineitem")
+    odd = F.col("l_linenumber") % 2 == 1
     per_order = li.groupBy("l_orderkey").agg(
         F.min("l_suppkey").alias("suppkey"),
         _count_if(F.col("l_returnflag") == "R").alias("home_goals"),
         _count_if(F.col("l_returnflag") == "A").alias("away_goals"),
         _sum_if(F.col("l_linestatus") == "O", F.col("l_quantity")).alias("home_shots"),
         _sum_if(F.col("l_linestatus") == "F", F.col("l_quantity")).alias("away_shots"),
+        # Odd lines are the shots on target, so they never exceed the shots.
+        _sum_if((F.col("l_linestatus") == "O") & odd, F.col("l_quantity")).alias("home_shots_on_target"),
+        _sum_if((F.col("l_linestatus") == "F") & odd, F.col("l_quantity")).alias("away_shots_on_target"),
         _count_if(F.col("l_linestatus") == "O").alias("home_corners"),
         _count_if(F.col("l_linestatus") == "F").alias("away_corners"),
     )
@@ -114,6 +119,8 @@ def derive_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(hg > ag, "H").when(hg == ag, "D").otherwise("A").alias("result"),
         "home_shots",
         "away_shots",
+        "home_shots_on_target",
+        "away_shots_on_target",
         "home_corners",
         "away_corners",
     )
