@@ -147,3 +147,20 @@ def test_forest_depth_is_not_lowered_in_silence():
 
     with pytest.raises(ValueError):
         forest.train_forest(None, [], max_depth=31)
+
+
+def test_state_before_last_equals_the_rolled_history(spark):
+    """From the last rows alone, a team with most of the rows included: the rolled value on each side's last row."""
+    from pyspark.sql import functions as F
+
+    from touchline.operators import form
+
+    rows = [(1 + i // 7, "A", "hot" if i % 3 else f"t{i % 5}", i, i % 4 == 0, (i * 7) % 11) for i in range(400)]
+    long = spark.createDataFrame(rows, "d int, league string, team string, match_id long, is_home boolean, points int").select(
+        F.timestamp_seconds(F.col("d") * 86400).cast("timestamp_ntz").alias("match_datetime"), "league", "team", "match_id", "is_home", "points")
+    rolled = form.rolling_form(long, (5, 3), ["points"])
+    cols = [form.form_column("points", n) for n in (5, 3)]
+    for side in (F.col("is_home"), ~F.col("is_home")):
+        want = {(r.team, r[cols[0]], r[cols[1]]) for r in form.latest_per_team(rolled.where(side), cols).collect()}
+        got = {(r.team, r[cols[0]], r[cols[1]]) for r in form.state_before_last(long, side, ["points"], (5, 3), slices=4).collect()}
+        assert got == want and len(got) > 4

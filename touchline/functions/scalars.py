@@ -120,17 +120,20 @@ def market_favourite(home_odds, draw_odds, away_odds) -> Column:
     )
 
 
-def season_name(code: Column | str) -> Column:
+def season_name(code: Column | str, any_code: bool = False) -> Column:
     """H8: two-year season code ``1920`` → ``2019/2020`` (start = 2000 + first two
     digits, end = start + 1). Only codes whose second half follows the first
     (``1920``, ``9900``) are converted, so a calendar-year season such as
-    ``1995`` stays as it is; anything else is returned trimmed."""
+    ``1995`` stays as it is; anything else is returned trimmed. ``any_code``
+    converts every four digits, whatever the second half says."""
     t = F.trim(_c(code).cast("string"))
     first = F.substring(t, 1, 2).try_cast("int")
     second = F.substring(t, 3, 2).try_cast("int")
     start = (F.lit(2000) + first).cast("string")
     end = (F.lit(2001) + first).cast("string")
-    is_code = t.rlike("^[0-9]{4}$") & (second == F.pmod(first + 1, F.lit(100)))
+    is_code = t.rlike("^[0-9]{4}$")
+    if not any_code:
+        is_code = is_code & (second == F.pmod(first + 1, F.lit(100)))
     return F.when(is_code, F.concat(start, F.lit("/"), end)).otherwise(t)
 
 

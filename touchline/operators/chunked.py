@@ -134,6 +134,15 @@ def bounded_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return chunked_row_number(range_slices(df, keys, order, slices), keys, order, F.col("_chunk"), name)
 
 
+def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, name: str = "_nth") -> DataFrame:
+    """The last ``n`` rows of every key by ``order``, numbered 1 (the last) to n.
+
+    A rank filter over a window is a group limit that Spark applies before the shuffle too, so each task
+    sends at most ``n`` rows of a key, however many it holds; nothing else of the history moves."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+
+
 def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_number", start: int = 0, slices: int | None = None) -> DataFrame:
     """``start`` + 1, 2, … over all rows by ``order``: numbered inside range slices, each slice offset by
     the rows of the earlier ones. The driver sees one count a slice; no task sees all rows."""

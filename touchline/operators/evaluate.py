@@ -8,6 +8,8 @@ so empty classes keep their zero counts.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,9 +64,9 @@ def constant_predictions(matches: DataFrame, model_name: str = "home_bias",
                           F.lit(prior[0]).alias("p_home"), F.lit(prior[1]).alias("p_draw"), F.lit(prior[2]).alias("p_away"))
 
 
-def scored(predictions: DataFrame, matches: DataFrame, tie: str = "first") -> DataFrame:
-    """Predictions joined to results with the predicted class (tie rule ``tie``)."""
-    m = matches.select("match_id", "league", "season", "match_datetime", "result")
+def scored(predictions: DataFrame, matches: DataFrame, tie: str = "first", carry: Sequence[str] = ()) -> DataFrame:
+    """Predictions joined to results (and the ``carry`` columns) with the predicted class (tie rule ``tie``)."""
+    m = matches.select("match_id", "league", "season", "match_datetime", "result", *carry)
     return predictions.join(m, "match_id").withColumn("predicted", argmax_outcome("p_home", "p_draw", "p_away", tie))
 
 
@@ -102,8 +104,7 @@ def accuracy_by_type(predictions: DataFrame, matches: DataFrame, tie: str = "str
 def matchweek_accuracy(predictions: DataFrame, weeks: DataFrame, tie: str = "strict") -> DataFrame:
     """correct/total and percent (1 decimal) per (model, league, matchweek);
     ``weeks`` is W5's output (match_id, matchweek)."""
-    s = scored(predictions, weeks.select("match_id", "league", "season", "match_datetime", "result"), tie)
-    s = s.join(weeks.select("match_id", "matchweek"), "match_id")
+    s = scored(predictions, weeks, tie, carry=["matchweek"])
     hit = F.when(F.col("predicted") == F.col("result"), 1).otherwise(0)
     per_week = s.groupBy("model_name", "league", "matchweek").agg(
         F.sum(hit).cast("long").alias("correct"), F.count(F.lit(1)).cast("long").alias("total"),

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import abbreviation_fallback, iso_date
-from .chunked import bounded_row_number, bounded_window
+from .chunked import bounded_row_number, bounded_window, last_rows
 from .perspective import team_perspective
 
 # The rolled statistics and the default window, as in the reference.
@@ -62,10 +62,17 @@ def unpivot_sides(contests: DataFrame, rolled: DataFrame, columns: Sequence[str]
     return contests.join(sided, "match_id", "left")
 
 
-def matchweek_index(contests: DataFrame, per_week: int = 10) -> DataFrame:
-    """matchweek = (position − 1) // per_week + 1 in (league, season) order."""
+def matchweek_index(contests: DataFrame, per_week: int | None = 10) -> DataFrame:
+    """matchweek = (position − 1) // per_week + 1 in (league, season) order.
+
+    ``per_week=None`` takes half the number of teams of each (league, season), one at least."""
     numbered = bounded_row_number(contests, ["league", "season"], ORDER, "season_position")
-    return numbered.withColumn("matchweek", F.floor((F.col("season_position") - 1) / per_week).cast("long") + 1)
+    if per_week is not None:
+        return numbered.withColumn("matchweek", F.floor((F.col("season_position") - 1) / per_week).cast("long") + 1)
+    sides = contests.select("league", "season", F.explode(F.array("home_team", "away_team")).alias("_team"))
+    size = sides.distinct().groupBy("league", "season").agg(F.greatest(F.floor(F.count("_team") / 2), F.lit(1)).alias("_size"))
+    week = (F.floor((F.col("season_position") - 1) / F.col("_size")).cast("long") + 1).alias("matchweek")
+    return numbered.join(size, ["league", "season"]).select(*numbered.columns, week)
 
 
 def latest_per_team(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("league", "team")) -> DataFrame:
@@ -124,16 +131,34 @@ def feature_columns(windows: Sequence[int] = DEFAULT_WINDOWS, features: Sequence
     return cols + (["elo_home_pre", "elo_away_pre", "elo_diff"] if elo else [])
 
 
+def state_before_last(long: DataFrame, side: Column, features: Sequence[str], windows: Sequence[int] = DEFAULT_WINDOWS,
+                      slices: int = 32) -> DataFrame:
+    """Per (league, team): the form before its last row where ``side`` holds, as ``rolling_form`` has it on that
+    row, from the last ``max(windows)`` earlier rows alone.
+
+    A team's rows meet its last row in ``slices`` hash slices, and each slice keeps its own last rows before
+    they come together, so a team of any size is never sorted in one task."""
+    keys = ["league", "team"]
+    last = long.where(side).groupBy(*keys).agg(F.max(F.struct(*ORDER)).alias("_last"))
+    salted = last.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    rows = long.withColumn("_slice", F.pmod(F.xxhash64("match_id"), F.lit(slices)).cast("int"))
+    earlier = rows.join(salted, [*keys, "_slice"]).where(F.struct(*ORDER) < F.col("_last"))
+    n = max(windows)
+    kept = last_rows(last_rows(earlier, [*keys, "_slice"], ORDER, n).drop("_nth"), keys, ORDER, n)
+    means = kept.groupBy(*keys).agg(*[F.round(F.avg(F.when(F.col("_nth") <= w, F.col(f))), 2).alias(form_column(f, w))
+                                      for w in windows for f in features])
+    return last.select(*keys).join(means, keys, "left")
+
+
 def latest_state_join(fixtures: DataFrame, contests: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS) -> DataFrame:
     """Per fixture, the home team's latest home-row form and the away team's
     latest away-row form (as-of "now": the end of the history)."""
     long = team_perspective(contests)
     features = present_features(long)
-    rolled = rolling_form(long, windows, features)
     cols = [form_column(f, n) for n in windows for f in features]
-    home_last = latest_per_team(rolled.where("is_home"), cols).select(
+    home_last = state_before_last(long, F.col("is_home"), features, windows).select(
         "league", F.col("team").alias("home_team"), *[F.col(c).alias(f"{c}_home") for c in cols])
-    away_last = latest_per_team(rolled.where("NOT is_home"), cols).select(
+    away_last = state_before_last(long, ~F.col("is_home"), features, windows).select(
         "league", F.col("team").alias("away_team"), *[F.col(c).alias(f"{c}_away") for c in cols])
     return (fixtures.join(home_last, ["league", "home_team"], "left")
             .join(away_last, ["league", "away_team"], "left"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import correct_any_max, market_favourite, pair_key
-from .chunked import bounded_window
+from .chunked import bounded_window, last_rows
 from .perspective import team_perspective
 
 
@@ -140,14 +140,15 @@ def points_last_n(contests: DataFrame, n: int = 5) -> DataFrame:
 
 def latest_points_last_n(contests: DataFrame, before: str, n: int = 5) -> DataFrame:
     """T4 / W2 latest form: per (league, team), the most recent match strictly
-    before ``before`` and its points over the last ``n`` matches. ``max_by`` finds
-    the latest row without a sort."""
+    before ``before`` and its points over the last ``n`` matches. Only each team's
+    last ``n`` rows are kept and summed; its history is not rolled."""
     src = contests.where(F.col("match_datetime") < F.lit(before).cast("timestamp_ntz"))
-    rolled = points_last_n(src, n)
-    return rolled.groupBy("league", "team").agg(
-        F.max_by(F.struct("match_datetime", "match_id", "points_for_match", f"points_last_{n}_matches"),
-                 F.struct("match_datetime", "match_id")).alias("last")
-    ).select("league", "team", "last.*")
+    long = team_perspective(src, stats=[]).select("league", "team", "match_datetime", "match_id", "points")
+    latest = F.max_by(F.struct("match_datetime", "match_id", F.col("points").cast("long").alias("points_for_match")),
+                      F.struct("match_datetime", "match_id"))
+    return last_rows(long, ["league", "team"], ["match_datetime", "match_id"], n).groupBy("league", "team").agg(
+        latest.alias("last"), F.sum("points").cast("long").alias(f"points_last_{n}_matches")
+    ).select("league", "team", "last.*", f"points_last_{n}_matches")
 
 
 def predictions_vs_actual(predictions: DataFrame, matches: DataFrame, top_scores: DataFrame) -> DataFrame:

@@ -33,5 +33,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries (idempotent)."""
     from . import queries_core, queries_features  # noqa: F401
-    for mod in ("queries_models", "queries_star", "queries_sources", "queries_ml", "queries_store", "queries_rules"):
+    for mod in ("queries_models", "queries_star", "queries_sources", "queries_ml", "queries_store", "queries_rules", "queries_wide"):
         __import__(f"{__package__}.{mod}")

@@ -46,6 +46,16 @@ def q_fraction_split_seeded(spark, sf_dir):
     return train.select("match_id", F.lit("train").alias("part")).unionByName(test.select("match_id", F.lit("test").alias("part")))
 
 
+@register("season_names_any", with_ctes(CONTESTS, body="""
+SELECT season, CAST(2000 + CAST(season AS INT) // 100 AS VARCHAR) || '/' || CAST(2001 + CAST(season AS INT) // 100 AS VARCHAR) AS name,
+  count(*) AS matches
+FROM contests GROUP BY season"""))
+def q_season_names_any(spark, sf_dir):
+    """H8: the loader's rule, which reads any four digits as a code."""
+    return contests(spark, sf_dir).groupBy("season").agg(F.count(F.lit(1)).alias("matches")).select(
+        "season", season_name("season", any_code=True).alias("name"), "matches")
+
+
 @register("season_codes", with_ctes(CONTESTS, body="""
 SELECT code, CAST(2000 + first AS VARCHAR) || '/' || CAST(2001 + first AS VARCHAR) AS name, code AS back, count(*) AS matches
 FROM (SELECT CAST(season AS INT) % 100 AS first, lpad(CAST(CAST(season AS INT) % 100 AS VARCHAR), 2, '0') || lpad(CAST((CAST(season AS INT) + 1) % 100 AS VARCHAR), 2, '0') AS code
