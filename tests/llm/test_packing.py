@@ -67,5 +67,16 @@ def test_every_byte_once_and_no_conflict(spark):
     assert max(used.values()) <= capacity and max(sources.values()) <= per_source and max(clusters.values()) == 1
 
 
+def test_a_third_of_the_rows_alike_share_no_large_block(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 20)
+    rows = [(None if i % 3 == 0 else i, "same text" if i % 3 == 0 else f"text {i}") for i in range(900)]
+    got = packing.pack(docs(spark, rows).repartition(4), 400, 4).collect()
+    assert len(got) == 900
+    blocks = Counter(r.bin_id >> 32 for r in got)
+    assert max(blocks.values()) <= 4 * 20
+    alike = Counter(r.bin_id for r in got if r.doc_id is None)
+    assert len(alike) == 300 and max(alike.values()) == 1
+
+
 def test_empty_table(spark):
     assert packing.pack(empty(spark)).count() == 0

@@ -40,6 +40,19 @@ def test_slots_are_gapless_over_several_blocks(spark, monkeypatch):
     assert len(slots) == 5 and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_a_third_of_the_rows_alike(spark, monkeypatch):
+    """Slots stay gapless, and no group that is numbered together holds all of them."""
+    monkeypatch.setattr(sharding, "SLOT_BLOCK", 40)
+    df = docs(spark, [(None if i % 3 == 0 else i, "same" if i % 3 == 0 else f"t{i}") for i in range(1500)]).repartition(4)
+    seen, inner = [], sharding.split_hot_blocks
+    monkeypatch.setattr(sharding, "split_hot_blocks", lambda *a: seen.append(inner(*a)) or seen[-1])
+    slots = defaultdict(list)
+    for r in sharding.assign_shards(df, [1.0] * 5).collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 1500 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(r["count"] for r in seen[0].groupBy("shard", "block", "sub").count().collect()) <= 3 * 40
+
+
 def test_weights_share_out_rows(spark):
     df = docs(spark, [(i, "t") for i in range(6000)])
     n = {r.shard: r["count"] for r in sharding.assign_shards(df, [3.0, 1.0]).groupBy("shard").count().collect()}

@@ -65,6 +65,16 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def split_hot_blocks(rows: DataFrame, keys: list[str], salt: str, most: int) -> DataFrame:
+    """``rows`` with ``sub``, which cuts every group of ``keys`` that has over twice ``most`` rows into parts of about ``most``.
+
+    Hashed groups hold about ``most`` rows each unless many rows are alike in all that is hashed; those are told apart
+    by ``salt``, a number of the written row.  Other groups keep ``sub`` 0."""
+    n = F.col("count")
+    parts = rows.groupBy(*keys).count().select(*keys, F.when(n > 2 * most, F.ceil(n / most)).otherwise(F.lit(1)).cast("int").alias("_parts"))
+    return rows.join(parts, keys).withColumn("sub", F.pmod(F.xxhash64(salt), F.col("_parts")).cast("int")).drop("_parts")
+
+
 def crc_fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds`` (null id: of the empty text)."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds

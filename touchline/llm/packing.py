@@ -2,8 +2,9 @@
 
 A document takes its UTF-8 bytes plus one separator.  One longer than a bin is
 cut into pieces of a whole bin and a rest.  Pieces are dealt by a hash into
-blocks of about ``BLOCK`` pieces; inside a block they are placed in decreasing
-size.  The open bins stand ordered by residual.  Bins carry two bitmaps: which
+blocks of about ``BLOCK`` pieces (pieces alike in id, text and size share one;
+where they are many, it is cut by the number of the written row); inside a
+block they are placed in decreasing size.  The open bins stand ordered by residual.  Bins carry two bitmaps: which
 duplicate clusters they hold, and which sources are full there (``per_source``
 pieces).  The successor search starts at the smallest residual that fits and
 walks upwards, many bins at a time, to the tightest bin without a conflict; a
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, split_hot_blocks
 
 BLOCK = 8192
 
@@ -100,7 +101,8 @@ def pack(docs: DataFrame, capacity: int = 32_768, per_source: int = 4, cluster:
     pieces = materialize(whole.select("*", F.explode(cut).alias("piece")).select(
         "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("byte_offset"),
         F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("piece").cast("long") * capacity).alias("size"),
-        F.xxhash64("source").alias("source"), F.col("cluster").cast("long").alias("cluster")), "packing-pieces")
+        F.xxhash64("source").alias("source"), F.col("cluster").cast("long").alias("cluster"),
+        F.monotonically_increasing_id().alias("salt")), "packing-pieces")
     blocks = max(1, -(-pieces.count() // BLOCK))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -111,5 +113,6 @@ def pack(docs: DataFrame, capacity: int = 32_768, per_source: int = 4, cluster:
         return out[["doc_id", "piece", "byte_offset", "size", "bin_id", "place"]]
 
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "size"), F.lit(blocks)))
+    dealt = split_hot_blocks(dealt, ["block"], "salt", BLOCK).withColumn("block", F.col("block") + F.col("sub") * F.lit(blocks))
     return dealt.groupBy("block").applyInPandas(
         run, f"doc_id {id_type}, piece int, byte_offset long, size long, bin_id long, place int")

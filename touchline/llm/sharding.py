@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, split_hot_blocks
 
 #: Rows numbered together by one window group.
 SLOT_BLOCK = 50_000
@@ -48,7 +48,8 @@ def assign_shards(df: DataFrame, weights: Sequence[float], added_weight: float =
     The text is reduced to its size and CRC at the scan, so only narrow rows
     move.  Slots are numbered in two steps: inside hashed blocks of about
     ``SLOT_BLOCK`` rows, then by the running total of the block counts, so no
-    shard is ever sorted in one task.
+    shard is ever sorted in one task.  Rows alike in key, size and CRC share a
+    block; where they are many, the block is cut by the number of the written row.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -62,12 +63,14 @@ def assign_shards(df: DataFrame, weights: Sequence[float], added_weight: float =
     placed = materialize(scored.select(
         "doc_id", "size", "text_crc32", "shard",
         F.when(newer > rendezvous_score(F.col("key"), F.col("shard"), won), F.lit(n)).otherwise(F.col("shard")).alias("grown_shard"),
-        F.pmod(F.xxhash64("key", "size", "text_crc32"), F.lit(blocks)).cast("int").alias("block")), "shards")
-    counts = placed.groupBy("shard", "block").count()
-    start = counts.select("shard", "block", (F.sum("count").over(
-        Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "size", "text_crc32")) - 1
-    return (placed.withColumn("inside", inside).join(start, ["shard", "block"])
+        F.pmod(F.xxhash64("key", "size", "text_crc32"), F.lit(blocks)).cast("int").alias("block"),
+        F.monotonically_increasing_id().alias("salt")), "shards")
+    placed = split_hot_blocks(placed, ["shard", "block"], "salt", SLOT_BLOCK)
+    counts = placed.groupBy("shard", "block", "sub").count()
+    start = counts.select("shard", "block", "sub", (F.sum("count").over(
+        Window.partitionBy("shard").orderBy("block", "sub").rowsBetween(Window.unboundedPreceding, -1))).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("shard", "block", "sub").orderBy("doc_id", "size", "text_crc32")) - 1
+    return (placed.withColumn("inside", inside).join(start, ["shard", "block", "sub"])
             .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"),
                     (F.coalesce("start", F.lit(0)) + F.col("inside")).cast("long").alias("slot"),
                     F.col("grown_shard").cast("int").alias("grown_shard")))
