@@ -67,3 +67,15 @@ def test_teams_without_goals(spark, sample):
 def test_empty(spark, sample):
     fit = poisson.fit_poisson_mle(sample.limit(0))
     assert fit.teams.count() == 0 and poisson.mle_terms(fit).count() == 0
+
+
+def test_nothing_is_broadcast(spark):
+    """The rounds and the score equations run where no table may be broadcast: states would else pass the driver."""
+    m = round_robin(spark, 3, 6)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        fit = poisson.fit_poisson_mle(m, tolerance=1e-5)
+        assert poisson.score_equations(m, fit).where("balanced").count() == 3 * 13
+        assert poisson.mle_terms(fit).count() == 3 * 14
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, poisson_log_pmf, poisson_pmf_array
@@ -180,35 +180,38 @@ def fit_poisson_mle(train: DataFrame, max_rounds: int = 100, tolerance: float =
         F.sum(F.when(F.col("is_home"), F.col("goals_scored")).otherwise(0)).cast("double").alias("home_goals")), "poisson-pairs")
     each = pairs.select("league", "goals", F.explode(F.array(F.struct(F.col("team"), F.lit(1.0).alias("s")), F.struct(F.col("opponent").alias("team"), F.lit(0.0).alias("s")))).alias("v"))
     goals = each.groupBy("league", "v.team").agg(F.sum(F.col("goals") * F.col("v.s")).alias("scored"), F.sum(F.col("goals") * (1 - F.col("v.s"))).alias("conceded"))
-    home_goals = written(pairs.groupBy("league").agg(F.sum("home_goals").alias("home_goals")), "poisson-home")
-    kept = ["scored", "conceded", "attack", "defence"]
-    state = written(goals.select("*", F.lit(1.0).alias("attack"), F.lit(1.0).alias("defence")), "poisson-state")
-    homes = home_goals.select("league", F.lit(1.0).alias("home"))
-
-    def scaled(state: DataFrame, homes: DataFrame, key: str, other_key: str, term: str, other: str, observed: str) -> tuple[DataFrame, DataFrame]:
+    home_goals = pairs.groupBy("league").agg(F.sum("home_goals").alias("home_goals"))
+    kept = ["scored", "conceded", "home_goals", "attack", "defence", "home"]
+    one = F.lit(1.0)
+    # A left join keeps teams without a league, whose goals meet no equation.
+    state = written(goals.join(home_goals.hint("merge"), "league", "left").select("*", one.alias("attack"), one.alias("defence"), one.alias("home")), "poisson-state")
+    league = Window.partitionBy("league")  # over the state: one row a team
+
+    def scaled(state: DataFrame, key: str, other_key: str, term: str, other: str, observed: str) -> DataFrame:
         """One factor of every team to its own equation, then the home factors to theirs."""
-        faced = state.join(homes, "league").select("league", F.col("team").alias(other_key), F.col(other).alias("_other"), "home")
+        faced = state.select("league", F.col("team").alias(other_key), F.col(other).alias("_other"), "home")
         none = F.lit(None).cast("double")
-        # What a team faces and what it holds meet in one grouping, without a join.
-        facing = pairs.join(faced, ["league", other_key]).select(
+        # What a team faces and what it holds meet in one grouping, without a join. A merge join: every round's
+        # state would else go through the driver as a broadcast.
+        facing = pairs.join(faced.hint("merge"), ["league", other_key]).select(
             "league", F.col(key).alias("team"), *[none.alias(c) for c in kept], (F.col("n_home") * F.col("_other")).alias("_at_home"),
             ((F.col("home") * F.col("n_home") + F.col("n") - F.col("n_home")) * F.col("_other")).alias("_all"))
         held = state.select("league", "team", *kept, none.alias("_at_home"), none.alias("_all"))
         x = facing.unionByName(held).groupBy("league", "team").agg(*[F.max(c).alias(c) for c in kept], F.sum("_at_home").alias("_at_home"), F.sum("_all").alias("_all"))
         new = F.coalesce(F.try_divide(F.col(observed), F.col("_all")), F.lit(0.0))
-        out = written(x.select("league", "team", *[new.alias(c) if c == term else F.col(c) for c in kept], F.col(term).alias("_before"),
-                               (new * F.col("_at_home")).alias("_expected")), "poisson-state")
-        factors = out.groupBy("league").agg(F.sum("_expected").alias("_e")).join(home_goals, "league")
-        return out, factors.select("league", F.coalesce(F.try_divide("home_goals", "_e"), F.lit(0.0)).alias("home"))
+        y = x.select("league", "team", *[new.alias(c) if c == term else F.col(c) for c in kept if c != "home"], F.col(term).alias("_before"), (new * F.col("_at_home")).alias("_expected"))
+        home = F.coalesce(F.try_divide(F.col("home_goals"), F.sum("_expected").over(league)), F.lit(0.0))
+        return written(y.withColumn("home", home).drop("_expected"), "poisson-state")
 
     rounds, change = 0, 0.0
     while rounds < max_rounds:
-        state, homes = scaled(state, homes, "team", "opponent", "attack", "defence", "scored")
+        state = scaled(state, "team", "opponent", "attack", "defence", "scored")
         moved = state.agg(F.max(F.when(F.col("_before") > 0, F.abs(F.try_divide("attack", "_before") - 1)))).first()[0]
         rounds, change = rounds + 1, moved or 0.0
-        state, homes = scaled(state, homes, "opponent", "team", "defence", "attack", "conceded")
+        state = scaled(state, "opponent", "team", "defence", "attack", "conceded")
         if change <= tolerance:
             break
+    homes = state.where(F.col("league").isNotNull()).groupBy("league").agg(F.max("home").alias("home"))
     return PoissonFit(state.select("league", "team", "attack", "defence"), written(homes, "poisson-homes"), rounds, change)
 
 
@@ -216,7 +219,7 @@ def mle_terms(fit: PoissonFit) -> DataFrame:
     """(league, term, team, estimate) on the log scale: each league's first team is its reference level for
     attack and defence (estimate 0), the intercept μ is its attack times its defence factor; null where a maximum lies at infinity."""
     first = fit.teams.groupBy("league").agg(F.min_by(F.struct("attack", "defence"), "team").alias("r"))
-    t = fit.teams.join(first, "league")
+    t = fit.teams.join(first.hint("merge"), "league")
     # The defence factor multiplies goals, the term is subtracted.
     attack, defence = F.ln(F.try_divide("attack", "r.attack")), F.ln(F.try_divide("r.defence", "defence"))
     finite = lambda e: F.when(F.abs(e) < float("inf"), e)
@@ -233,8 +236,9 @@ def mle_expected(matches: DataFrame, fit: PoissonFit) -> DataFrame:
     t = fit.teams
     h = t.select("league", F.col("team").alias("home_team"), F.col("attack").alias("_ah"), F.col("defence").alias("_dh"))
     a = t.select("league", F.col("team").alias("away_team"), F.col("attack").alias("_aa"), F.col("defence").alias("_da"))
-    x = (matches.join(h, ["league", "home_team"], "left").join(a, ["league", "away_team"], "left")
-         .join(fit.leagues.select("league", F.col("home").alias("_home")), "league", "left"))
+    # Merge joins: teams and leagues grow with the data, and broadcasts of them go through the driver.
+    x = (matches.join(h.hint("merge"), ["league", "home_team"], "left").join(a.hint("merge"), ["league", "away_team"], "left")
+         .join(fit.leagues.select("league", F.col("home").alias("_home")).hint("merge"), "league", "left"))
     return x.select(*matches.columns, (F.col("_home") * F.col("_ah") * F.col("_da")).alias("lambda_home"),
                     (F.col("_aa") * F.col("_dh")).alias("lambda_away"))
 
