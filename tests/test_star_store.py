@@ -73,3 +73,20 @@ def test_rejects_have_reasons(spark, sample, tmp_path):
 def test_empty_batch(spark, sample, tmp_path):
     store = StarStore(spark, str(tmp_path))
     assert store.load("nothing", sample.limit(0)) and set(counts(store).values()) == {0}
+
+
+def test_a_load_reads_its_matches_few_times(spark, sample, tmp_path):
+    """The judged matches are written once; dimensions, facts and rejects do not derive them again."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        read.add(1)
+        return x
+
+    odds = sample.select("match_id", F.lit(2.0).alias("b365_home_win_odds"))
+    ratings = sample.select("match_id", F.lit(1500.0).alias("elo_home_pre"), F.lit(1490.0).alias("elo_away_pre"))
+    store = StarStore(spark, str(tmp_path))
+    assert store.load("a", sample.withColumn("result", seen("result")), odds, ratings)
+    assert store.table("matches").count() == 4 and store.table("team_ratings").count() == 8
+    assert read.value <= 2 * 4

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text, season_name
+from ..session import written
 from .chunked import global_row_number
 from .form import dedupe_keep_first
 
@@ -117,7 +118,8 @@ class StarStore:
                   .when(F.col("home_team") == F.col("away_team"), "same_team").when(F.col("match_datetime").isNull(), "bad_date")
                   .when(goals[0].isNull() | goals[1].isNull(), "missing_goals").when((goals[0] < 0) | (goals[1] < 0), "negative_goals")
                   .when(~F.coalesce(F.col("result").isin("H", "D", "A"), F.lit(False)), "bad_result"))
-        judged = clean.withColumn("_reason", reason)
+        # Written once, like the keyed rows below: dimensions, facts and rejects read them again.
+        judged = written(clean.withColumn("_reason", reason), "star-judged")
         good = judged.where("_reason IS NULL").withColumn("season", season_name("season"))
         rejects = [judged.where("_reason IS NOT NULL").select(F.lit("matches").alias("table"), F.col("_reason").alias("reason"), F.col("match_id").alias("source_id"),
                                                               F.to_json(F.struct("league", "season", "match_datetime", "home_team", "away_team")).alias("detail"))]
@@ -127,12 +129,12 @@ class StarStore:
         seasons = self._dimension(batch, "seasons", in_league.select("league_id", F.col("season").alias("name")))
         teams = self._dimension(batch, "teams", good.select(F.explode(F.array("home_team", "away_team")).alias("name")))
         side = lambda s: teams.select(F.col("id").alias(f"{s}_team_id"), F.col("name").alias(f"{s}_team"))
-        keyed = (in_league.join(seasons.select(F.col("id").alias("season_id"), "league_id", F.col("name").alias("season")), ["league_id", "season"])
-                 .join(side("home"), "home_team").join(side("away"), "away_team").withColumnRenamed("match_datetime", "date"))
+        keyed = written(in_league.join(seasons.select(F.col("id").alias("season_id"), "league_id", F.col("name").alias("season")), ["league_id", "season"])
+                 .join(side("home"), "home_team").join(side("away"), "away_team").withColumnRenamed("match_datetime", "date").drop("_reason"), "star-keyed")
         matches = self._fact(batch, "matches", keyed.select(F.col("match_id").alias("id"), *KEYS["matches"], F.col("home_goals").alias("home_team_goals"),
                                                            F.col("away_goals").alias("away_team_goals"), "result"), ["id"])
         # Source rows with the id their match is stored under: a repeated match keeps its first id.
-        known = keyed.withColumnRenamed("match_id", "source_id").join(matches.select(F.col("id").alias("match_id"), *KEYS["matches"]), KEYS["matches"])
+        known = written(keyed.withColumnRenamed("match_id", "source_id").join(matches.select(F.col("id").alias("match_id"), *KEYS["matches"]), KEYS["matches"]), "star-known")
         ids = known.select("source_id", "match_id", "season_id", "date", "home_team_id", "away_team_id")
         self._fact(batch, "match_stats", known.select("match_id", "source_id", *[c if c in known.columns else F.lit(None).cast("int").alias(c) for c in self.stats]), ["source_id"])
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aliases, asof, elo, odds, prediction_store, star_store
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources.tables import contests, read_table
 from .catalog import register
 from .oracle_sql import CONTESTS, SIDES, with_ctes
@@ -62,7 +62,8 @@ def loaded_store(spark, sf_dir):
     if key not in _STORES:
         store = star_store.StarStore(spark, scratch_path(spark, "star-store"))
         c = contests(spark, sf_dir)
-        quotes, rated = odds.market_odds(raw_odds(spark, sf_dir)), elo.elo_ratings(c)
+        # Each load reads them twice (what it stores, what it rejects), so they are written once for all loads.
+        quotes, rated = written(odds.market_odds(raw_odds(spark, sf_dir)), "market-odds"), written(elo.elo_ratings(c), "elo")
         for name, batch in zip(LOADS, (c.where(F.col("season") < EXISTING_BEFORE), c, c), strict=True):
             store.load(name, batch, quotes, rated.join(batch.select("match_id"), "match_id", "left_semi"))
         _STORES[key] = store
