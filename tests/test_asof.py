@@ -52,3 +52,20 @@ def test_a_fixture_between_matches(spark, sample):
 def test_empty(spark, sample):
     assert asof.dated_state_join(sample.limit(0), sample).count() == 0
     assert asof.dated_state_join(sample, sample.limit(0)).where("avg_points_last_5_matches_home is not null").count() == 0
+
+
+def test_joined_states_are_stored(sample, monkeypatch):
+    """Ranges are sampled before rows are dealt: both sides of a join are read twice, so their windows are run before."""
+    seen, real = [], asof.asof_join
+    monkeypatch.setattr(asof, "asof_join", lambda left, right, *more, **named: seen.extend([left, right]) or real(left, right, *more, **named))
+    asof.dated_state_join(sample, sample)
+    assert len(seen) == 4 and not any("Window" in df._jdf.queryExecution().toString() for df in seen)
+
+
+def test_only_keys_in_several_slices_are_listed(spark):
+    from touchline.operators.chunked import range_slices, split_slices
+
+    marked = range_slices(rows(spark, 3000, "x").unionByName(rows(spark, 400, "y").withColumn("k", F.lit(None).cast("string"))), ["k"], ["t"], 12)
+    many = {r["k"] for r in marked.groupBy("k").agg(F.count_distinct("_chunk").alias("n")).where("n > 1").collect()}
+    got = split_slices(marked, ["k"]).collect()
+    assert {r["k"] for r in got} == many and "HOT" in many and len(many) < 21 and len(got) <= 24

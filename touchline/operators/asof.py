@@ -16,7 +16,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunked import range_slices
+from ..session import written
+from .chunked import range_slices, split_rows, split_slices
 from .form import DEFAULT_WINDOWS, ORDER, form_column, present_features, rolling_form
 from .perspective import team_perspective
 
@@ -36,7 +37,9 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Seq
     marked = range_slices(both, keys, line, slices)
     here = Window.partitionBy(*keys, "_chunk").orderBy(*line, F.col("_right").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     within = marked.withColumn("_seen", F.last("_right", ignorenulls=True).over(here)).where(F.col("_left").isNotNull())
-    per = marked.groupBy(*keys, "_chunk").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.struct(*line, "_right"))).alias("_last"))
+    # Only a key that lies in several slices inherits anything.
+    cut, same = split_rows(keys, split_slices(marked, keys), bounded=True)
+    per = marked.join(cut, same, "left_semi").groupBy(*keys, "_chunk").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.struct(*line, "_right"))).alias("_last"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     inherited = per.withColumn("_before", F.last("_last", ignorenulls=True).over(before)).where(F.col("_before").isNotNull()).drop("_last")
     # Keys of unusable left rows may be null: they find nothing, which is their result.
@@ -51,8 +54,9 @@ def dated_state_join(fixtures: DataFrame, contests: DataFrame, windows: Sequence
     long = team_perspective(contests)
     features = present_features(long)
     cols = [form_column(f, n) for n in windows for f in features]
-    rolled = rolling_form(long, windows, features)
+    # Each as-of join reads its input twice, for the ranges and for the slices, so what it reads is stored.
+    rolled = written(rolling_form(long, windows, features), "rolled")
     for side, cond in (("home", "is_home"), ("away", "NOT is_home")):
         states = rolled.where(cond).select("league", F.col("team").alias(f"{side}_team"), *ORDER, *[F.col(c).alias(f"{c}_{side}") for c in cols])
-        fixtures = asof_join(fixtures, states, ["league", f"{side}_team"], ORDER, [f"{c}_{side}" for c in cols], slices=slices)
+        fixtures = asof_join(fixtures if side == "home" else written(fixtures, "home-states"), states, ["league", f"{side}_team"], ORDER, [f"{c}_{side}" for c in cols], slices=slices)
     return fixtures
