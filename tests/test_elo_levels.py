@@ -42,3 +42,22 @@ def test_empty(spark, sample):
 def test_leagues_are_folded_in_many_tasks(spark, sample):
     """Few bytes are not few matches to fold: the leagues are dealt to one partition a core."""
     assert elo.elo_ratings(sample).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_fold_of_arrow_batches(spark, sample):
+    """The fold takes Arrow batches; teams without a name, one team on both sides and rows seeded by an earlier season keep their order."""
+    odd = sample.withColumn("away_team", F.expr("CASE match_id WHEN 2 THEN NULL WHEN 3 THEN home_team ELSE away_team END")).withColumn(
+        "league", F.expr("CASE WHEN match_id > 1 THEN 'PL' END"))
+    c = odd.unionByName(odd.withColumns({"match_id": F.col("match_id") + 10, "season": F.lit("2526"), "match_datetime": F.expr("match_datetime + INTERVAL '1' YEAR")}))
+    table, want = {}, {}
+    for r in c.orderBy("match_datetime", "match_id").collect():
+        h, a = (r["league"], r["home_team"]), (r["league"], r["away_team"])
+        rh, ra = table.get(h, 1500.0), table.get(a, 1500.0)
+        e, s = 1.0 / (1.0 + 10.0 ** ((ra - rh) / 400.0)), {"H": 1.0, "D": 0.5}.get(r["result"], 0.0)
+        table[h] = rh + 32.0 * (s - e)
+        table[a] = ra + 32.0 * ((1.0 - s) - (1.0 - e))
+        want[r["match_id"]] = (round(rh, 6), round(ra, 6))
+    for chunk in (None, "season"):
+        x = elo.elo_ratings(c, chunk=chunk)
+        assert {r["match_id"]: (r["elo_home_pre"], r["elo_away_pre"]) for r in x.collect()} == want
+    assert "MapInArrow" in elo.elo_ratings(c)._jdf.queryExecution().executedPlan().toString()

@@ -52,3 +52,24 @@ def test_load_honours_the_match_key_and_trims_names(spark, sample):
 def test_required_columns_in_one_pass(sample):
     got = {r["column"]: (r["present"], r["nulls"]) for r in star.check_required(sample, ["home_team", "result", "nothing"]).collect()}
     assert got == {"home_team": (True, 0), "result": (True, 0), "nothing": (False, None)}
+
+
+def test_dimensions_are_read_before_repeats_are_dropped(sample, monkeypatch):
+    """The names of the dimensions come from the rows as they are; only the facts shuffle whole rows."""
+    seen, real = [], star.assign_surrogate_keys
+    monkeypatch.setattr(star, "assign_surrogate_keys", lambda names, key, *more: seen.append(names) or real(names, key, *more))
+    star.load_star(sample)
+    assert len(seen) == 3 and not any("min_by" in names._jdf.queryExecution().toString() for names in seen)
+
+
+def test_foreign_keys_are_counted_without_joins(spark):
+    """An orphan counts once, however often the id of another parent repeats; a null reference is none."""
+    st = {"matches": spark.createDataFrame([(1, 1, 1, 7), (1, 1, 1, None), (2, None, 1, 1)], "id long, season_id long, home_team_id long, away_team_id long"),
+          "teams": spark.createDataFrame([(1,)], "id long"), "seasons": spark.createDataFrame([(1, None)], "id long, league_id long"),
+          "team_ratings": spark.createDataFrame([(1, 9, 1), (3, 1, None), (3, 1, 1)], "match_id long, team_id long, season_id long")}
+    report = star.foreign_key_report(st)
+    got = {(r["child"], r["column"]): r["orphans"] for r in report.collect()}
+    assert len(got) == 11 and {k: v for k, v in got.items() if v is not None} == {
+        ("matches", "season_id"): 0, ("matches", "home_team_id"): 0, ("matches", "away_team_id"): 1,
+        ("team_ratings", "match_id"): 2, ("team_ratings", "team_id"): 1, ("team_ratings", "season_id"): 0}
+    assert "Join" not in report._jdf.queryExecution().optimizedPlan().toString()
