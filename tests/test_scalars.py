@@ -88,3 +88,17 @@ def test_defaults_pairs_percent_onehot(spark):
     assert one(spark, H.percent(F.lit(0.53421), 1)) == 53.4
     assert [one(spark, c) for c in H.one_hot_outcome(F.lit("D"))] == [0.0, 1.0, 0.0]
     assert one(spark, H.min_max_normalise(F.lit(1950.0))) == pytest.approx(1.25)  # not clipped
+
+
+def test_short_years_skip_the_four_digit_layouts(spark):
+    """The same dates as with every layout tried in turn, which costs an exception for each that fails."""
+    from touchline.functions import scalars
+
+    texts = ["09/08/19", "9/8/19", " 09/08/99 ", "09/08/70", "09/08/69", "32/08/19", "9/13/19", "09/08/2019", "9/8/2019", "2019-08-09", "9/8/201",
+             "09-08-19", "1/2/03/04", "", "x", None, "29/02/00", "29/02/1900", "09/08/19 12:00", "09/08/02019", "-9/08/19"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(*[scalars._parse(F.trim("t"), f) for f in scalars.DAY_FIRST_DATE_FORMATS])
+    got = df.select("t", scalars.parse_day_first("t").alias("a"), plain.alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got), [r for r in got if r["a"] != r["b"]]
+    assert sum(r["a"] is not None for r in got) >= 9
+    assert "RLIKE" in df.select(scalars.parse_day_first("t"))._jdf.queryExecution().toString()
