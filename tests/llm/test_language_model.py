@@ -85,3 +85,40 @@ def test_tokens_and_features_stay_inside_rows():
     f = maxent_lm.features(h, row)
     assert (f[:, 0] == f[:, 5]).all() and (f[:, 0] == f[:, 6]).all()
     assert words.hashes(data, np.array([0]), np.array([1]))[0] != words.hashes(data, np.array([2]), np.array([3]))[0]
+
+
+def test_hash_is_the_polynomial_of_the_bytes_wherever_the_span_lies():
+    data = np.random.default_rng(3).integers(0, 256, 500).astype(np.uint8)
+    start = np.array([0, 3, 3, 490, 77])
+    end = np.array([1, 40, 400, 500, 78])
+    plain = [sum(int(words._BYTE[b]) * int(words._BASE) ** i for i, b in enumerate(data[x:y].tolist())) % 2**64 for x, y in zip(start, end, strict=True)]
+    mixed = words.mix64(np.array(plain, np.uint64) ^ ((end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+    assert words.hashes(data, start, end).tolist() == mixed.tolist()
+    power, inverse = words._powers(words.GROUP + 7)  # a text longer than a group
+    assert len(power) > words.GROUP + 6
+    with np.errstate(over="ignore"):
+        assert (power[-9:] * inverse[-9:] == 1).all()
+
+
+def test_group_sums_add_the_members_in_their_order():
+    rng = np.random.default_rng(4)
+    size = np.array([40, 17, 16, 5, 5, 2, 1, 1])
+    g, order = rng.normal(size=(size.sum(), 8)).astype(np.float32), rng.permutation(size.sum())
+    first = np.cumsum(size) - size
+    for few in (1, 4, 16, 50):
+        got = maxent_lm._group_sums(g, order, first, size, few)
+        for i, (a, n) in enumerate(zip(first, size, strict=True)):
+            want = g[order[a]].copy()
+            for j in order[a + 1:a + n]:
+                want += g[j]
+            assert (got[i] == want).all()
+
+
+def test_class_scores_do_not_depend_on_the_slices():
+    rng = np.random.default_rng(5)
+    w = maxent_lm.Weights(rng.normal(size=maxent_lm.CLASSES), rng.normal(size=(maxent_lm.TEMPLATES, maxent_lm.ROWS, maxent_lm.CLASSES)).astype(np.float32))
+    n = 2 * maxent_lm.SLICE + 5
+    f, y = rng.integers(0, maxent_lm.ROWS, (maxent_lm.TEMPLATES, n)), rng.integers(0, maxent_lm.CLASSES, n)
+    z = sum(w.table[t][f[t]] for t in range(maxent_lm.TEMPLATES)) + w.bias
+    assert np.allclose(z - z.max(axis=1, keepdims=True), w.centred(f), atol=1e-5)
+    assert (w.log10_class(f, y) == w.log_softmax(f)[np.arange(n), y].astype(float) / np.log(10)).all()

@@ -47,6 +47,8 @@ TEMPLATES, ROWS, ROW_BLOCK = 4, 8192, 512
 #: Frequent words whose counts are broadcast.
 CACHED = 262_144
 ROUNDS, BATCH, RATE = 2, 8192, 0.25
+#: Rows whose class scores are computed together: few enough to stay in a core's cache.
+SLICE = 1024
 #: Distinct words gathered by a task before it hands its counts on.
 GATHERED = 2_000_000
 _START = np.uint64(0x5851F42D4C957F2D)
@@ -97,48 +99,65 @@ class Weights:
         self.bias = bias.astype(np.float32)
         self.table = np.zeros((TEMPLATES, ROWS, CLASSES), np.float32) if table is None else table
 
-    def log_softmax(self, f: np.ndarray) -> np.ndarray:
-        z = self.table[0][f[0]]
+    def centred(self, f: np.ndarray) -> np.ndarray:
+        """Class scores less each row's highest."""
+        z = np.take(self.table[0], f[0], axis=0, mode="clip")
+        more = np.empty_like(z)
         for t in range(1, TEMPLATES):
-            z += self.table[t][f[t]]
+            z += np.take(self.table[t], f[t], axis=0, mode="clip", out=more)
         z += self.bias
-        z -= z.max(axis=1, keepdims=True)
+        top, k = z, CLASSES
+        while k % 2 == 0:
+            k //= 2
+            top = np.maximum(top[:, :k], top[:, k:])
+        z -= top.max(axis=1, keepdims=True)
+        return z
+
+    def log_softmax(self, f: np.ndarray) -> np.ndarray:
+        z = self.centred(f)
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
     def log10_class(self, f: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = np.empty(len(y))
-        for a in range(0, len(y), BATCH):
-            z = self.log_softmax(f[:, a:a + BATCH])
-            out[a:a + BATCH] = z[np.arange(len(z)), y[a:a + BATCH]]
+        for a in range(0, len(y), SLICE):
+            z = self.centred(f[:, a:a + SLICE])
+            own = z[np.arange(len(z)), y[a:a + SLICE]]
+            out[a:a + SLICE] = own - np.log(np.exp(z, out=z).sum(axis=1))
         return out / np.log(10)
 
     def learn(self, f: np.ndarray, y: np.ndarray, squares: np.ndarray, seen: np.ndarray) -> None:
         """One mini-batch gradient update; ``squares`` holds AdaGrad's sums by row."""
-        g = np.exp(self.log_softmax(f))
+        g = np.empty((len(y), CLASSES), np.float32)
+        for a in range(0, len(y), SLICE):
+            np.exp(self.log_softmax(f[:, a:a + SLICE]), out=g[a:a + SLICE])
         g[np.arange(len(g)), y] -= 1
         for t in range(TEMPLATES):
             order = np.argsort(f[t].astype(np.uint16), kind="stable")
             key = f[t][order]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(first, len(key)))
+            by_size = np.argsort(-size, kind="stable")
+            first, size = first[by_size], size[by_size]
             row, total = key[first], _group_sums(g, order, first, size)
             squares[t, row] += np.einsum("ij,ij->i", total, total)
             seen[t, row] += size
             total *= (RATE / np.sqrt(squares[t, row] + 1.0))[:, None]
-            self.table[t][row] -= total
+            self.table[t][row] = np.subtract(np.take(self.table[t], row, axis=0, mode="clip"), total, out=total)
 
 
 def _group_sums(g: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray, few: int = 16) -> np.ndarray:
-    """Sums of the rows ``g[order]`` over consecutive groups: small groups member by member, large ones singly."""
-    out = g[order[first]]
-    small, at = np.flatnonzero((size > 1) & (size <= few)), 1
-    while len(small):
-        out[small] += g[order[first[small] + at]]
-        at += 1
-        small = small[size[small] > at]
-    for i in np.flatnonzero(size > few):
-        out[i] = g[order[first[i]:first[i] + size[i]]].sum(axis=0)
+    """Sums of the rows ``g[order]`` over groups in falling order of size: large ones singly, small ones member by member."""
+    out = np.take(g, order[first], axis=0, mode="clip")
+    large = int(np.searchsorted(-size, -few))
+    more = np.empty_like(out[large:])
+    for at in range(1, few + 1):
+        k = int(np.searchsorted(-size, -at))
+        if k <= large:
+            break
+        out[large:k] += np.take(g, order[first[large:k] + at], axis=0, mode="clip", out=more[:k - large])
+    for i in range(large):
+        out[i] = np.take(g, order[first[i]:first[i] + size[i]], axis=0, mode="clip").sum(axis=0)
     return out
 
 
