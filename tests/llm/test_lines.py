@@ -110,3 +110,65 @@ def test_unit_cuts_are_the_same_by_both_ways():
     for starts in ([], [0], [1], [2, 3], [0, 3], [4], [0, 1, 2, 3, 4]):
         n = len(set().union(*(range(x, x + 3) for x in starts)))
         assert line_dedup.cut_runs(body, starts, 3, []) == (line_dedup.cut_units(body, starts, 3), n)
+
+
+def test_unit_spans_of_whole_batches_are_the_units():
+    import random
+
+    import numpy as np
+
+    from touchline.llm import words
+
+    rnd = random.Random(1)
+    for _ in range(500):
+        texts = [bytes(rnd.choice(b"ab.!? \t\r\n\x0b\x0c\xc3\xa9") for _ in range(rnd.randint(0, 40))) for _ in range(rnd.randint(1, 4))]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        spans = words.spans(data, np.cumsum([0, *map(len, texts)]), words.SPACED)
+        got = [(int(r), bytes(data[a:b])) for a, b, r in zip(*line_dedup.unit_spans(data, *spans), strict=True)]
+        assert got == [(i, t[a:b].strip()) for i, t in enumerate(texts) for a, b in line_dedup.units(t)]
+
+
+def test_groups_of_windows_are_judged_by_place():
+    import numpy as np
+
+    # (fingerprint, windows, text, first window) and the ids' ranks; the first two are one place
+    e = np.array([(8, 1, 5, 2, 1), (8, 1, 5, 2, 1), (8, 1, 4, 9, 1), (8, 2, 0, 0, 1), (6, 1, 0, 0, 1), (8, 1, 0, 0, 1), (8, 2, 0, 3, 1)], line_dedup.ENTRY)
+    lead, later, mixed = line_dedup.judge(e, np.array([1, 1, 1, 7, 7, 9, 7]))
+    assert later.tolist() == [True, True, False, False, False, True, True]
+    assert lead.tolist() == [False, False, True, True, True, False, False]
+    assert mixed.tolist() == [False, False, True, True, False, False, False]
+    twins = line_dedup.judge(e[:2], np.array([1, 1]))
+    assert twins[0].sum() == 1 and not twins[1].any()
+
+
+def test_copies_of_one_passage_do_not_meet_in_one_bucket():
+    import numpy as np
+    import pyarrow as pa
+
+    n = 4096
+    e = np.zeros(n, line_dedup.ENTRY)
+    e["print"], e["whole"], e["n"] = 12, 3, 2
+    e["hash"] = np.random.default_rng(1).integers(-2**63, 2**63 - 1, n)
+    out = line_dedup._packed(e, pa.array(np.arange(n)), 6)
+    held = {b: np.frombuffer(x, line_dedup.ENTRY) for b, x in zip(out.column("bucket").to_pylist(), out.column("entries").to_pylist(), strict=True)}
+    assert sum(map(len, held.values())) == n and max(map(len, held.values())) < 3 * n / 64
+    assert sum(int((x["n"] > 0).sum()) for x in held.values()) == 1
+
+
+def test_runs_across_buckets_ids_and_null_ids(spark):
+    """Passages that begin and end differently, by texts of equal and of null ids, under a string id too."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(7)
+    common = [f"c{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        a, n = rnd.randint(0, 340), rnd.randint(20, 300)
+        rows.append((None if i == 31 else 100 + i, " ".join([f"x{i}", *common[a:a + n], f"y{i}"])))
+    gone = brute_words(rows, 50)
+    for frame in (docs(spark, rows), docs(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string"))):
+        got = {None if r.doc_id is None else int(r.doc_id): r for r in line_dedup.dedup_lines(frame.repartition(7), 3, words=50).collect()}
+        for i, t in rows:
+            assert got[i].text.split() == [w for k, w in enumerate(t.split()) if k not in gone.get(i, ())], i
