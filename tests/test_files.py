@@ -63,3 +63,26 @@ def test_headers_that_differ_by_case_and_league_from_division(spark):
     assert (m.league, m.season, m.home_team) == ("E0", "1920", "Liverpool") and isinstance(m.match_id, int)
     wide = clean.clean_matches(raw, clean.WIDE_COLUMN_MAP).collect()[0]
     assert (wide.attendance, wide.b365_home_win_odds, wide.referee) == (53333, 1.14, "M Oliver")
+
+
+def test_features_of_the_files_reach_the_load_and_the_counts(spark, monkeypatch):
+    """Two teams, six matches over the season that brings corners, one with a bad date: the load's ratings come from
+    the written features, and the sides with a form, of points and of corners, are counted."""
+    from touchline.operators import star
+    from touchline.plans import queries_sources
+    from touchline.sources.tables import CONTEST_SCHEMA
+
+    rows = [(i, *(("X", "Y") if i % 2 else ("Y", "X")), dt.datetime(year, 3, i % 28 + 1), 1, 0, "H", 3, 2, 1, 1, 4, 5, "L", str(year))
+            for i, year in ((10, 1996), (11, 1997), (12, 1998), (13, 1998), (14, 1999), (51, 1999))]  # 51 % 50 = 1: a bad date
+    contests = spark.createDataFrame(rows, CONTEST_SCHEMA)
+    seen, load = [], star.load_star
+    monkeypatch.setattr(queries_sources, "contests", lambda *_: contests)
+    monkeypatch.setattr(star, "load_star", lambda *a, **kw: (seen.append(kw["ratings"]), load(*a, **kw))[1])
+    got = queries_sources.q_load_from_files(spark, "none").collect()[0].asDict()
+    assert got == {"rows_read": 6, "bad_dates": 1, "blank_teams": 0, "bad_numbers": 0, "matches": 5, "loaded": 5, "rated_sides": 10, "leagues": 1,
+                   "teams": 2, "formed_sides": 8, "corner_formed_sides": 4}
+    stored = seen[0].orderBy("match_datetime").collect()
+    assert len({r.match_id for r in stored}) == 5 and all("features-from-files" in f for f in seen[0].inputFiles())
+    assert [r.avg_points_last_5_matches_home for r in stored] == [None, 0.0, 1.5, 1.0, 1.5]
+    assert [r.avg_corners_last_5_matches_away for r in stored] == [None, None, None, 4.0, 4.5]
+    assert stored[0].elo_home_pre == 1500.0 and stored[1].elo_home_pre < 1500.0
