@@ -1,6 +1,6 @@
 """MLlib's forest for many rows, its trees split level by level from counts (M5).
 
-MLlib's own training costs some 3 µs a row, tree and core for six levels and keeps a number a row and tree. Here the
+MLlib's own training (some 3 µs a row, tree and core for six levels, reckoned) keeps a number a row and tree. Here the
 features become bins once, written as blocks of rows (as ``GrownForest``'s). Each level is one pass over the blocks:
 a task draws every tree's bag of its blocks anew from (seed, tree, block), walks the drawn rows down the tree and
 counts classes by node, feature and bin. The tasks' counts are added up by tree, each node takes its best cut
